@@ -102,19 +102,53 @@ def apply_mean_constant(df: DataFrame, col: str, name: str, by=("split",)) -> Da
     return df.join(F.broadcast(m), list(by), "left").drop(*extra)
 
 
-# --------------------------------------------------------------------- D6, G1, G2
-def fit_binary_domain(users: DataFrame, col: str) -> tuple[DataFrame, int]:
+# --------------------------------------------------------------------- D6, G1, G2, G3
+MAX_DRIVER_DOMAIN = 100_000  # distinct values fetched to the driver at most; beyond, numbered in Spark
+
+
+def fit_domains(users: DataFrame, cols) -> dict[str, list | None]:
+    """Sorted distinct non-null values of several columns in ONE job, with a size check.
+
+    Each column's list is fetched only while the union holds at most ``MAX_DRIVER_DOMAIN``
+    values (a bounded ``limit`` + ``collect``); a column over the bound maps to ``None`` and
+    is then numbered by the distributed operator instead.
+    """
+    stacked = None
+    for c in cols:
+        part = users.select(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull())
+        stacked = part if stacked is None else stacked.unionByName(part)
+    rows = stacked.distinct().limit(MAX_DRIVER_DOMAIN + 1).collect()
+    if len(rows) > MAX_DRIVER_DOMAIN:
+        return {c: None for c in cols}
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        out[r["col"]].append(r["v"])
+    return {c: sorted(v, key=lambda x: x.encode("utf-8")) for c, v in out.items()}
+
+
+def fit_binary_domain(users: DataFrame, col: str, values: list | None = None) -> tuple[DataFrame, int]:
     """Domain of ``col`` over all splits: ordinal 1..n by value, and the bit width.
 
     Our stated rules (the reference's ordinal follows file order): null -> code 0, values
     unseen at fit time -> code 0, ordinals from 1 in value order, ``ceil(log2(n + 1))`` bits,
-    most significant bit first.
+    most significant bit first. ``values`` (sorted) comes from ``fit_domains``; without it,
+    or for a domain over the driver bound, the ordinals come from the distributed numbering.
     """
-    domain = users.select(col).where(F.col(col).isNotNull()).distinct()
-    numbered = number_within_group(domain, [], [col], name="_code", start=1)
-    n = numbered.count()
+    spark = users.sparkSession
+    if values is None:
+        values = fit_domains(users, [col])[col]
+    if values is not None:
+        dtype = users.schema[col].dataType.simpleString()
+        domain = spark.createDataFrame([(v, i + 1) for i, v in enumerate(values)], f"{col} string, _code long") \
+            .withColumn(col, F.col(col).cast(dtype))
+        n = len(values)
+        domain = F.broadcast(domain)  # size checked above
+    else:
+        distinct = users.select(col).where(F.col(col).isNotNull()).distinct()
+        domain = number_within_group(distinct, [], [col], name="_code", start=1)
+        n = domain.count()
     bits = max(1, math.ceil(math.log2(n + 1)))
-    return numbered, bits
+    return domain, bits
 
 
 def apply_binary(users: DataFrame, col: str, domain: DataFrame, bits: int) -> DataFrame:
@@ -123,14 +157,13 @@ def apply_binary(users: DataFrame, col: str, domain: DataFrame, bits: int) -> Da
                           for i in range(bits)}).drop("_code")
 
 
-# --------------------------------------------------------------------- G3
-def fit_onehot_domain(users: DataFrame, col: str = ONEHOT_COL) -> list[str]:
+def fit_onehot_domain(users: DataFrame, col: str = ONEHOT_COL, values: list | None = None) -> list[str]:
     """Sorted distinct values over all splits; they become column names, so the list is capped."""
-    vals = [r[0] for r in users.select(col).where(F.col(col).isNotNull()).distinct()
-            .orderBy(col).limit(MAX_ONEHOT_VALUES + 1).collect()]
-    if len(vals) > MAX_ONEHOT_VALUES:
+    if values is None:
+        values = fit_domains(users, [col])[col]
+    if values is None or len(values) > MAX_ONEHOT_VALUES:
         raise ValueError(f"{col} has more than {MAX_ONEHOT_VALUES} values; use the binary code")
-    return vals
+    return values
 
 
 def apply_onehot(users: DataFrame, col: str, values: list[str]) -> DataFrame:
@@ -158,12 +191,13 @@ def build_user_features(users: DataFrame, by=("split",), domain_users: DataFrame
     domain_users = domain_users if domain_users is not None else users
     u = apply_group_means(users, by=by)
     u = apply_frequencies(u, by=by)
+    domains = fit_domains(domain_users, TARGET_COLS + [ONEHOT_COL])
     bits = {}
     for c in TARGET_COLS:
-        dom, nb = fit_binary_domain(domain_users, c)
+        dom, nb = fit_binary_domain(domain_users, c, domains[c])
         bits[c] = nb
         u = apply_binary(u, c, dom, nb)
-    values = fit_onehot_domain(domain_users)
+    values = fit_onehot_domain(domain_users, ONEHOT_COL, domains[ONEHOT_COL])
     u = apply_onehot(u, ONEHOT_COL, values)
     u = apply_minmax(u, SCALE_COLS, by=by)
     u = apply_mean_constant(u, "month", "average_month", by=by)

@@ -53,7 +53,20 @@ def _flatten_side(rows_col: str, prefix: str, scalar_fields: list[str], vec_fiel
     return out
 
 
-def _scores(q: np.ndarray, it: np.ndarray, metric: str) -> np.ndarray:
+class PairScorer:
+    """A learned pair function for the blocked scorer: ``matrix(Q, I)`` -> (nq, ni) scores and
+    ``paired(Q, T)`` -> (n,) scores of row-aligned pairs. Must be picklable (it ships with the job)."""
+
+    def matrix(self, q: np.ndarray, it: np.ndarray) -> np.ndarray:  # pragma: no cover - interface
+        raise NotImplementedError
+
+    def paired(self, q: np.ndarray, t: np.ndarray) -> np.ndarray:  # pragma: no cover - interface
+        raise NotImplementedError
+
+
+def _scores(q: np.ndarray, it: np.ndarray, metric) -> np.ndarray:
+    if isinstance(metric, PairScorer):
+        return np.round(metric.matrix(q, it), SCORE_DECIMALS)
     s = q @ it.T
     if metric == "cosine":
         qn = np.sqrt((q * q).sum(axis=1))
@@ -62,14 +75,16 @@ def _scores(q: np.ndarray, it: np.ndarray, metric: str) -> np.ndarray:
     return np.round(s, SCORE_DECIMALS)
 
 
-def _pair_scores(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
+def _pair_scores(q: np.ndarray, t: np.ndarray, metric) -> np.ndarray:
+    if isinstance(metric, PairScorer):
+        return np.round(metric.paired(q, t), SCORE_DECIMALS)
     s = np.einsum("ij,ij->i", q, t)
     if metric == "cosine":
         s = s / np.maximum(np.sqrt((q * q).sum(axis=1)) * np.sqrt((t * t).sum(axis=1)), COSINE_EPS)
     return np.round(s, SCORE_DECIMALS)
 
 
-def _rank_job(metric: str):
+def _rank_job(metric):
     def fn(batches):
         for pdf in batches:
             out_q, out_b, out_n = [], [], []
@@ -100,7 +115,7 @@ def _rank_job(metric: str):
     return fn
 
 
-def _topk_job(metric: str, k: int):
+def _topk_job(metric, k: int):
     def fn(batches):
         for pdf in batches:
             cols = {"qid": [], "iid": [], "itie": [], "score": []}
@@ -144,7 +159,7 @@ def _prepare_items(items: DataFrame, grp: str, iid: str, ivec: str, itie: str |
 def rank_of_target(queries: DataFrame, items: DataFrame, *, grp: str, qid: str, qvec: str,
                    target_id: str, target_vec: str, iid: str, ivec: str,
                    target_tie: str | None = None, itie: str | None = None,
-                   metric: str = "dot", block: int = DEFAULT_BLOCK) -> DataFrame:
+                   metric="dot", block: int = DEFAULT_BLOCK) -> DataFrame:
     """Rank (1-based) of each query's target item among all items of its group.
 
     ``rank = 1 + #items ranked before the target`` - the counting form, which needs no sort of
@@ -166,7 +181,7 @@ def rank_of_target(queries: DataFrame, items: DataFrame, *, grp: str, qid: str,
 
 
 def top_k(queries: DataFrame, items: DataFrame, *, grp: str, qid: str, qvec: str, iid: str, ivec: str,
-          k: int = 10, itie: str | None = None, metric: str = "dot", block: int = DEFAULT_BLOCK) -> DataFrame:
+          k: int = 10, itie: str | None = None, metric="dot", block: int = DEFAULT_BLOCK) -> DataFrame:
     """The ``k`` best items of each query's group: ``(qid, rank, iid, score)`` with rank 1..min(k, n)."""
     q = queries.select(F.col(grp), F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("vec"))
     qb = _blocks(q, grp, ["qid"], ["qid", "vec"], block, "qrows")

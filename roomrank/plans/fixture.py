@@ -8,18 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomrank.functions.text import fill_text
+from roomrank.sources.cache import read_through
 from roomrank.sources.tables import matches_view, review_vectors, reviews_view, user_vectors, users_view
 
 _CACHE: dict = {}
 
 
 class Fixture:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    """Prepared tables of one data directory.
+
+    users and matches are derived by multi-way joins and a numbering pass; they are written
+    once through the read-through cache (parquet in the shared checkpoint folder) so every
+    query scans a prepared table instead of re-deriving it. ``prepared=False`` keeps them as
+    plain lazy views.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, prepared: bool = True):
+        self.spark, self.sf_dir, self.prepared = spark, sf_dir, prepared
+
+    def _cached(self, name, build):
+        if not self.prepared:
+            return build()
+        return read_through(self.spark, name, {"sf_dir": self.sf_dir, "table": name}, build)
 
     @cached_property
     def users(self) -> DataFrame:
-        return users_view(self.spark, self.sf_dir)
+        return self._cached("users", lambda: users_view(self.spark, self.sf_dir))
 
     @cached_property
     def reviews(self) -> DataFrame:
@@ -32,7 +46,8 @@ class Fixture:
     @cached_property
     def matches(self) -> DataFrame:
         """All splits; the test split's matches are hidden from fitting by the callers."""
-        return matches_view(self.spark, self.sf_dir, splits=None, users=self.users, reviews=self.reviews)
+        return self._cached("matches", lambda: matches_view(self.spark, self.sf_dir, splits=None,
+                                                            users=self.users, reviews=self.reviews))
 
     @cached_property
     def user_vecs(self) -> DataFrame:

@@ -1,7 +1,237 @@
-"""Queries without an SQL oracle (sinks, caches, model jobs); filled in below."""
+"""Registered queries without an SQL oracle: sinks, caches and model jobs.
+
+Their values are checked in ``tests/``; the driver records rows only.
+"""
 
 from __future__ import annotations
 
+from functools import cached_property
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from roomrank.functions import vectors as V
+from roomrank.operators import features as FE
+from roomrank.operators import models as M
+from roomrank.operators.ranking import mean_reciprocal_rank, target_ranks, topk_per_user, wide_top10
+from roomrank.operators.sequence import number_within_group
+from roomrank.plans.fixture import fixture
+from roomrank.sources.cache import cache_path, read_csv, read_through, write_csv
+from roomrank.session import materialize, shared_dir
+
+TRUNCATE_DIM = 32
+EMB_DIM = 16
+PAIR_BATCH = 32      # pair-scorer batch of the reference
+DUAL_BATCH = 64      # encoder batch of the reference
+DUAL_EPOCHS = 5
+NEGATIVES = 3
+SEED = 0
+
+_MODELS: dict = {}
+R6 = V.round6
+
+
+class Prepared:
+    """Feature tables and models of one data directory, built once per session."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf, self.fx = spark, sf, fixture(spark, sf)
+
+    @cached_property
+    def user_features(self) -> DataFrame:
+        """G7 over all splits (fit per split, code domains from all splits), cached."""
+        def build():
+            u, _ = FE.build_user_features(self.fx.users)
+            # model input: a null feature (e.g. no star rating) becomes 0; the feature
+            # queries themselves keep the null
+            return u.select("user_id", "accommodation_id", "split",
+                            F.transform("features", lambda x: F.coalesce(x, F.lit(0.0))).alias("features"))
+        return read_through(self.spark, "user_features", {"sf": self.sf}, build)
+
+    @cached_property
+    def review_features(self) -> DataFrame:
+        """Layer norm -> truncate -> L2 -> append the two scaled numbers, cached."""
+        def build():
+            scaled = FE.apply_minmax(self.fx.reviews.select("review_id", *FE.REVIEW_SCALE_COLS),
+                                     FE.REVIEW_SCALE_COLS, by=())
+            v = self.fx.review_vecs.join(scaled, "review_id")
+            emb = V.l2_normalize(V.truncate(V.layer_norm("vec"), TRUNCATE_DIM))
+            return v.select("review_id", "accommodation_id", V.append(emb, *FE.REVIEW_SCALE_COLS).alias("vec"))
+        return read_through(self.spark, "review_features", {"sf": self.sf, "dim": TRUNCATE_DIM}, build)
+
+    @cached_property
+    def dims(self) -> tuple[int, int]:
+        du = self.user_features.select(F.size("features")).first()[0]
+        dr = self.review_features.select(F.size("vec")).first()[0]
+        return int(du), int(dr)
+
+    @cached_property
+    def towers(self) -> dict:
+        du, dr = self.dims
+        return {"user": M.init_mlp([du, 64, 32, EMB_DIM], seed=SEED),
+                "review": M.init_mlp([dr, 64, 32, EMB_DIM], seed=SEED + 1),
+                "bridge": M.init_mlp([2 * EMB_DIM, 2 * EMB_DIM, 16, 1], seed=SEED + 2)}
+
+    @cached_property
+    def encoded_users(self) -> DataFrame:
+        e = M.encode(self.user_features, "user_id", "features", self.towers["user"], "a")
+        return e.join(self.user_features.select("user_id", "accommodation_id", "split"), "user_id")
+
+    @cached_property
+    def encoded_reviews(self) -> DataFrame:
+        e = M.encode(self.review_features, "review_id", "vec", self.towers["review"], "b")
+        return e.join(self.review_features.select("review_id", "accommodation_id"), "review_id")
+
+    def matched(self, splits) -> DataFrame:
+        m = self.fx.matches.where(F.col("split").isin(list(splits))).select("user_id", "review_id", "accommodation_id")
+        return (m.join(self.encoded_users.select("user_id", "a"), "user_id")
+                .join(self.encoded_reviews.select("review_id", "b"), "review_id"))
+
+    @cached_property
+    def pair_model(self):
+        """MLlib perceptron on positives + in-batch negatives of the train split."""
+        rows = self.matched(("train",))
+        n = number_within_group(rows.select("accommodation_id", "user_id", "review_id", "a", "b"),
+                                ["accommodation_id"], ["user_id"], name="_rn")
+        n = n.withColumns({"batch_id": F.floor(F.col("_rn") / PAIR_BATCH).cast("long"),
+                           "pos": F.pmod(F.col("_rn"), F.lit(PAIR_BATCH))})
+        sizes = n.groupBy("accommodation_id", "batch_id").agg(F.count(F.lit(1)).alias("n_in_batch"))
+        pairs = materialize(M.negative_pairs(n.join(sizes, ["accommodation_id", "batch_id"]), NEGATIVES))
+        model, scorer = M.fit_pair_mlp(pairs, seed=SEED)
+        return pairs, model, scorer
+
+
+def prepared(spark: SparkSession, sf: str) -> Prepared:
+    key = (id(spark), sf.rstrip("/"))
+    if key not in _MODELS:
+        _MODELS[key] = Prepared(spark, sf.rstrip("/"))
+    return _MODELS[key]
+
+
+def _long(df: DataFrame, key: str, vec: str) -> DataFrame:
+    return df.select(key, F.posexplode(vec).alias("_p", "_v")).select(
+        key, (F.col("_p") + 1).cast("long").alias("position"), R6("_v").alias("value"))
+
+
+# ------------------------------------------------------------------ A4
+WIDE_SCHEMA = T.StructType([T.StructField("ID", T.LongType()), T.StructField("accommodation_id", T.LongType()),
+                            T.StructField("user_id", T.LongType())] +
+                           [T.StructField(f"review_{i}", T.LongType()) for i in range(1, 11)])
+
+
+def csv_roundtrip(spark, sf):
+    from roomrank.plans.queries import top10_wide
+    path = shared_dir(spark, "out/top10_wide")
+    write_csv(top10_wide(spark, sf), path)
+    return read_csv(spark, path, WIDE_SCHEMA)
+
+
+# ------------------------------------------------------------------ A3
+def cache_roundtrip(spark, sf):
+    p = prepared(spark, sf)
+    return _long(p.review_features, "review_id", "vec")
+
+
+# ------------------------------------------------------------------ I12
+def prepare_all(spark, sf):
+    p = prepared(spark, sf)
+    m = p.fx.matches.where(F.col("split") != "test")
+    j = (m.join(p.user_features.select("user_id", "features"), "user_id")
+         .join(p.review_features.select("review_id", "vec"), "review_id"))
+    return j.select("user_id", "review_id", "accommodation_id", "split",
+                    F.size("features").cast("long").alias("n_user_features"),
+                    F.size("vec").cast("long").alias("n_review_features"))
+
+
+# ------------------------------------------------------------------ A5
+def weights_roundtrip(spark, sf):
+    p = prepared(spark, sf)
+    path = cache_path(spark, "weights", {"sf": sf, "seed": SEED})
+    M.save_weights(spark, p.towers, path)
+    return M.weights_frame(spark, M.load_weights(spark, path)).select(
+        "model", "layer", "n_in", "n_out", "activation", F.size("weight").alias("n_weights"),
+        F.round(F.aggregate("weight", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sum_sq"))
+
+
+# ------------------------------------------------------------------ I2 I3
+def encode_users(spark, sf):
+    return _long(prepared(spark, sf).encoded_users, "user_id", "a")
+
+
+def encode_reviews(spark, sf):
+    return _long(prepared(spark, sf).encoded_reviews, "review_id", "b")
+
+
+# ------------------------------------------------------------------ I4
+def pair_score(spark, sf):
+    p = prepared(spark, sf)
+    scorer = M.BridgeScorer(p.towers["bridge"], EMB_DIM)
+    return M.pair_score_rows(p.matched(("val",)), scorer).select("user_id", "review_id", R6("score").alias("score"))
+
+
+# ------------------------------------------------------------------ I5
+def pair_fit(spark, sf):
+    p = prepared(spark, sf)
+    pairs, model, scorer = p.pair_model
+    from pyspark.ml.functions import array_to_vector
+    pred = model.transform(pairs.select(array_to_vector(F.concat("a", "b")).alias("features"), "label"))
+    return pred.agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("label").cast("long").alias("positives"),
+                    R6(F.avg((F.col("prediction") == F.col("label")).cast("double"))).alias("train_accuracy"))
+
+
+# ------------------------------------------------------------------ I8
+def pair_eval(spark, sf):
+    p = prepared(spark, sf)
+    _, _, scorer = p.pair_model
+    v = p.matched(("val",))
+    queries = v.select("user_id", "accommodation_id", F.col("a").alias("vec"), "review_id",
+                       F.col("b").alias("tvec"), F.col("user_id").alias("ttie"))
+    items = v.select("accommodation_id", "review_id", F.col("b").alias("vec"), F.col("user_id").alias("itie"))
+    r = target_ranks(queries, items, metric=scorer, target_tie="ttie", item_tie="itie")
+    return mean_reciprocal_rank(r).select("n_users", R6("mrr").alias("mrr"))
+
+
+# ------------------------------------------------------------------ I10
+def pair_top10(spark, sf):
+    p = prepared(spark, sf)
+    _, _, scorer = p.pair_model
+    users = p.encoded_users.where(F.col("split") == "test").select("user_id", "accommodation_id", F.col("a").alias("vec"))
+    items = p.encoded_reviews.select("review_id", "accommodation_id", F.col("b").alias("vec"))
+    t = topk_per_user(users, items, metric=scorer)
+    return wide_top10(t, users, items)
+
+
+# ------------------------------------------------------------------ I6 I7
+def dual_fit(spark, sf):
+    p = prepared(spark, sf)
+    du, dr = p.dims
+    train = p.fx.matches.where(F.col("split") == "train").select("user_id", "review_id", "accommodation_id")
+    rows = (train.join(p.user_features.select("user_id", F.col("features").alias("xu")), "user_id")
+            .join(p.review_features.select("review_id", F.col("vec").alias("xr")), "review_id"))
+    n = number_within_group(rows, ["accommodation_id"], ["user_id"], name="_rn")
+    n = n.withColumn("batch_id", F.floor(F.col("_rn") / DUAL_BATCH).cast("long"))
+    batches = materialize(n.groupBy("accommodation_id", "batch_id").agg(
+        F.collect_list(F.struct("user_id", "xu", "xr")).alias("rows")).select(
+        "accommodation_id", "batch_id", F.transform("rows", lambda x: x["user_id"]).alias("uids"),
+        F.flatten(F.transform("rows", lambda x: x["xu"])).alias("xu"),
+        F.flatten(F.transform("rows", lambda x: x["xr"])).alias("xr")))
+    wu, wr, losses = M.fit_dual_encoders(batches, du, dr, k=EMB_DIM, epochs=DUAL_EPOCHS, seed=SEED)
+    # Evaluate the trained linear encoders on the validation matches (in-group candidates)
+    enc_u = M.encode(p.user_features, "user_id", "features", [M.Dense(wu, np.zeros(EMB_DIM), "none")], "a")
+    enc_r = M.encode(p.review_features, "review_id", "vec", [M.Dense(wr, np.zeros(EMB_DIM), "none")], "b")
+    v = (p.fx.matches.where(F.col("split") == "val").select("user_id", "review_id", "accommodation_id")
+         .join(enc_u, "user_id").join(enc_r, "review_id"))
+    queries = v.select("user_id", "accommodation_id", F.col("a").alias("vec"), "review_id",
+                       F.col("b").alias("tvec"), F.col("user_id").alias("ttie"))
+    items = v.select("accommodation_id", "review_id", F.col("b").alias("vec"), F.col("user_id").alias("itie"))
+    mrr = mean_reciprocal_rank(target_ranks(queries, items, target_tie="ttie", item_tie="itie"))
+    loss_rows = spark.createDataFrame([(f"epoch_{i}_loss", float(l)) for i, l in enumerate(losses)],
+                                      "step string, value double")
+    return loss_rows.unionByName(mrr.select(F.lit("val_mrr_matched").alias("step"), F.col("mrr").alias("value")))
+
 
 def job_registry() -> dict:
-    return {}
+    return {f.__name__: f for f in (csv_roundtrip, cache_roundtrip, prepare_all, weights_roundtrip, encode_users,
+                                    encode_reviews, pair_score, pair_fit, pair_eval, pair_top10, dual_fit)}
