@@ -18,7 +18,6 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,27 +67,43 @@ def _fast_run_starts(pdf: pd.DataFrame, cols: list[str]) -> np.ndarray:
     return change
 
 
+def _segments(batches):
+    """Yield ``(pid, frame)`` runs of equal ``_pid``.
+
+    The range partition is recorded in the data (``_pid``) rather than read from the task,
+    so the numbering stays right when Spark runs the job under a union or merges partitions.
+    """
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        pid = pdf["_pid"].to_numpy()
+        cuts = np.flatnonzero(pid[1:] != pid[:-1]) + 1
+        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)]):
+            yield int(pid[a]), pdf.iloc[a:b].reset_index(drop=True)
+
+
+def _key_at(pdf, i, group_cols) -> str:
+    return _key_json(pdf.iloc[i][group_cols].tolist()) if group_cols else "[]"
+
+
 def _edges(group_cols):
     def fn(batches):
-        pid = TaskContext.get().partitionId()
-        n_rows, first_key, last_key, n_last = 0, None, None, 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            if first_key is None:
-                first_key = _key_json(pdf.iloc[0][group_cols].tolist()) if group_cols else "[]"
+        stats: dict[int, dict] = {}
+        for pid, pdf in _segments(batches):
+            st = stats.setdefault(pid, {"n_rows": 0, "first_key": None, "last_key": None, "n_last": 0})
+            if st["first_key"] is None:
+                st["first_key"] = _key_at(pdf, 0, group_cols)
             starts = _fast_run_starts(pdf, group_cols)
-            key0 = _key_json(pdf.iloc[0][group_cols].tolist()) if group_cols else "[]"
+            key0 = _key_at(pdf, 0, group_cols)
             idx = np.flatnonzero(starts)
-            if len(idx) == 0:  # whole batch is one run
-                n_last = n_last + len(pdf) if key0 == last_key else len(pdf)
+            if len(idx) == 0:  # the whole segment is one run
+                st["n_last"] = st["n_last"] + len(pdf) if key0 == st["last_key"] else len(pdf)
             else:
-                n_last = len(pdf) - idx[-1]
-            last_key = _key_json(pdf.iloc[-1][group_cols].tolist()) if group_cols else "[]"
-            n_rows += len(pdf)
-        if n_rows:
-            yield pd.DataFrame({"pid": [pid], "n_rows": [n_rows], "first_key": [first_key],
-                                "last_key": [last_key], "n_last": [n_last]})
+                st["n_last"] = len(pdf) - idx[-1]
+            st["last_key"] = _key_at(pdf, len(pdf) - 1, group_cols)
+            st["n_rows"] += len(pdf)
+        if stats:
+            yield pd.DataFrame([{"pid": pid, **st} for pid, st in stats.items()])
     return fn
 
 
@@ -108,35 +123,25 @@ def _offsets(edges: list) -> dict[int, int]:
 
 def _number(group_cols, name, start, offsets_bc):
     def fn(batches):
-        pid = TaskContext.get().partitionId()
         offsets = offsets_bc.value
-        carry = offsets.get(pid, 0)
-        prev_key = None  # None = continue the first run with the partition carry
-        first = True
-        for pdf in batches:
+        cur_pid, carry, prev_key = None, 0, None
+        for pid, pdf in _segments(batches):
             n = len(pdf)
-            if n == 0:
-                continue
             starts = _fast_run_starts(pdf, group_cols)
-            key0 = _key_json(pdf.iloc[0][group_cols].tolist()) if group_cols else "[]"
-            if first:
-                continues = True
-                first = False
+            if pid != cur_pid:  # a new range partition: continue its first run with the carry
+                cur_pid, carry, continues = pid, offsets.get(pid, 0), True
             else:
-                continues = key0 == prev_key
+                continues = _key_at(pdf, 0, group_cols) == prev_key
             starts[0] = not continues
-            run_id = np.cumsum(starts)  # first run has id 0 when it continues, else 1
-            start_pos = np.flatnonzero(np.r_[True, starts[1:]])  # run start indices
+            start_pos = np.flatnonzero(np.r_[True, starts[1:]])
             run_index = np.cumsum(np.r_[True, starts[1:]]) - 1
             pos = np.arange(n) - start_pos[run_index]
             base = np.where(run_index == 0, carry if continues else 0, 0)
             pdf[name] = (pos + base + start).astype("int64")
-            # carry for the next batch: length of the last run so far
             last_start = start_pos[-1]
             carry = (n - last_start) + (carry if (continues and last_start == 0) else 0)
-            prev_key = _key_json(pdf.iloc[-1][group_cols].tolist()) if group_cols else "[]"
-            del run_id
-            yield pdf
+            prev_key = _key_at(pdf, n - 1, group_cols)
+            yield pdf.drop(columns=["_pid"])
     return fn
 
 
@@ -153,13 +158,15 @@ def number_within_group(df: DataFrame, group_cols: list[str], order_cols: list[s
     if not keys:
         raise ValueError("need at least one grouping or ordering column")
     p = num_partitions or default_parallelism(spark)
-    ordered = materialize(df.repartitionByRange(p, *keys).sortWithinPartitions(*keys))
+    ordered = materialize(df.repartitionByRange(p, *keys).sortWithinPartitions(*keys)
+                          .withColumn("_pid", F.spark_partition_id()))
     edges = [r.asDict() for r in
-             ordered.select(*(group_cols or [F.lit(0).alias("_one")]))
+             ordered.select("_pid", *(group_cols or []))
              .mapInPandas(_edges(list(group_cols)), _EDGE_SCHEMA).collect()]
     offsets = _offsets(edges)
     bc = spark.sparkContext.broadcast(offsets)  # one int per partition
-    out_schema = T.StructType(ordered.schema.fields + [T.StructField(name, T.LongType(), False)])
+    out_schema = T.StructType([f for f in ordered.schema.fields if f.name != "_pid"] +
+                              [T.StructField(name, T.LongType(), False)])
     return ordered.mapInPandas(_number(list(group_cols), name, start, bc), out_schema)
 
 
