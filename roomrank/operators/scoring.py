@@ -38,6 +38,10 @@ def _blocks(df: DataFrame, grp: str, id_cols: list[str], fields: list, block: in
     nb = F.greatest(F.ceil(F.col("_n") / F.lit(float(block))), F.lit(1)).cast("long")
     b = (df.join(sizes, grp)
          .withColumn("_blk", F.pmod(F.xxhash64(*[F.col(c) for c in id_cols]), nb)))
+    # Shuffle on (group, block), not on the group alone: otherwise the aggregate reuses the
+    # join's partitioning by group and a hot group's blocks are all built by one task. The
+    # explicit exchange also lets AQE split a skewed partition of the join above.
+    b = b.repartition(grp, "_blk")
     return b.groupBy(grp, "_blk").agg(F.collect_list(F.struct(*fields)).alias(name)).drop("_blk")
 
 
