@@ -43,8 +43,8 @@ def topk_per_user(users: DataFrame, items: DataFrame, *, k: int = CUTOFF, metric
     return t.select("user_id", "rank", "review_id", "score")
 
 
-def wide_top10(topk: DataFrame, users: DataFrame, items: DataFrame, pad: str = "first") -> DataFrame:
-    """``ID, accommodation_id, user_id, review_1 .. review_10``.
+def wide_lists(topk: DataFrame, users: DataFrame, items: DataFrame, pad: str = "first") -> DataFrame:
+    """``accommodation_id, user_id, review_1 .. review_10`` (no ``ID`` yet).
 
     Short lists are padded with the group's first candidate (smallest review_id), as the
     reference pads with candidate index 0; ``pad='null'`` leaves the gaps empty.
@@ -56,6 +56,15 @@ def wide_top10(topk: DataFrame, users: DataFrame, items: DataFrame, pad: str = "
     if pad == "first":
         j = j.withColumns({f"review_{i}": F.coalesce(F.col(f"review_{i}"), F.col("_first"))
                            for i in range(1, CUTOFF + 1)})
-    j = j.select("accommodation_id", "user_id", *[f"review_{i}" for i in range(1, CUTOFF + 1)])
-    numbered = sequential_id(j, ["accommodation_id", "user_id"], name="ID", start=1)
+    return j.select("accommodation_id", "user_id", *[f"review_{i}" for i in range(1, CUTOFF + 1)])
+
+
+def number_lists(wide: DataFrame) -> DataFrame:
+    """Prepend the gap-free ``ID`` (from 1, by accommodation_id then user_id)."""
+    numbered = sequential_id(wide, ["accommodation_id", "user_id"], name="ID", start=1)
     return numbered.select("ID", "accommodation_id", "user_id", *[f"review_{i}" for i in range(1, CUTOFF + 1)])
+
+
+def wide_top10(topk: DataFrame, users: DataFrame, items: DataFrame, pad: str = "first") -> DataFrame:
+    """``ID, accommodation_id, user_id, review_1 .. review_10``."""
+    return number_lists(wide_lists(topk, users, items, pad))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomrank.functions.text import fill_text
-from roomrank.sources.cache import read_through
+from roomrank.sources.cache import cache_path, read_through
 from roomrank.sources.tables import matches_view, review_vectors, reviews_view, user_vectors, users_view
 
 _CACHE: dict = {}
@@ -31,6 +31,13 @@ class Fixture:
             return build()
         return read_through(self.spark, name, {"sf_dir": self.sf_dir, "table": name}, build)
 
+    def prepared_path(self, name: str) -> str:
+        """Folder of a prepared table, written on first use; streams use it as a file source."""
+        if not self.prepared:
+            raise ValueError("only prepared fixtures are written to files")
+        getattr(self, name)
+        return cache_path(self.spark, name, {"sf_dir": self.sf_dir, "table": name})
+
     @cached_property
     def users(self) -> DataFrame:
         return self._cached("users", lambda: users_view(self.spark, self.sf_dir))

@@ -411,6 +411,7 @@ w AS (
   FROM top t JOIN firsts f ON f.accommodation_id = t.accommodation_id
   GROUP BY t.accommodation_id, t.user_id)
 SELECT row_number() OVER (ORDER BY accommodation_id, user_id) AS "ID", * FROM w""")
+    q["top10_stream"] = q["top10_wide"]  # same lists, computed by the stream
     ln_body = f""",
 lv AS (SELECT vec_id AS id, x, pos FROM (SELECT vec_id, unnest(vec) AS x, unnest(range(1, len(vec) + 1)) AS pos FROM vec)),
 st AS (SELECT id, avg(x) AS mu FROM lv GROUP BY id),

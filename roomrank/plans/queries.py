@@ -33,6 +33,7 @@ DRAW_SEED = 11
 SHUFFLE_SEED = 7
 EPOCHS = 3
 GROUP_BLOCK = 64
+STREAM_FILES_PER_BATCH = 2
 DRIFT_FEATURES = ["guest_id", "guest_country", "guest_type", "accommodation_country", "accommodation_type",
                   "accommodation_id"]
 
@@ -349,6 +350,23 @@ def top10_wide(spark, sf):
     return wide_top10(t, users, fx.review_vecs)
 
 
+@query
+def top10_stream(spark, sf):
+    """``top10_wide`` computed by a stream over the prepared users' files (I9 incrementally)."""
+    from roomrank.sources.cache import digest, read_through
+    from roomrank.sources.tables import user_vectors
+    from roomrank.session import shared_dir
+    from roomrank.streaming.predict import run_top10_stream
+
+    fx = fixture(spark, sf)
+    src = fx.prepared_path("users")
+    items = read_through(spark, "review_vecs", {"sf_dir": fx.sf_dir, "table": "review_vecs"}, lambda: fx.review_vecs)
+    users = (spark.readStream.schema(fx.users.schema).option("maxFilesPerTrigger", STREAM_FILES_PER_BATCH)
+             .parquet(src).where(F.col("split") == "test").select("user_id", "accommodation_id"))
+    base = shared_dir(spark, f"stream/top10-{digest({'src': src})}")
+    return run_top10_stream(spark, users, items, lambda b: user_vectors(spark, fx.sf_dir, b), base)
+
+
 # ------------------------------------------------------------------ H1 H2 H3 H10
 @query
 def layernorm_truncate_l2(spark, sf):
