@@ -12,7 +12,7 @@ from typing import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,15 +89,17 @@ def hashed_token_counts(df: DataFrame, id_col: str, text: Column, dim: int = HAS
     """Long form ``(id, position, value)``: L2-normalised token counts per hash bucket.
 
     Tokens are exploded and counted with a grouped aggregate, so the work is spread over
-    the cluster by (id, bucket) and no text is ever cut short.
+    the cluster by (id, bucket) and no text is ever cut short. The partial aggregate runs in
+    the task that read the text, so at most ``dim`` rows per text are shuffled. The norm is a
+    window over one text's buckets (at most ``dim`` rows, whatever the text length), which
+    needs no second aggregate and no join back.
     """
     t = df.select(F.col(id_col), F.explode(tokens(text)).alias("tok"))
     counts = t.groupBy(id_col, token_bucket(F.col("tok"), dim).alias("bucket")).agg(
         F.count(F.lit(1)).cast("double").alias("cnt"))
-    norms = counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("_norm"))
-    return (counts.join(norms, id_col)
-            .select(F.col(id_col), (F.col("bucket") + 1).cast("int").alias("position"),
-                    (F.col("cnt") / F.col("_norm")).alias("value")))
+    norm = F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(Window.partitionBy(id_col)))
+    return counts.select(F.col(id_col), (F.col("bucket") + 1).cast("int").alias("position"),
+                         (F.col("cnt") / norm).alias("value"))
 
 
 def hashed_vectors(df: DataFrame, id_col: str, text: Column, dim: int = HASH_DIM) -> DataFrame:

@@ -44,7 +44,9 @@ class Fixture:
 
     @cached_property
     def reviews(self) -> DataFrame:
-        return reviews_view(self.spark, self.sf_dir)
+        # Prepared once, spread by a hash of the id (AQE sizes the partitions): later scans of the
+        # texts run in parallel even when the source is one large file or row group.
+        return self._cached("reviews", lambda: reviews_view(self.spark, self.sf_dir).repartition("review_id"))
 
     @cached_property
     def reviews_filled(self) -> DataFrame:
