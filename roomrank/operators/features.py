@@ -26,28 +26,47 @@ ONEHOT_COL = "guest_type"
 SCALE_COLS = ["accommodation_score", "month", "room_nights", "accommodation_star_rating",
               "average_accommodation_star_rating", "average_accommodation_score", "average_room_nights"]
 REVIEW_SCALE_COLS = ["review_score", "review_helpful_votes"]
+FILL_MODE_COLS = ("guest_country",)
 MAX_ONEHOT_VALUES = 1000  # one output column per value; refuse an unbounded domain
 
 
 # --------------------------------------------------------------------- D1, C9
+def fit_group_means(users: DataFrame, key: str = "accommodation_id", cols=AVG_COLS, by=("split",)) -> DataFrame:
+    """One row per (fit key, ``key``): ``average_<c>`` = mean of ``c`` (nulls ignored)."""
+    return users.groupBy(*by, key).agg(*[F.avg(c).alias(f"average_{c}") for c in cols])
+
+
 def apply_group_means(users: DataFrame, key: str = "accommodation_id", cols=AVG_COLS, by=("split",)) -> DataFrame:
     """``average_<c>`` = mean of ``c`` over the rows sharing ``key`` (nulls ignored).
 
     A grouped aggregate joined back (AQE splits a hot key on the big side), not a window:
     a window over an unbounded frame buffers a whole accommodation in one task.
     """
-    means = users.groupBy(*by, key).agg(*[F.avg(c).alias(f"average_{c}") for c in cols])
-    return users.join(means, [*by, key], "left")
+    return users.join(fit_group_means(users, key, cols, by), [*by, key], "left")
 
 
 # --------------------------------------------------------------------- D2, D3, B6
+def _frequency_table(users: DataFrame, col: str, by) -> DataFrame:
+    """``(by, col, _k, count_<col>)``: rows per value and their share; nulls left out of both."""
+    counts = users.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_k"))
+    # totals from the (small) counts table: the same exchange is reused, no second scan
+    totals = counts.groupBy(*by).agg(F.sum("_k").alias("_t"))
+    freq = counts.join(F.broadcast(totals), list(by))  # one row per split
+    return freq.select(*by, col, "_k", (F.col("_k") / F.col("_t")).alias(f"count_{col}"))
+
+
 def fit_frequencies(users: DataFrame, col: str, by=("split",)) -> DataFrame:
     """Normalised value counts of ``col``; nulls are left out of numerator and denominator."""
-    nn = users.where(F.col(col).isNotNull())
-    counts = nn.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_k"))
-    totals = nn.groupBy(*by).agg(F.count(F.lit(1)).alias("_t"))
-    freq = counts.join(F.broadcast(totals), list(by))  # one row per split
-    return freq.select(*by, col, (F.col("_k") / F.col("_t")).alias(f"count_{col}"))
+    return _frequency_table(users, col, by).drop("_k")
+
+
+def frequency_mode(table: DataFrame, col: str, by) -> DataFrame:
+    """Mode of ``count_<col>`` over the rows, from the fit table alone: the share carried by the
+    most rows (a value with ``_k`` rows puts its share on ``_k`` rows), smallest share on ties."""
+    name = f"count_{col}"
+    carried = table.groupBy(*by, name).agg(F.sum("_k").alias("_rows"))
+    return carried.groupBy(*by).agg(F.min_by(F.col(name), F.struct((-F.col("_rows")).alias("r"), F.col(name)))
+                                    .alias("_mode"))
 
 
 def _fit_key(df: DataFrame, by):
@@ -57,17 +76,25 @@ def _fit_key(df: DataFrame, by):
     return df.withColumn("_fit", F.lit(0)), ("_fit",), ["_fit"]
 
 
+def _join_frequencies(users: DataFrame, fit_rows: DataFrame, cols, by, fill_mode) -> DataFrame:
+    for c in cols:
+        table = _frequency_table(fit_rows, c, by)
+        users = users.join(table.drop("_k"), [*by, c], "left")
+        if c in fill_mode:
+            name = f"count_{c}"
+            users = (users.join(F.broadcast(frequency_mode(table, c, by)), list(by), "left")  # one row per split
+                     .withColumn(name, F.coalesce(F.col(name), F.col("_mode"))).drop("_mode"))
+    return users
+
+
 def apply_frequencies(users: DataFrame, cols=COUNT_COLS, by=("split",), fill_mode=("guest_country",)) -> DataFrame:
+    """``count_<c>`` per row; null shares of the ``fill_mode`` columns take the column's mode.
+
+    Every table is fitted on the input rows (never on the frame joined so far), so each fit
+    is one scan and one small aggregate.
+    """
     users, by, extra = _fit_key(users, by)
-    for c in cols:
-        users = users.join(fit_frequencies(users, c, by), [*by, c], "left")
-    for c in fill_mode:
-        name = f"count_{c}"
-        # mode of the frequency column, smallest value on ties; one row per split
-        mode = users.groupBy(*by).agg(F.mode(F.col(name), True).alias("_mode"))
-        users = users.join(F.broadcast(mode), list(by), "left")
-        users = users.withColumn(name, F.coalesce(F.col(name), F.col("_mode"))).drop("_mode")
-    return users.drop(*extra)
+    return _join_frequencies(users, users, cols, by, fill_mode).drop(*extra)
 
 
 # --------------------------------------------------------------------- D4, G4, G5, D5
@@ -187,10 +214,17 @@ def build_user_features(users: DataFrame, by=("split",), domain_users: DataFrame
     ``frame`` keeps ``user_id``, ``accommodation_id``, ``split`` plus every feature column and
     a ``features`` array in column order. Binary and one-hot domains come from
     ``domain_users`` (default: the given users, i.e. the union of the splits present).
+
+    Every statistic is fitted on the input rows or on a small fit table, never on the frame
+    joined so far, so the input is scanned once per fit instead of once per earlier join:
+    min/max of the group-mean columns are taken over the means table (the same extremes as
+    over the rows), and the month mean is the mean of the scaled month, as the features use it.
     """
     domain_users = domain_users if domain_users is not None else users
-    u = apply_group_means(users, by=by)
-    u = apply_frequencies(u, by=by)
+    base, by, extra = _fit_key(users, by)
+    means = fit_group_means(base, by=by)
+    u = base.join(means, [*by, "accommodation_id"], "left")
+    u = _join_frequencies(u, base, COUNT_COLS, by, FILL_MODE_COLS)
     domains = fit_domains(domain_users, TARGET_COLS + [ONEHOT_COL])
     bits = {}
     for c in TARGET_COLS:
@@ -199,8 +233,13 @@ def build_user_features(users: DataFrame, by=("split",), domain_users: DataFrame
         u = apply_binary(u, c, dom, nb)
     values = fit_onehot_domain(domain_users, ONEHOT_COL, domains[ONEHOT_COL])
     u = apply_onehot(u, ONEHOT_COL, values)
-    u = apply_minmax(u, SCALE_COLS, by=by)
-    u = apply_mean_constant(u, "month", "average_month", by=by)
+    raw = [c for c in SCALE_COLS if not c.startswith("average_")]
+    avg = [c for c in SCALE_COLS if c.startswith("average_")]
+    stats = fit_minmax(base, raw, by).join(fit_minmax(means, avg, by), list(by), "full")  # one row per split
+    month = (base.select(*by, "month").join(F.broadcast(stats.select(*by, "min_month", "max_month")), list(by))
+             .groupBy(*by).agg(F.avg(minmax_expr("month")).alias("average_month")))
+    u = u.join(F.broadcast(stats), list(by), "left").join(F.broadcast(month), list(by), "left")
+    u = u.withColumns({c: minmax_expr(c) for c in SCALE_COLS})
     cols = user_feature_columns(bits, values)
     u = u.withColumn("features", F.array(*[F.col(c).cast("double") for c in cols]))
     return u.select("user_id", "accommodation_id", *([c for c in ("split",) if c in users.columns]),
