@@ -41,7 +41,9 @@ def main() -> None:
     times = {}
     for name in names:
         fn = reg[name]
-        times[name] = round(statistics.median(run_once(fn, spark, sf_dir) for _ in range(reps)), 3)
+        runs = [run_once(fn, spark, sf_dir) for _ in range(reps)]
+        print(name, [round(t, 3) for t in runs], file=sys.stderr, flush=True)
+        times[name] = round(statistics.median(runs), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_query_median_sum", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir}))
