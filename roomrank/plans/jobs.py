@@ -1,6 +1,7 @@
-"""Registered queries without an SQL oracle: sinks, caches and model jobs.
+"""Registered jobs: sinks, caches and model jobs.
 
-Their values are checked in ``tests/``; the driver records rows only.
+The sink, cache and preparation jobs read back what a query stored, so the oracle SQL of that
+query checks them; the model jobs are checked by value and property in ``tests/``.
 """
 
 from __future__ import annotations

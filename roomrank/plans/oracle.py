@@ -483,4 +483,17 @@ WHERE m.user_id % 10 < 8""")
 SELECT user_id, review_id, CAST(pos AS BIGINT) AS position, round(x, 6) AS value FROM (
   SELECT user_id, review_id, unnest(list_concat(uvec, rvec)) AS x, unnest(range(1, len(uvec) + len(rvec) + 1)) AS pos
   FROM pairs WHERE split_no = 8)""")
+    # jobs whose output is a query's result read back from a file: the same SQL checks them
+    q["csv_roundtrip"] = q["top10_wide"]
+    q["cache_roundtrip"] = q["review_vector"]
+    q["prepare_all"] = _q(f""",
+nf AS (SELECT 3 + (SELECT sum(CAST(greatest(1, ceil(log2(n + 1))) AS BIGINT)) FROM (
+          SELECT count(DISTINCT guest_country) AS n FROM users
+          UNION ALL SELECT count(DISTINCT accommodation_country) FROM users
+          UNION ALL SELECT count(DISTINCT accommodation_type) FROM users))
+          + (SELECT count(DISTINCT guest_type) FROM users) + 8 AS n)
+SELECT m.user_id, m.review_id, m.accommodation_id, {split_sql('m.user_id')} AS split,
+       CAST((SELECT n FROM nf) AS BIGINT) AS n_user_features, CAST({TRUNCATE_DIM} + 2 AS BIGINT) AS n_review_features
+FROM matches m
+WHERE m.user_id % 10 <= 8""")
     return q
