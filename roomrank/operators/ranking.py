@@ -21,12 +21,14 @@ CUTOFF = 10  # MRR@10 and top-10 output, as in the reference
 
 
 def target_ranks(queries: DataFrame, items: DataFrame, *, metric: str = "dot", block: int = DEFAULT_BLOCK,
-                 target_tie: str | None = None, item_tie: str | None = None) -> DataFrame:
+                 target_tie: str | None = None, item_tie: str | None = None,
+                 query_sizes: DataFrame | None = None, item_sizes: DataFrame | None = None) -> DataFrame:
     """``queries(user_id, accommodation_id, vec, review_id, tvec)``, ``items(review_id, accommodation_id, vec)``
-    -> ``(user_id, rank, rr, n_candidates)``."""
+    -> ``(user_id, rank, rr, n_candidates)``. ``*_sizes``: optional cheap frames to size the blocks from."""
     r = rank_of_target(queries, items, grp="accommodation_id", qid="user_id", qvec="vec",
                        target_id="review_id", target_vec="tvec", iid="review_id", ivec="vec",
-                       target_tie=target_tie, itie=item_tie, metric=metric, block=block)
+                       target_tie=target_tie, itie=item_tie, metric=metric, block=block,
+                       query_sizes=query_sizes, item_sizes=item_sizes)
     return r.select("user_id", "rank", reciprocal_rank(F.col("rank"), CUTOFF).alias("rr"), "n_candidates")
 
 
@@ -36,10 +38,11 @@ def mean_reciprocal_rank(ranks: DataFrame) -> DataFrame:
 
 
 def topk_per_user(users: DataFrame, items: DataFrame, *, k: int = CUTOFF, metric: str = "dot",
-                  block: int = DEFAULT_BLOCK) -> DataFrame:
+                  block: int = DEFAULT_BLOCK, query_sizes: DataFrame | None = None,
+                  item_sizes: DataFrame | None = None) -> DataFrame:
     """``users(user_id, accommodation_id, vec)`` -> ``(user_id, rank, review_id, score)``, rank 1..min(k, n)."""
     t = top_k(users, items, grp="accommodation_id", qid="user_id", qvec="vec", iid="review_id", ivec="vec",
-              k=k, metric=metric, block=block)
+              k=k, metric=metric, block=block, query_sizes=query_sizes, item_sizes=item_sizes)
     return t.select("user_id", "rank", "review_id", "score")
 
 

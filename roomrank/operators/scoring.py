@@ -33,10 +33,19 @@ SCORE_DECIMALS = 6
 COSINE_EPS = 1e-8
 
 
-def _blocks(df: DataFrame, grp: str, id_cols: list[str], fields: list, block: int, name: str) -> DataFrame:
-    sizes = df.groupBy(grp).agg(F.count(F.lit(1)).alias("_n"))
-    nb = F.greatest(F.ceil(F.col("_n") / F.lit(float(block))), F.lit(1)).cast("long")
-    b = (df.join(sizes, grp)
+def _blocks(df: DataFrame, grp: str, id_cols: list[str], fields: list, block: int, name: str,
+            sizes_from: DataFrame | None = None) -> DataFrame:
+    """Cut each group of ``df`` into blocks of about ``block`` rows, one row per block.
+
+    The block count only sets the work per task, never the result (every item still meets
+    every query of its group), so the group sizes may come from a cheaper frame with the same
+    groups (``sizes_from``, one row per member, e.g. a prepared key table) instead of
+    re-running the joins that built ``df``. Groups missing there get one block.
+    """
+    src = (sizes_from if sizes_from is not None else df).select(grp)
+    sizes = src.groupBy(grp).agg(F.count(F.lit(1)).alias("_n"))
+    nb = F.greatest(F.coalesce(F.ceil(F.col("_n") / F.lit(float(block))), F.lit(1)), F.lit(1)).cast("long")
+    b = (df.join(sizes, grp, "left" if sizes_from is not None else "inner")
          .withColumn("_blk", F.pmod(F.xxhash64(*[F.col(c) for c in id_cols]), nb)))
     # Shuffle on (group, block), not on the group alone: otherwise the aggregate reuses the
     # join's partitioning by group and a hot group's blocks are all built by one task. The
@@ -152,31 +161,34 @@ _TOPK_SCHEMA = T.StructType([T.StructField("qid", T.LongType()), T.StructField("
                              T.StructField("itie", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def _prepare_items(items: DataFrame, grp: str, iid: str, ivec: str, itie: str | None, block: int) -> DataFrame:
+def _prepare_items(items: DataFrame, grp: str, iid: str, ivec: str, itie: str | None, block: int,
+                   sizes_from: DataFrame | None = None) -> DataFrame:
     it = items.select(F.col(grp), F.col(iid).cast("long").alias("iid"),
                       (F.col(itie).cast("long") if itie else F.lit(0).cast("long")).alias("tie"),
                       F.col(ivec).alias("vec"))
-    ib = _blocks(it, grp, ["iid", "tie"], ["iid", "tie", "vec"], block, "irows")
+    ib = _blocks(it, grp, ["iid", "tie"], ["iid", "tie", "vec"], block, "irows", sizes_from)
     return ib.select(grp, *_flatten_side("irows", "i_", ["iid", "tie"], ["vec"]))
 
 
 def rank_of_target(queries: DataFrame, items: DataFrame, *, grp: str, qid: str, qvec: str,
                    target_id: str, target_vec: str, iid: str, ivec: str,
                    target_tie: str | None = None, itie: str | None = None,
-                   metric="dot", block: int = DEFAULT_BLOCK) -> DataFrame:
+                   metric="dot", block: int = DEFAULT_BLOCK, query_sizes: DataFrame | None = None,
+                   item_sizes: DataFrame | None = None) -> DataFrame:
     """Rank (1-based) of each query's target item among all items of its group.
 
     ``rank = 1 + #items ranked before the target`` - the counting form, which needs no sort of
     the candidates. Returns ``(qid, rank, n_candidates)``; queries whose group has no items
-    produce no row (inner semantics).
+    produce no row (inner semantics). ``query_sizes`` / ``item_sizes``: optional cheap frames
+    with the group column to size the blocks from (see ``_blocks``).
     """
     q = queries.select(F.col(grp), F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("vec"),
                        F.col(target_id).cast("long").alias("tid"),
                        (F.col(target_tie).cast("long") if target_tie else F.lit(0).cast("long")).alias("ttie"),
                        F.col(target_vec).alias("tvec"))
-    qb = _blocks(q, grp, ["qid"], ["qid", "vec", "tid", "ttie", "tvec"], block, "qrows")
+    qb = _blocks(q, grp, ["qid"], ["qid", "vec", "tid", "ttie", "tvec"], block, "qrows", query_sizes)
     qb = qb.select(grp, *_flatten_side("qrows", "q_", ["qid", "tid", "ttie"], ["vec", "tvec"]))
-    ib = _prepare_items(items, grp, iid, ivec, itie, block)
+    ib = _prepare_items(items, grp, iid, ivec, itie, block, item_sizes)
     pairs = qb.join(ib, grp).select("q_qid", "q_tid", "q_ttie", "q_vec", "q_tvec", "i_iid", "i_tie", "i_vec")
     partial = pairs.mapInPandas(_rank_job(metric), _RANK_SCHEMA)
     return (partial.groupBy("qid")
@@ -185,12 +197,13 @@ def rank_of_target(queries: DataFrame, items: DataFrame, *, grp: str, qid: str,
 
 
 def top_k(queries: DataFrame, items: DataFrame, *, grp: str, qid: str, qvec: str, iid: str, ivec: str,
-          k: int = 10, itie: str | None = None, metric="dot", block: int = DEFAULT_BLOCK) -> DataFrame:
+          k: int = 10, itie: str | None = None, metric="dot", block: int = DEFAULT_BLOCK,
+          query_sizes: DataFrame | None = None, item_sizes: DataFrame | None = None) -> DataFrame:
     """The ``k`` best items of each query's group: ``(qid, rank, iid, score)`` with rank 1..min(k, n)."""
     q = queries.select(F.col(grp), F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("vec"))
-    qb = _blocks(q, grp, ["qid"], ["qid", "vec"], block, "qrows")
+    qb = _blocks(q, grp, ["qid"], ["qid", "vec"], block, "qrows", query_sizes)
     qb = qb.select(grp, *_flatten_side("qrows", "q_", ["qid"], ["vec"]))
-    ib = _prepare_items(items, grp, iid, ivec, itie, block)
+    ib = _prepare_items(items, grp, iid, ivec, itie, block, item_sizes)
     pairs = qb.join(ib, grp).select("q_qid", "q_vec", "i_iid", "i_tie", "i_vec")
     partial = pairs.mapInPandas(_topk_job(metric, k), _TOPK_SCHEMA)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("iid"), F.col("itie"))

@@ -296,9 +296,18 @@ def _val_queries(fx):
     return q.join(m, "user_id").join(t, "review_id")
 
 
+def _sizes(fx):
+    """Cheap frames to size the scoring blocks from (prepared key tables, no vector joins)."""
+    return {"val_matches": fx.matches.where(F.col("split") == "val").select("accommodation_id"),
+            "test_users": fx.users.where(F.col("split") == "test").select("accommodation_id"),
+            "reviews": fx.reviews.select("accommodation_id")}
+
+
 def _ranks(spark, sf, metric="dot"):
     fx = fixture(spark, sf)
-    return target_ranks(_val_queries(fx), fx.review_vecs, metric=metric)
+    z = _sizes(fx)
+    return target_ranks(_val_queries(fx), fx.review_vecs, metric=metric,
+                        query_sizes=z["val_matches"], item_sizes=z["reviews"])
 
 
 @query
@@ -326,7 +335,8 @@ def mrr_matched(spark, sf):
     queries = p.select("user_id", "accommodation_id", F.col("uvec").alias("vec"), "review_id",
                        F.col("rvec").alias("tvec"), F.col("user_id").alias("ttie"))
     items = p.select("accommodation_id", "review_id", F.col("rvec").alias("vec"), F.col("user_id").alias("itie"))
-    r = target_ranks(queries, items, target_tie="ttie", item_tie="itie")
+    z = _sizes(fx)["val_matches"]
+    r = target_ranks(queries, items, target_tie="ttie", item_tie="itie", query_sizes=z, item_sizes=z)
     m = mean_reciprocal_rank(r)
     return m.select("n_users", R6("mrr").alias("mrr"))
 
@@ -334,7 +344,8 @@ def mrr_matched(spark, sf):
 # ------------------------------------------------------------------ E3-E6 I9
 def _test_topk(fx):
     users = fx.user_vecs.where(F.col("split") == "test").select("user_id", "accommodation_id", "vec")
-    return users, topk_per_user(users, fx.review_vecs)
+    z = _sizes(fx)
+    return users, topk_per_user(users, fx.review_vecs, query_sizes=z["test_users"], item_sizes=z["reviews"])
 
 
 @query

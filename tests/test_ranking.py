@@ -72,6 +72,14 @@ def test_blocked_scoring_equals_brute_force(spark):
                               "tvec array<double>")
     got = {r["user_id"]: r["rank"] for r in target_ranks(q, items, block=16).collect()}
     got_top = topk_per_user(q.select("user_id", "accommodation_id", "vec"), items, block=16).toPandas()
+    # block sizes from a wrong size source (group 0 missing, others inflated) change only the work
+    bad = spark.createDataFrame([(a,) for a in [1, 2, 3, 4] * 200], "accommodation_id long")
+    assert {r["user_id"]: r["rank"] for r in
+            target_ranks(q, items, block=16, query_sizes=bad, item_sizes=bad).collect()} == got
+    bad_top = topk_per_user(q.select("user_id", "accommodation_id", "vec"), items, block=16,
+                            query_sizes=bad, item_sizes=bad).toPandas()
+    key = ["user_id", "rank"]
+    assert bad_top.sort_values(key).reset_index(drop=True).equals(got_top.sort_values(key).reset_index(drop=True))
     for u in range(n_users):
         cand = np.flatnonzero(acc_i == acc_u[u])
         s = np.round(iv[cand] @ uv[u], 6)
