@@ -183,6 +183,11 @@ def pair_fit(spark, sf):
 
 
 # ------------------------------------------------------------------ I8
+def _val_match_groups(fx) -> DataFrame:
+    """Group column of the validation matches: a cheap frame to size the scoring blocks from."""
+    return fx.matches.where(F.col("split") == "val").select("accommodation_id")
+
+
 def pair_eval(spark, sf):
     p = prepared(spark, sf)
     _, _, scorer = p.pair_model
@@ -190,7 +195,8 @@ def pair_eval(spark, sf):
     queries = v.select("user_id", "accommodation_id", F.col("a").alias("vec"), "review_id",
                        F.col("b").alias("tvec"), F.col("user_id").alias("ttie"))
     items = v.select("accommodation_id", "review_id", F.col("b").alias("vec"), F.col("user_id").alias("itie"))
-    r = target_ranks(queries, items, metric=scorer, target_tie="ttie", item_tie="itie")
+    z = _val_match_groups(p.fx)
+    r = target_ranks(queries, items, metric=scorer, target_tie="ttie", item_tie="itie", query_sizes=z, item_sizes=z)
     return mean_reciprocal_rank(r).select("n_users", R6("mrr").alias("mrr"))
 
 
@@ -200,7 +206,9 @@ def pair_top10(spark, sf):
     _, _, scorer = p.pair_model
     users = p.encoded_users.where(F.col("split") == "test").select("user_id", "accommodation_id", F.col("a").alias("vec"))
     items = p.encoded_reviews.select("review_id", "accommodation_id", F.col("b").alias("vec"))
-    t = topk_per_user(users, items, metric=scorer)
+    t = topk_per_user(users, items, metric=scorer,
+                      query_sizes=p.fx.users.where(F.col("split") == "test").select("accommodation_id"),
+                      item_sizes=p.fx.reviews.select("accommodation_id"))
     return wide_top10(t, users, items)
 
 
@@ -227,7 +235,9 @@ def dual_fit(spark, sf):
     queries = v.select("user_id", "accommodation_id", F.col("a").alias("vec"), "review_id",
                        F.col("b").alias("tvec"), F.col("user_id").alias("ttie"))
     items = v.select("accommodation_id", "review_id", F.col("b").alias("vec"), F.col("user_id").alias("itie"))
-    mrr = mean_reciprocal_rank(target_ranks(queries, items, target_tie="ttie", item_tie="itie"))
+    z = _val_match_groups(p.fx)
+    mrr = mean_reciprocal_rank(target_ranks(queries, items, target_tie="ttie", item_tie="itie",
+                                            query_sizes=z, item_sizes=z))
     loss_rows = spark.createDataFrame([(f"epoch_{i}_loss", float(l)) for i, l in enumerate(losses)],
                                       "step string, value double")
     return loss_rows.unionByName(mrr.select(F.lit("val_mrr_matched").alias("step"), F.col("mrr").alias("value")))
