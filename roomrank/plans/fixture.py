@@ -19,8 +19,9 @@ class Fixture:
 
     users and matches are derived by multi-way joins and a numbering pass; they are written
     once through the read-through cache (parquet in the shared checkpoint folder) so every
-    query scans a prepared table instead of re-deriving it. ``prepared=False`` keeps them as
-    plain lazy views.
+    query scans a prepared table instead of re-deriving it. Each is written spread by a hash of
+    its id (AQE sizes the partitions), so later scans run in parallel even when a source is one
+    large file or row group. ``prepared=False`` keeps them as plain lazy views.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, prepared: bool = True):
@@ -40,12 +41,10 @@ class Fixture:
 
     @cached_property
     def users(self) -> DataFrame:
-        return self._cached("users", lambda: users_view(self.spark, self.sf_dir))
+        return self._cached("users", lambda: users_view(self.spark, self.sf_dir).repartition("user_id"))
 
     @cached_property
     def reviews(self) -> DataFrame:
-        # Prepared once, spread by a hash of the id (AQE sizes the partitions): later scans of the
-        # texts run in parallel even when the source is one large file or row group.
         return self._cached("reviews", lambda: reviews_view(self.spark, self.sf_dir).repartition("review_id"))
 
     @cached_property
@@ -55,8 +54,8 @@ class Fixture:
     @cached_property
     def matches(self) -> DataFrame:
         """All splits; the test split's matches are hidden from fitting by the callers."""
-        return self._cached("matches", lambda: matches_view(self.spark, self.sf_dir, splits=None,
-                                                            users=self.users, reviews=self.reviews))
+        return self._cached("matches", lambda: matches_view(self.spark, self.sf_dir, splits=None, users=self.users,
+                                                            reviews=self.reviews).repartition("user_id"))
 
     @cached_property
     def user_vecs(self) -> DataFrame:
