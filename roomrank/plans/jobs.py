@@ -219,8 +219,11 @@ def dual_fit(spark, sf):
     train = p.fx.matches.where(F.col("split") == "train").select("user_id", "review_id", "accommodation_id")
     rows = (train.join(p.user_features.select("user_id", F.col("features").alias("xu")), "user_id")
             .join(p.review_features.select("review_id", F.col("vec").alias("xr")), "review_id"))
-    n = number_within_group(rows, ["accommodation_id"], ["user_id"], name="_rn")
-    n = n.withColumn("batch_id", F.floor(F.col("_rn") / DUAL_BATCH).cast("long"))
+    # number the keys only, then attach the feature vectors (a narrow numbering pass)
+    keys = number_within_group(rows.select("accommodation_id", "user_id", "review_id"),
+                               ["accommodation_id"], ["user_id"], name="_rn")
+    n = (keys.withColumn("batch_id", F.floor(F.col("_rn") / DUAL_BATCH).cast("long"))
+         .join(rows.select("user_id", "review_id", "xu", "xr"), ["user_id", "review_id"]))
     batches = materialize(n.groupBy("accommodation_id", "batch_id").agg(
         F.collect_list(F.struct("user_id", "xu", "xr")).alias("rows")).select(
         "accommodation_id", "batch_id", F.transform("rows", lambda x: x["user_id"]).alias("uids"),

@@ -425,8 +425,12 @@ def shuffled_batches(spark, sf):
 
 # ------------------------------------------------------------------ L1-L4 D8 B14
 def _batch_table(fx, shuffle_seed=None):
-    p = fx.matched_pairs(("train",)).select("accommodation_id", "user_id", "uvec", "rvec")
-    return batch_losses(C.assign_batches(p, BATCH, shuffle_seed=shuffle_seed))
+    # number the match keys only, then attach the vectors: the numbering's shuffle, checkpoint
+    # and Python pass carry three ids per row instead of two vectors
+    p = fx.matched_pairs(("train",))
+    keys = C.assign_batches(p.select("accommodation_id", "user_id", "review_id"), BATCH, shuffle_seed=shuffle_seed)
+    rows = keys.join(p.select("user_id", "review_id", "uvec", "rvec"), ["user_id", "review_id"])
+    return batch_losses(rows.select("accommodation_id", "batch_id", "user_id", "uvec", "rvec"))
 
 
 def _loss(spark, sf, col):
