@@ -30,6 +30,16 @@ def top10_batch(users: DataFrame, items: DataFrame, pad: str = "first") -> DataF
     return wide_lists(topk_per_user(users, cand), users, cand, pad)
 
 
+def write_batch(batch: DataFrame, batch_id: int, items: DataFrame,
+                attach_vectors: Callable[[DataFrame], DataFrame], sink: str, pad: str = "first") -> None:
+    """One micro-batch: score, then overwrite ``batch_id=N`` (a replay replaces its own output)."""
+    u = attach_vectors(batch).select("user_id", "accommodation_id", "vec").persist()
+    try:
+        top10_batch(u, items, pad).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+    finally:
+        u.unpersist()
+
+
 def start_top10_stream(users: DataFrame, items: DataFrame, attach_vectors: Callable[[DataFrame], DataFrame],
                        sink: str, checkpoint: str, *, available_now: bool = True,
                        processing_time: str | None = None, pad: str = "first") -> StreamingQuery:
@@ -40,14 +50,8 @@ def start_top10_stream(users: DataFrame, items: DataFrame, attach_vectors: Calla
     ``(review_id, accommodation_id, vec)`` table. ``available_now`` processes what is there and
     stops (a scheduled run); otherwise the stream runs on ``processing_time``.
     """
-    out = sink.rstrip("/")
-
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        u = attach_vectors(batch).select("user_id", "accommodation_id", "vec").persist()
-        try:
-            top10_batch(u, items, pad).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        finally:
-            u.unpersist()
+        write_batch(batch, batch_id, items, attach_vectors, sink, pad)
 
     w = users.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")

@@ -49,3 +49,20 @@ def test_stream_equals_batch_and_restarts_incrementally(spark, sf_small):
     assert both.count() == test_users.count()
     assert _same(both, expected)
     assert _same(read_top10(spark, os.path.join(base, "job", "out")), expected)
+
+
+def test_replayed_micro_batch_replaces_its_output(spark, sf_small):
+    from roomrank.streaming.predict import write_batch
+    fx = fixture(spark, sf_small)
+    batch = fx.users.where(F.col("split") == "test").select("user_id", "accommodation_id")
+    sink = os.path.join(tempfile.mkdtemp(prefix="stream-replay-"), "out")
+
+    def attach(b):
+        return user_vectors(spark, sf_small, b)
+
+    write_batch(batch, 0, fx.review_vecs, attach, sink)
+    first = read_top10(spark, sink).count()
+    write_batch(batch, 0, fx.review_vecs, attach, sink)  # the same batch again, as after a failure
+    again = read_top10(spark, sink)
+    assert again.count() == first == batch.count()
+    assert again.select("user_id").distinct().count() == first
