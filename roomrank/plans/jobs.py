@@ -94,8 +94,10 @@ class Prepared:
     def pair_model(self):
         """MLlib perceptron on positives + in-batch negatives of the train split."""
         rows = self.matched(("train",))
-        n = number_within_group(rows.select("accommodation_id", "user_id", "review_id", "a", "b"),
+        # number the keys only, then attach the encoded vectors
+        n = number_within_group(rows.select("accommodation_id", "user_id", "review_id"),
                                 ["accommodation_id"], ["user_id"], name="_rn")
+        n = n.join(rows.select("user_id", "review_id", "a", "b"), ["user_id", "review_id"])
         n = n.withColumns({"batch_id": F.floor(F.col("_rn") / PAIR_BATCH).cast("long"),
                            "pos": F.pmod(F.col("_rn"), F.lit(PAIR_BATCH))})
         sizes = n.groupBy("accommodation_id", "batch_id").agg(F.count(F.lit(1)).alias("n_in_batch"))
@@ -148,9 +150,12 @@ def prepare_all(spark, sf):
 
 # ------------------------------------------------------------------ A5
 def weights_roundtrip(spark, sf):
+    """Save and reload the model artefact: both encoders and the pair scorer fitted on this data."""
     p = prepared(spark, sf)
+    _, _, scorer = p.pair_model
+    models = {"user": p.towers["user"], "review": p.towers["review"], "pair_scorer": scorer.bridge}
     path = cache_path(spark, "weights", {"sf": sf, "seed": SEED})
-    M.save_weights(spark, p.towers, path)
+    M.save_weights(spark, models, path)
     return M.weights_frame(spark, M.load_weights(spark, path)).select(
         "model", "layer", "n_in", "n_out", "activation", F.size("weight").alias("n_weights"),
         F.round(F.aggregate("weight", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sum_sq"))
