@@ -483,6 +483,25 @@ WHERE m.user_id % 10 < 8""")
 SELECT user_id, review_id, CAST(pos AS BIGINT) AS position, round(x, 6) AS value FROM (
   SELECT user_id, review_id, unnest(list_concat(uvec, rvec)) AS x, unnest(range(1, len(uvec) + len(rvec) + 1)) AS pos
   FROM pairs WHERE split_no = 8)""")
+    q["csv_splits"] = _q(""",
+sp AS (SELECT * FROM (VALUES ('train', 0, 7), ('val', 8, 8), ('test', 9, 9)) t(split, lo, hi)),
+su AS MATERIALIZED (
+  SELECT sp.split, u.user_id, u.accommodation_id,
+         coalesce(length(u.guest_country), 0) + coalesce(length(u.guest_type), 0) AS chars
+  FROM users u JOIN sp ON u.user_id % 10 BETWEEN sp.lo AND sp.hi),
+sa AS (SELECT DISTINCT split, accommodation_id FROM su),
+sr AS (
+  SELECT sa.split, r.review_id,
+         coalesce(length(r.review_title), 0) + coalesce(length(r.review_positive), 0)
+           + coalesce(length(r.review_negative), 0) AS chars
+  FROM reviews r JOIN sa ON sa.accommodation_id = r.accommodation_id)
+SELECT split, 'users' AS table_name, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS id_sum,
+       CAST(sum(chars) AS BIGINT) AS text_chars FROM su GROUP BY split
+UNION ALL
+SELECT split, 'reviews', count(*), CAST(sum(review_id) AS BIGINT), CAST(sum(chars) AS BIGINT) FROM sr GROUP BY split
+UNION ALL
+SELECT sp.split, 'matches', count(*), CAST(sum(m.user_id) AS BIGINT), CAST(0 AS BIGINT)
+FROM matches m JOIN sp ON m.user_id % 10 BETWEEN sp.lo AND sp.hi WHERE sp.split <> 'test' GROUP BY sp.split""")
     # jobs whose output is a query's result read back from a file: the same SQL checks them
     q["csv_roundtrip"] = q["top10_wide"]
     q["cache_roundtrip"] = q["review_vector"]

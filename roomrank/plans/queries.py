@@ -64,6 +64,40 @@ def split_counts(spark: SparkSession, sf: str) -> DataFrame:
     return fixture(spark, sf).users.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ------------------------------------------------------------------ A1 A2 (CSV layout)
+@query
+def csv_splits(spark, sf):
+    """Each split written in the reference's CSV layout (users, the reviews of the split's
+    accommodations, matches except for test), then scanned back with explicit schemas:
+    rows, id sum and text length per split and table."""
+    from roomrank.session import shared_dir
+    from roomrank.sources.cache import digest
+    from roomrank.sources.tables import SPLITS, load_split, write_split
+
+    fx = fixture(spark, sf)
+    base = shared_dir(spark, f"csv_layout/{digest({'sf_dir': fx.sf_dir})}")
+    for split in SPLITS:
+        users = fx.split_users(split)
+        reviews = fx.reviews.join(users.select("accommodation_id").distinct(), "accommodation_id", "left_semi")
+        matches = fx.matches.where(F.col("split") == split) if split != "test" else None
+        write_split(users, reviews, matches, base, split)
+    out = []
+    for split in SPLITS:
+        users, reviews, matches = load_split(spark, base, split)
+        parts = [("users", users, "user_id", ["guest_country", "guest_type"]),
+                 ("reviews", reviews, "review_id", _text.TEXT_COLS),
+                 ("matches", matches, "user_id", [])]
+        for name, df, key, texts in parts:
+            if df is None:
+                continue
+            chars = sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(0))
+            out.append(df.agg(F.count(F.lit(1)).alias("n"), F.sum(key).cast("long").alias("id_sum"),
+                              F.sum(chars).cast("long").alias("text_chars"))
+                       .select(F.lit(split).alias("split"), F.lit(name).alias("table_name"), "n", "id_sum",
+                               "text_chars"))
+    return _union(out)
+
+
 # ------------------------------------------------------------------ B5
 @query
 def text_filled(spark, sf):

@@ -44,8 +44,10 @@ def read_through(spark: SparkSession, name: str, params: dict, build) -> DataFra
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV sink with a header line (A4); one directory of part files, as Spark writes."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
+            .option("multiLine", True).option("escape", '"').csv(path))

@@ -64,7 +64,10 @@ def load_split(spark: SparkSession, data_dir: str, split: str):
     base = data_dir.rstrip("/")
 
     def csv(name, schema):
+        # review texts span lines and quote with doubled quotes, as pandas writes them; a
+        # multi-line file is read whole by one task, so parallelism comes from the file count
         return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
+                .option("multiLine", True).option("escape", '"')
                 .option("nanValue", "NaN").csv(f"{base}/{split}_{name}.csv"))
 
     users = csv("users", USER_SCHEMA)
@@ -73,6 +76,23 @@ def load_split(spark: SparkSession, data_dir: str, split: str):
     return users, reviews, matches
 
 
+def write_split(users: DataFrame, reviews: DataFrame, matches: DataFrame | None, data_dir: str, split: str) -> None:
+    """Write one split in the same layout (``{split}_{table}.csv``, header, doubled quotes).
+
+    Spark writes each ``.csv`` as a folder of part files, which ``load_split`` reads the same way.
+    """
+    base = data_dir.rstrip("/")
+    tables = [("users", users, USER_SCHEMA), ("reviews", reviews, REVIEW_SCHEMA)]
+    if matches is not None:
+        tables.append(("matches", matches, MATCH_SCHEMA))
+    for name, df, schema in tables:
+        (df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+         .write.mode("overwrite").option("header", True).option("escape", '"')
+         # Spark's CSV writer trims white space by default; texts must keep theirs
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .csv(f"{base}/{split}_{name}.csv"))
+
+
 # ---------------------------------------------------------------------------
 # views over the driver tables (FIXTURES.md section B)
 # ---------------------------------------------------------------------------

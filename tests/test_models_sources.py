@@ -91,3 +91,16 @@ def test_csv_roundtrip_equal(spark, sf_small):
     a = csv_roundtrip(spark, sf_small)
     b = top10_wide(spark, sf_small)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_split_csv_layout_keeps_texts_exactly(spark, tmp_path):
+    from roomrank.sources.tables import MATCH_SCHEMA, REVIEW_SCHEMA, write_split
+    texts = ["ends with a space ", "  leading", 'a "quoted" word', "two\nlines\n", None]
+    reviews = spark.createDataFrame([(i, 5, t, t, "n", 8.0, 1) for i, t in enumerate(texts)], REVIEW_SCHEMA)
+    users = spark.createDataFrame([(1, "DE", "couple", 5, "FR", "hotel", None, 7.5, 2, 6)], USER_SCHEMA)
+    matches = spark.createDataFrame([(1, 0, 5)], MATCH_SCHEMA)
+    write_split(users, reviews, matches, str(tmp_path), "train")
+    u, r, m = load_split(spark, str(tmp_path), "train")
+    got = {row["review_id"]: row["review_positive"] for row in r.collect()}
+    assert [got[i] for i in range(len(texts))] == texts
+    assert u.count() == 1 and m.first()["review_id"] == 0
