@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomrank.llm import mixing, rules, token_files, url_filter
+from roomrank.llm import mixing, rules, suffix_dedup, token_files, url_filter
 from roomrank.llm.shared import fresh_dir, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(counted, counted=counted).withColumn("failed", F.concat_ws(",", "failed"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mixing": op1_mixing, "op2_token_files": op2_token_files, "op3_url_filter": op3_url_filter,
-            "op7_quality_rules": op7_quality_rules}
+            "op7_quality_rules": op7_quality_rules,
+            "op8_suffix_dedup": op8_suffix_dedup}
