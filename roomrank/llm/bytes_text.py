@@ -21,6 +21,8 @@ STEP = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+NO_LETTER = np.ones(256, bool)  # ASCII signs, digits and white space; other bytes are letters
+NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -94,12 +96,12 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE
     return mix(h)
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of bytes that are no ASCII white space), and per text the first word's place (n + 1)."""
+def words(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes outside `gaps`, ASCII white space), and per text the first word's place (n + 1)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
-    solid = ~SPACE[data]
+    solid = ~gaps[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = starts[(starts > 0) & (starts < n)]

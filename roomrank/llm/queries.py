@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomrank.llm import mixing, ngram_join, rules, suffix_dedup, token_files, url_filter
+from roomrank.llm import mixing, ngram_join, quality, rules, suffix_dedup, token_files, toxicity, url_filter
 from roomrank.llm.shared import fresh_dir, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,15 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.page_outcomes(table(spark, sf_dir, "labels")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -48,5 +57,5 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mixing": op1_mixing, "op2_token_files": op2_token_files, "op3_url_filter": op3_url_filter,
-            "op6_ngram_join": op6_ngram_join, "op7_quality_rules": op7_quality_rules,
+            "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_quality_rules": op7_quality_rules,
             "op8_suffix_dedup": op8_suffix_dedup}
