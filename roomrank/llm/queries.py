@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomrank.llm import compact_windows, mixing, ngram_join, quality, rules, suffix_dedup, token_files, toxicity, url_filter
+from roomrank.llm import compact_windows, decontaminate, mixing, ngram_join, quality, rules, suffix_dedup, token_files, toxicity, url_filter
 from roomrank.llm.shared import fresh_dir, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -55,6 +55,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.near_passages(table(spark, sf_dir, "documents"))
 
@@ -62,4 +66,5 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mixing": op1_mixing, "op2_token_files": op2_token_files, "op3_url_filter": op3_url_filter,
             "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_quality_rules": op7_quality_rules,
-            "op8_suffix_dedup": op8_suffix_dedup, "op10_compact_windows": op10_compact_windows}
+            "op8_suffix_dedup": op8_suffix_dedup, "op9_decontaminate": op9_decontaminate,
+            "op10_compact_windows": op10_compact_windows}
