@@ -118,6 +118,14 @@ def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray, lower: bool =
     return spans(prefix_sums(LOWER[data] if lower else data), ws, we)
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z and the capital letters U+00C0 to U+00DE in lower case."""
+    out = LOWER[data]
+    if len(data) > 1:
+        out[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 0x20
+    return out
+
+
 def runs_of(hashes: np.ndarray, width: int) -> np.ndarray:
     """Fingerprint of each run of `width` consecutive word hashes (over text borders too; callers mask those)."""
     n = len(hashes) - width + 1

@@ -1,6 +1,6 @@
 """9. Benchmark decontamination by latent semantic retrieval.
 
-Words are runs of letters, A-Z lower-cased. A passage is `SPAN` words of a document, one starting
+Words are runs of letters in lower case (A-Z and Latin-1). A passage is `SPAN` words of a document, one starting
 every `STEP_WORDS` words. The vocabulary is that of the benchmark block at hand; a word's weight is its inverse
 document frequency over all documents (nothing for words in more than `max_share` of them), and
 words outside the vocabulary count towards a passage's length only.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomrank.llm.bytes_text import NO_LETTER, flat, slices, word_hashes, words
+from roomrank.llm.bytes_text import NO_LETTER, flat, folded, slices, word_hashes, words
 
 SPAN = 32
 STEP_WORDS = 16
@@ -48,7 +48,7 @@ BLOCK = 512
 def item_words(text: str | None) -> np.ndarray:
     data, starts = flat(pa.array([text], pa.string()))
     ws, we, _ = words(data, starts, NO_LETTER)
-    return word_hashes(data, ws, we) if len(ws) else np.zeros(0, np.uint64)
+    return word_hashes(folded(data), ws, we, lower=False) if len(ws) else np.zeros(0, np.uint64)
 
 
 def answer_of(text: str) -> str:
@@ -140,7 +140,7 @@ class Passages:
 
     def __init__(self, items: Items, data: np.ndarray, starts: np.ndarray) -> None:
         ws, we, bounds = words(data, starts, NO_LETTER)
-        self.hashes = word_hashes(data, ws, we)
+        self.hashes = word_hashes(folded(data), ws, we, lower=False)
         self.bounds = bounds
         counts = np.diff(bounds)
         self.per_text = -(-counts // STEP_WORDS)
@@ -241,8 +241,9 @@ def matches(items: Items, data: np.ndarray, starts: np.ndarray, cosine: float) -
         r, q = np.nonzero(sim >= cosine)
         if not len(r):
             continue
-        pairs = np.unique(np.stack([p.rows[r + lo], items.piece_item[q]], 1), axis=0)
-        top = dict(zip(zip(p.rows[r + lo].tolist(), items.piece_item[q].tolist(), strict=True), sim[r, q].tolist(), strict=False))
+        order = np.lexsort((sim[r, q], items.piece_item[q], r))
+        top = dict(zip(zip(p.rows[r + lo][order].tolist(), items.piece_item[q][order].tolist(), strict=True), sim[r, q][order].tolist(), strict=True))
+        pairs = np.array(list(top))  # the best piece of an item stands last
         texts = np.searchsorted(p.first + p.per_text, pairs[:, 0], "right")
         for (row, k), text in zip(pairs.tolist(), texts.tolist(), strict=True):
             size = len(items.words[k])
