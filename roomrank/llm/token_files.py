@@ -15,6 +15,7 @@ Rows with a null text are empty documents (only the end id); a null doc_id is wr
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -24,20 +25,47 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomrank.llm.bytes_text import (BASE_B, BYTE_B, SPACE, prefix_sums, ragged, slices, spans)
+from roomrank.llm.bytes_text import BASE_B, BYTE_B, SLICE_BYTES, flat, prefix_sums, ragged, slices, spans
 
 NO_ID = -(1 << 63)
 MANIFEST = "part int, stem string, n_docs long, n_tokens long, width int"
-KEPT_PIECES = 400_000  # encoded pieces that a worker remembers before it starts over; bounds memory, not results
+KEPT_PIECES = 1_500_000  # encoded pieces that a worker remembers before it starts over; bounds memory, not results
+GROUP_BYTES = 8 << 20
+
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+DIGIT = np.zeros(256, bool)
+DIGIT[48:58] = True
+VISIBLE = np.zeros(256, bool)
+VISIBLE[0x21:0x7F] = True
+
+
+def _latin(data: np.ndarray) -> np.ndarray:
+    """True on both bytes of the letters U+00C0 to U+00FF (two bytes, the first 0xC3)."""
+    lead = data[:-1] == 0xC3
+    lead &= (data[1:] != 0x97) & (data[1:] != 0xB7)  # the signs for times and division
+    out = np.zeros(len(data), bool)
+    out[:-1] |= lead
+    out[1:] |= lead
+    return out
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies (a fixed rule of that format)."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class PieceEncoder:
     """Encodes texts with a byte-level BPE tokenizer, each different piece once.
 
     A text is cut where the tokenizer's own pre-tokenizer always cuts: before a single space between
-    two visible characters, and around a single line feed between two. Encodings of such pieces put
-    one after another are the encoding of the text; equal pieces are encoded once and gathered by
-    fingerprint (two independent 64-bit ones must agree, else the text is encoded whole).
+    two visible characters, around a single line feed between two, and after a letter that a sign or
+    digit follows. Encodings of such pieces put one after another are the encoding of the text. Equal
+    pieces are encoded once per worker and gathered by fingerprint (two independent 64-bit ones must
+    agree, else the texts at hand are encoded whole). Texts that contain an added token, and
+    tokenizers of another kind, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,7 +77,13 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.feed = self.tok.encode("\n", add_special_tokens=False).ids
+        conf = json.loads(self.tok.to_str())
+        pre, model = conf.get("pre_tokenizer") or {}, conf["model"]
+        self.by_piece = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+                         and not conf.get("normalizer") and model.get("type") == "BPE"
+                         and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
+        self.added = [t["content"].encode() for t in conf.get("added_tokens", [])]
+        self.chars = _byte_chars()
         self.clear()
 
     def clear(self) -> None:
@@ -62,12 +96,14 @@ class PieceEncoder:
     @staticmethod
     def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         n = len(data)
-        visible = (data > 0x20) & (data < 0x7F)
-        before = np.zeros(n, bool)  # the character before is visible
-        before[1:] = visible[:-1]
-        before[2:] |= (data[1:-1] >= 0x80) & (data[:-2] == 0xC3)
+        visible = VISIBLE[data]
+        latin = _latin(data)
+        seen = visible | latin
+        letter = LETTER[data] | latin
+        before = np.zeros(n, bool)
+        before[1:] = seen[:-1]
         after = np.zeros(n, bool)
-        after[:-1] = visible[1:] | (data[1:] == 0xC3)
+        after[:-1] = seen[1:]
         edge = starts[(starts > 0) & (starts < n)]
         before[edge] = False
         after[edge - 1] = False
@@ -76,80 +112,87 @@ class PieceEncoder:
         feed = np.flatnonzero(both & (data == 0x0A))
         cut[feed] = True
         cut[feed + 1] = True
+        sign = visible & ~letter
+        sign[0] = False
+        sign[1:] &= letter[:-1]
+        cut |= sign
         cut[starts[:-1][starts[:-1] < n]] = True
         return np.flatnonzero(cut)
 
-    def learn(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, h2: np.ndarray) -> None:
-        raw, total = data.tobytes(), len(data)
-        last = data[e - 1]
-        ends_well = ((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & (e - s >= 2) & (data[np.maximum(e - 2, 0)] == 0xC3))
-        nxt = data[np.minimum(s + 1, total - 1)]
-        starts_well = ((data[s] > 0x20) & (data[s] < 0x7F)) | (data[s] == 0xC3) | (
-            (data[s] == 0x20) & (e - s >= 2) & (((nxt > 0x20) & (nxt < 0x7F)) | (nxt == 0xC3)))
-        controls = np.concatenate([[0], np.cumsum(data < 0x20)])
-        plain = ends_well & starts_well & (controls[e] == controls[s]) & (len(self.feed) == 1)
-        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(s)
-        at = np.flatnonzero(plain)
-        if len(at):
-            joined = b"\n".join([raw[a:b] for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
-            ids = np.array(self.tok.encode(joined.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64)
-            parts = np.flatnonzero(ids == self.feed[0])
-            if len(parts) == len(at) - 1:
-                ids = ids.astype(self.kind)
-                a = 0
-                for i, b in zip(at.tolist(), [*parts.tolist(), len(ids)], strict=True):
-                    out[i] = ids[a:b]
-                    a = b + 1
-            else:  # a tokenizer that merges across the separator: no shortcut
-                plain[:] = False
-        rest = np.flatnonzero(~plain)
-        if len(rest):
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[rest].tolist(), e[rest].tolist(), strict=True)]
-            for i, enc in zip(rest.tolist(), self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                out[i] = np.array(enc.ids, self.kind)
-        lens = np.array([len(x) for x in out], np.int64)
-        starts = len(self.pool) + np.cumsum(lens) - lens
+    def learn(self, pieces: list[bytes], h: np.ndarray, h2: np.ndarray) -> None:
+        """Encode new pieces and remember them."""
+        data, starts = flat(pa.array(pieces, pa.large_binary()))
+        latin = _latin(data)
+        total = [np.concatenate([[0], np.cumsum(m)]) for m in (LETTER[data] | latin, DIGIT[data], VISIBLE[data] & ~LETTER[data] & ~DIGIT[data] & (data != 0x27))]
+        s, e = starts[:-1], starts[1:]
+        body = e - s - (data[s] == 0x20)
+        # one pre-token: letters only, digits only or signs only (no apostrophe), after a space or not; or one byte
+        single = (e - s == 1) | ((body > 0) & np.logical_or.reduce([t[e] - t[s] == body for t in total]))
+        tokenize, chars = self.tok.model.tokenize, self.chars
+        out: list[list[int]] = []
+        for piece, one in zip(pieces, single.tolist(), strict=True):
+            if one:
+                out.append([t.id for t in tokenize(piece.decode("latin-1").translate(chars))])
+            else:
+                out.append(self.tok.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        lens = np.fromiter(map(len, out), np.int64, len(out))
+        at = len(self.pool) + np.cumsum(lens) - lens
         known = np.concatenate([self.known, h])
         order = np.argsort(known, kind="stable")
         self.known = known[order]
         self.second = np.concatenate([self.second, h2])[order]
-        self.at = np.concatenate([self.at, starts])[order]
+        self.at = np.concatenate([self.at, at])[order]
         self.len = np.concatenate([self.len, lens])[order]
-        self.pool = np.concatenate([self.pool, *out])
+        self.pool = np.concatenate([self.pool, np.fromiter((i for x in out for i in x), self.kind, int(lens.sum()))])
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and per text their number."""
-        if not len(data):
-            return np.zeros(0, self.kind), np.zeros(len(starts) - 1, np.int64)
-        s = self.cuts(data, starts)
-        e = np.append(s[1:], len(data))
-        h = spans(prefix_sums(data), s, e)
-        h2 = spans(prefix_sums(data, BYTE_B, BASE_B), s, e, BASE_B)
+        raw = data.tobytes()
+        if not len(data) or not self.by_piece or any(t in raw for t in self.added):
+            return self.whole(raw, starts)
+        got = []
+        lo, n = 0, len(starts) - 1
+        while lo < n:  # fingerprints by slices of about a megabyte
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + SLICE_BYTES, "right")) - 1)
+            part = data[starts[lo]:starts[hi]]
+            if len(part):
+                s = self.cuts(part, starts[lo:hi + 1] - starts[lo])
+                e = np.append(s[1:], len(part))
+                got.append((s + starts[lo], spans(prefix_sums(part), s, e), spans(prefix_sums(part, BYTE_B, BASE_B), s, e, BASE_B)))
+            lo = hi
+        s, h, h2 = (np.concatenate(x) for x in zip(*got, strict=True))
         uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if (h2[first][back] != h2).any():
-            return self.whole(data, starts)
         if len(self.known) > KEPT_PIECES:
             self.clear()
         place = np.searchsorted(self.known, uniq)
         have = place < len(self.known)
         have[have] = self.known[place[have]] == uniq[have]
-        if (self.second[place[have]] != h2[first][have]).any():
-            return self.whole(data, starts)
+        if (h2[first][back] != h2).any() or (self.second[place[have]] != h2[first][have]).any():
+            return self.whole(raw, starts)
         if not have.all():
             new = first[~have]
-            self.learn(data, s[new], e[new], h[new], h2[new])
+            ends = np.append(s[1:], len(data))[new]
+            self.learn([raw[a:b] for a, b in zip(s[new].tolist(), ends.tolist(), strict=True)], h[new], h2[new])
             place = np.searchsorted(self.known, uniq)
-        at, lens = self.at[place][back], self.len[place][back]
+        lens = self.len[place][back]
         upto = np.concatenate([[0], np.cumsum(lens)])[np.searchsorted(s, starts)]
-        return self.pool[ragged(at, lens)], np.diff(upto)
+        return self.pool[ragged(self.at[place][back], lens)], np.diff(upto)
 
-    def whole(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = data.tobytes()
-        out = [np.array(self.tok.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind)
-               for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+    def whole(self, raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        out = [np.array(x.ids, self.kind) for x in self.tok.encode_batch(texts, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, self.kind), *out]), np.array([len(x) for x in out], np.int64)
 
 
+_encoders: dict[str, PieceEncoder] = {}  # one per worker process, so later tasks know the pieces of earlier ones
+
+
+def encoder(path: str) -> PieceEncoder:
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
+
+
 def _open_out(uri: str):
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
@@ -167,12 +210,12 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             if not batch.num_rows:
                 continue
             if out is None:
-                enc = PieceEncoder(tokenizer)
+                enc = encoder(tokenizer)
                 stem = f"part-{part:06d}-{ctx.taskAttemptId()}"
                 out = _open_out(f"{folder}/{stem}.bin")
             doc_ids = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             ids.append(doc_ids)
-            for _, data, starts in slices(batch.column(1)):
+            for _, data, starts in slices(batch.column(1), GROUP_BYTES):
                 tokens, lens = enc.encode(data, starts)
                 ends = np.cumsum(lens)
                 out.write(np.insert(tokens, ends, np.array(end_id, enc.kind)).tobytes())
