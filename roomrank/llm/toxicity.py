@@ -27,8 +27,9 @@ from roomrank.llm.bytes_text import NO_LETTER, slices, word_hashes, words
 SAMPLE = 20_000
 VOCABULARY = 4096
 LEAST_DOCS = 5
+LEAST_Z = 3.0
 GRADES = 3
-TOXIC_FROM = 0.4
+TOXIC_FROM = 0.35
 
 
 def _distinct_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,15 +123,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     base = np.log((neg + 1) / (pos + 1)) + np.arange(GRADES) * 1.0
     if not pos or not neg:
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), base)
+    if not counted.limit(1).count():
+        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), base)
     a, b = F.col("a") + 0.5 * pos / (pos + neg), F.col("c") - F.col("a") + 0.5 * neg / (pos + neg)
     evidence = F.log(a / (pos + 0.5 - F.col("a") + 0.5)) - F.log(b / (neg + 0.5 - F.col("c") + F.col("a") + 0.5))
     top = (counted.withColumn("e", evidence).withColumn("z", F.col("e") / F.sqrt(1 / a + 1 / b))
-           .orderBy(F.abs("z").desc(), "word").limit(vocabulary))
+           .where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(vocabulary))
     top_rows = top.select("word", "e", "z").collect()
+    if not top_rows:
+        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), base)
     vocab = np.array([r["word"] for r in top_rows], np.int64).view(np.uint64)
     order = np.argsort(vocab)
-    vocab, e = vocab[order], np.array([r["e"] * (r["z"] > 3) for r in top_rows], float)[order]
-    entries = rows.join(F.broadcast(top.select("word")), "word").groupBy("row", "toxic").agg(F.collect_list("word").alias("w")).toArrow()
+    vocab, e = vocab[order], np.array([r["e"] for r in top_rows], float)[order]
+    # every training document, those without any of the words too
+    entries = (rows.join(F.broadcast(top.select("word").withColumn("known", F.lit(True))), "word", "left").groupBy("row", "toxic")
+               .agg(F.collect_list(F.when(F.col("known"), F.col("word"))).alias("w")).toArrow())
     lists = entries.column("w").combine_chunks()
     row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
     col = np.searchsorted(vocab, lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))

@@ -3,9 +3,9 @@
 Labelled page outcomes are counted per host. Three beta-binomial priors are chained: the suffix is
 shrunk towards the overall rate, the registered domain towards its suffix's posterior mean and the
 host towards its domain's. The strength of each prior (its pseudo-count) is estimated from the
-spread of the rates at that level by the method of moments. A page without a rule is blocked when the
-lower posterior bound of its host's bad rate is above a threshold; hosts without labels take their
-domain's (or suffix's, or the overall) posterior as it is, so few labels never block a host.
+spread of the rates at that level by the method of moments, and is never more than the count its own
+mean rests on, so few labels never block a host. A page without a rule is blocked when the lower
+posterior bound of its host's bad rate is above a threshold; a host without labels is judged by its domain.
 
 A null url or one without `://` has empty host and path, fits no rule, and shares the reputation of
 the other such pages. Empty label tables allow every page without a rule. Repeated pages and labels
@@ -85,8 +85,10 @@ def _strength(units: DataFrame, mean: str) -> Column:
 
 
 def _shrunk(units: DataFrame, mean: str, out: str, strength: float) -> DataFrame:
-    return (units.withColumn(out + "_n", F.col("n") + strength)
-            .withColumn(out, (F.col("bad") + F.lit(strength) * F.col(mean)) / F.col(out + "_n")))
+    """Posterior mean and its count. A prior is worth no more than what its own mean rests on (mean_n)."""
+    prior = 1 / (1 / F.lit(strength) + 1 / F.col(mean + "_n"))
+    return (units.withColumn(out + "_n", F.col("n") + prior)
+            .withColumn(out, (F.col("bad") + prior * F.col(mean)) / F.col(out + "_n")))
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -100,18 +102,18 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     hosts = labelled
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    overall = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("m")).first()["m"]
-    overall = 0.5 if overall is None else float(overall)
+    all_ = suffixes.agg(F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    overall = (all_["bad"] + 0.5) / (all_["n"] + 1)
 
     def fitted(units: DataFrame, mean: str) -> float:
         k = units.where("n > 0").agg(_strength(units, mean).alias("k")).first()["k"]
         return STRENGTH[1] if k is None else float(k)
 
-    suffixes = suffixes.withColumn("overall", F.lit(overall))
+    suffixes = suffixes.withColumn("overall", F.lit(overall)).withColumn("overall_n", F.lit(all_["n"] + 1.0))
     suffixes = _shrunk(suffixes, "overall", "suffix_rate", fitted(suffixes, "overall"))
-    domains = domains.join(suffixes.select("suffix", "suffix_rate"), "suffix")
+    domains = domains.join(suffixes.select("suffix", "suffix_rate", "suffix_rate_n"), "suffix")
     domains = _shrunk(domains, "suffix_rate", "domain_rate", fitted(domains, "suffix_rate"))
-    hosts = hosts.join(domains.select("suffix", "domain", "domain_rate"), ["suffix", "domain"])
+    hosts = hosts.join(domains.select("suffix", "domain", "domain_rate", "domain_rate_n"), ["suffix", "domain"])
     hosts = _shrunk(hosts, "domain_rate", "rate", fitted(hosts, "domain_rate"))
     sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("rate_n") + 1))
     return hosts.select("host", "n", "bad", "rate", F.greatest(F.col("rate") - Z * sd, F.lit(0.0)).alias("bound"))
