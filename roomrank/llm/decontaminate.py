@@ -10,8 +10,9 @@ words outside the vocabulary count towards a passage's length only.
    of random directions and random mixtures of the benchmark's own vectors, and back: A'(A W), summed
    per task and then over tasks. The Nystroem form of the randomised SVD gives the leading right
    singular vectors of A from it.
-3. One pass projects every passage and compares it with every item of the block in the latent space;
-   candidates above a cosine are checked on the words at hand: the longest common subsequence of the
+3. One pass projects every passage and compares it with every item of the block in the latent space
+   (items in pieces as long as passages); candidates above a cosine that hold a quarter of a piece's
+   weighted words are checked on the words at hand: the longest common subsequence of the
    item and the words around the passage must hold a share of the item, enough of the item's weighted
    words must be there, and its answer (the last sentence) must be there too.
 
@@ -32,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomrank.llm.bytes_text import NO_LETTER, flat, folded, slices, word_hashes, words
+from roomrank.llm.bytes_text import NO_LETTER, flat, folded, ragged, slices, word_hashes, words
 
 SPAN = 32
 STEP_WORDS = 16
-RANK = 128
-MAX_SHARE = 0.1
-COSINE = 0.2
+RANK = 64
+MAX_SHARE = 0.03
+COSINE = 0.15
+PIECE_SHARE = 0.25
 LCS_SHARE = 0.6
 WEIGHT_SHARE = 0.6
 ANSWER_SHARE = 0.6
@@ -90,6 +92,8 @@ class Items:
         self.queries = np.zeros((len(pieces), len(self.vocab)))
         for r, (_, ids) in enumerate(pieces):
             np.add.at(self.queries[r], ids, self.idf[ids])
+        self.has = self.queries > 0
+        self.piece_weight = (self.has * self.idf).sum(axis=1)
         self.weight = [self.idf[np.unique(self.lookup(w))] for w in self.words]
 
     def test_matrix(self, rank: int) -> np.ndarray:
@@ -170,6 +174,7 @@ class Passages:
         # rows that have entries
         self.at = np.flatnonzero(np.diff(self.row, prepend=-1))
         self.rows = self.row[self.at]
+        self.span, self.size = self.at, np.diff(np.append(self.at, len(self.row)))
 
     def times(self, m: np.ndarray) -> np.ndarray:
         """A M for the rows that have entries."""
@@ -239,6 +244,13 @@ def matches(items: Items, data: np.ndarray, starts: np.ndarray, cosine: float) -
     for lo in range(0, len(z), 8192):
         sim = z[lo:lo + 8192] @ items.latent.T
         r, q = np.nonzero(sim >= cosine)
+        # the passage must hold a share of the piece's weighted words
+        row = p.span[r + lo]
+        of = np.repeat(np.arange(len(r)), p.size[r + lo])
+        entry = ragged(row, p.size[r + lo])
+        held = np.bincount(of, weights=items.has[q[of], p.column[entry]] * items.idf[p.column[entry]], minlength=len(r))
+        likely = held >= PIECE_SHARE * items.piece_weight[q] if cosine > -1 else np.ones(len(r), bool)
+        r, q = r[likely], q[likely]
         if not len(r):
             continue
         order = np.lexsort((sim[r, q], items.piece_item[q], r))
@@ -268,7 +280,7 @@ def matches(items: Items, data: np.ndarray, starts: np.ndarray, cosine: float) -
             if answer < ANSWER_SHARE:
                 continue
             found = (share, answer, top[row, k], lo_w - a, hi_w - lo_w)
-            if (text, k) not in best or found[0] > best[text, k][0]:
+            if (text, k) not in best or found > best[text, k]:
                 best[text, k] = found
     return [(text, items.ids[k], f[3], f[4], float(f[2]), f[0], f[1]) for (text, k), f in best.items()]
 
