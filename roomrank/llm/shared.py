@@ -32,3 +32,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The asked columns under the operator's own names, whatever else the table has."""
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
+
+
+FILTER_BUCKETS = 1 << 20
+
+
+def narrowed(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose key isn't in the one column of `wanted`, so that they needn't be shuffled.
+
+    What is broadcast are the hash buckets of the wanted keys, FILTER_BUCKETS at most whatever the data;
+    rows that share a bucket with a wanted key stay, so a join must follow.
+    """
+    def bucket(c: str):
+        return F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BUCKETS))
+
+    buckets = wanted.select(bucket(wanted.columns[0]).alias("_bucket")).distinct()
+    return rows.join(F.broadcast(buckets), bucket(key) == F.col("_bucket"), "left_semi")
