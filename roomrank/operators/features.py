@@ -1,7 +1,6 @@
 """User and review feature encoders.
 
-Fit / transform are separate: every ``fit_*`` returns a small DataFrame (or a short Python
-list for column names), every ``apply_*`` joins it back. Statistics are grouped aggregates
+Fit / transform are separate: every ``fit_*`` returns a small DataFrame, every ``apply_*`` joins it back. Statistics are grouped aggregates
 (partial aggregation before the shuffle), never windows over a whole key, so a hot
 accommodation or category is summed map-side instead of landing in one task.
 
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomrank.operators.sequence import number_within_group
+from roomrank.session import materialize
 
 # Column groups of the user feature build (fixed by the reference's feature set).
 TARGET_COLS = ["guest_country", "accommodation_country", "accommodation_type"]
@@ -27,7 +27,6 @@ SCALE_COLS = ["accommodation_score", "month", "room_nights", "accommodation_star
               "average_accommodation_star_rating", "average_accommodation_score", "average_room_nights"]
 REVIEW_SCALE_COLS = ["review_score", "review_helpful_votes"]
 FILL_MODE_COLS = ("guest_country",)
-MAX_ONEHOT_VALUES = 1000  # one output column per value; refuse an unbounded domain
 
 
 # --------------------------------------------------------------------- D1, C9
@@ -45,28 +44,46 @@ def apply_group_means(users: DataFrame, key: str = "accommodation_id", cols=AVG_
     return users.join(fit_group_means(users, key, cols, by), [*by, key], "left")
 
 
-# --------------------------------------------------------------------- D2, D3, B6
-def _frequency_table(users: DataFrame, col: str, by) -> DataFrame:
-    """``(by, col, _k, count_<col>)``: rows per value and their share; nulls left out of both."""
-    counts = users.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_k"))
-    # totals from the (small) counts table: the same exchange is reused, no second scan
-    totals = counts.groupBy(*by).agg(F.sum("_k").alias("_t"))
-    freq = counts.join(F.broadcast(totals), list(by))  # one row per split
-    return freq.select(*by, col, "_k", (F.col("_k") / F.col("_t")).alias(f"count_{col}"))
+# --------------------------------------------------------------------- D2, D3, B6, D6
+BROADCAST_ROWS = 100_000  # a fit table is broadcast only when it was counted and has at most this many rows
 
 
-def fit_frequencies(users: DataFrame, col: str, by=("split",)) -> DataFrame:
-    """Normalised value counts of ``col``; nulls are left out of numerator and denominator."""
-    return _frequency_table(users, col, by).drop("_k")
+def _joined(df: DataFrame, small: DataFrame, on, rows: int) -> DataFrame:
+    """Left join with a fit table of ``rows`` (counted) rows: broadcast up to ``BROADCAST_ROWS``, else a shuffle join."""
+    return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, "left")
+
+
+def _per_split(by) -> bool:
+    """One row per split (or one at all): the only fit keys whose tables are known to be tiny."""
+    return set(by) <= {"split", "_fit"}
+
+
+def _tiny(df: DataFrame, by) -> DataFrame:
+    return F.broadcast(df) if _per_split(by) else df
+
+
+def fit_value_counts(rows: DataFrame, cols, by=("split",)) -> DataFrame:
+    """``(by, col, value, k)``: rows per non-null value of several columns, from ONE scan (values as text).
+
+    Frequencies, modes, domains and codes all follow from this table.
+    """
+    stacked = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value"))
+                                                   for c in cols])).alias("x"))
+    return (stacked.where(F.col("x.value").isNotNull()).groupBy(*by, F.col("x.col").alias("col"), F.col("x.value").alias("value"))
+            .agg(F.count(F.lit(1)).alias("k")))
+
 
+def value_shares(counts: DataFrame, by) -> DataFrame:
+    """``(by, col, value, k, share)``: each value's share of its column's non-null rows."""
+    totals = counts.groupBy(*by, "col").agg(F.sum("k").alias("_t"))
+    return counts.join(_tiny(totals, by), [*by, "col"]).select(*by, "col", "value", "k", (F.col("k") / F.col("_t")).alias("share"))
 
-def frequency_mode(table: DataFrame, col: str, by) -> DataFrame:
-    """Mode of ``count_<col>`` over the rows, from the fit table alone: the share carried by the
-    most rows (a value with ``_k`` rows puts its share on ``_k`` rows), smallest share on ties."""
-    name = f"count_{col}"
-    carried = table.groupBy(*by, name).agg(F.sum("_k").alias("_rows"))
-    return carried.groupBy(*by).agg(F.min_by(F.col(name), F.struct((-F.col("_rows")).alias("r"), F.col(name)))
-                                    .alias("_mode"))
+
+def share_modes(shares: DataFrame, by) -> DataFrame:
+    """``(by, col, mode)``: the share carried by the most rows (a value of ``k`` rows puts its share on
+    ``k`` rows), the smallest on ties."""
+    carried = shares.groupBy(*by, "col", "share").agg(F.sum("k").alias("_rows"))
+    return carried.groupBy(*by, "col").agg(F.min_by(F.col("share"), F.struct((-F.col("_rows")).alias("r"), F.col("share"))).alias("mode"))
 
 
 def _fit_key(df: DataFrame, by):
@@ -76,25 +93,30 @@ def _fit_key(df: DataFrame, by):
     return df.withColumn("_fit", F.lit(0)), ("_fit",), ["_fit"]
 
 
-def _join_frequencies(users: DataFrame, fit_rows: DataFrame, cols, by, fill_mode) -> DataFrame:
+def fit_frequencies(users: DataFrame, col: str, by=("split",)) -> DataFrame:
+    """Normalised value counts of ``col``; nulls are left out of numerator and denominator."""
+    shares = value_shares(fit_value_counts(users, [col], by), by)
+    return shares.select(*by, F.col("value").cast(users.schema[col].dataType).alias(col), F.col("share").alias(f"count_{col}"))
+
+
+def _join_frequencies(users: DataFrame, shares: DataFrame, cols, by, fill_mode, rows: int) -> DataFrame:
+    modes = share_modes(shares, by)
     for c in cols:
-        table = _frequency_table(fit_rows, c, by)
-        users = users.join(table.drop("_k"), [*by, c], "left")
+        name = f"count_{c}"
+        mine = shares.where(F.col("col") == c).select(*by, F.col("value").alias("_v"), F.col("share").alias(name))
+        users = _joined(users.withColumn("_v", F.col(c).cast("string")), mine, [*by, "_v"], rows).drop("_v")
         if c in fill_mode:
-            name = f"count_{c}"
-            users = (users.join(F.broadcast(frequency_mode(table, c, by)), list(by), "left")  # one row per split
+            mode = modes.where(F.col("col") == c).select(*by, F.col("mode").alias("_mode"))
+            users = (users.join(_tiny(mode, by), list(by), "left")
                      .withColumn(name, F.coalesce(F.col(name), F.col("_mode"))).drop("_mode"))
     return users
 
 
 def apply_frequencies(users: DataFrame, cols=COUNT_COLS, by=("split",), fill_mode=("guest_country",)) -> DataFrame:
-    """``count_<c>`` per row; null shares of the ``fill_mode`` columns take the column's mode.
-
-    Every table is fitted on the input rows (never on the frame joined so far), so each fit
-    is one scan and one small aggregate.
-    """
+    """``count_<c>`` per row; null shares of the ``fill_mode`` columns take the column's mode."""
     users, by, extra = _fit_key(users, by)
-    return _join_frequencies(users, users, cols, by, fill_mode).drop(*extra)
+    counts = materialize(fit_value_counts(users, cols, by))
+    return _join_frequencies(users, value_shares(counts, by), cols, by, fill_mode, counts.count()).drop(*extra)
 
 
 # --------------------------------------------------------------------- D4, G4, G5, D5
@@ -116,150 +138,133 @@ def minmax_expr(c: str) -> Column:
 def apply_minmax(df: DataFrame, cols, by=("split",), suffix: str = "") -> DataFrame:
     df, by, extra = _fit_key(df, by)
     stats = fit_minmax(df, cols, by)
-    # one row per split: a size bound known in advance, so the broadcast is safe
-    j = df.join(F.broadcast(stats), list(by), "left")
+    j = df.join(_tiny(stats, by), list(by), "left")
     out = j.withColumns({f"{c}{suffix}": minmax_expr(c) for c in cols})
     return out.drop(*[f"{p}_{c}" for c in cols for p in ("min", "max")], *extra)
 
 
-def apply_mean_constant(df: DataFrame, col: str, name: str, by=("split",)) -> DataFrame:
-    """``name`` = mean of ``col`` over the fit key, repeated on every row."""
-    df, by, extra = _fit_key(df, by)
-    m = df.groupBy(*by).agg(F.avg(col).alias(name))
-    return df.join(F.broadcast(m), list(by), "left").drop(*extra)
+# --------------------------------------------------------------------- D6, G1, G2, G3
+def fit_codes(values: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """``(col, value)`` rows, repeats allowed -> ``(col, value, code)`` and the number of values per column.
+
+    One way for every size: the distinct values of each column are numbered from 1 in the byte order
+    of their text by the distributed numbering; only the highest code per column is read back.
+    """
+    codes = number_within_group(values.select("col", "value").distinct(), ["col"], ["value"], name="code", start=1)
+    sizes = {r["col"]: r["n"] for r in codes.groupBy("col").agg(F.max("code").alias("n")).collect()}
+    return codes, sizes
 
 
-# --------------------------------------------------------------------- D6, G1, G2, G3
-MAX_DRIVER_DOMAIN = 100_000  # distinct values fetched to the driver at most; beyond, numbered in Spark
+def _values(users: DataFrame, cols) -> DataFrame:
+    return fit_value_counts(users, cols, ()).select("col", "value")
 
 
-def fit_domains(users: DataFrame, cols) -> dict[str, list | None]:
-    """Sorted distinct non-null values of several columns in ONE job, with a size check.
+def bit_width(n: int) -> int:
+    return max(1, math.ceil(math.log2(n + 1)))
 
-    Each column's list is fetched only while the union holds at most ``MAX_DRIVER_DOMAIN``
-    values (a bounded ``limit`` + ``collect``); a column over the bound maps to ``None`` and
-    is then numbered by the distributed operator instead.
-    """
-    stacked = None
-    for c in cols:
-        part = users.select(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull())
-        stacked = part if stacked is None else stacked.unionByName(part)
-    rows = stacked.distinct().limit(MAX_DRIVER_DOMAIN + 1).collect()
-    if len(rows) > MAX_DRIVER_DOMAIN:
-        return {c: None for c in cols}
-    out: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
-        out[r["col"]].append(r["v"])
-    return {c: sorted(v, key=lambda x: x.encode("utf-8")) for c, v in out.items()}
-
-
-def fit_binary_domain(users: DataFrame, col: str, values: list | None = None) -> tuple[DataFrame, int]:
-    """Domain of ``col`` over all splits: ordinal 1..n by value, and the bit width.
-
-    Our stated rules (the reference's ordinal follows file order): null -> code 0, values
-    unseen at fit time -> code 0, ordinals from 1 in value order, ``ceil(log2(n + 1))`` bits,
-    most significant bit first. ``values`` (sorted) comes from ``fit_domains``; without it,
-    or for a domain over the driver bound, the ordinals come from the distributed numbering.
+
+def join_code(df: DataFrame, col: str, codes: DataFrame, n: int) -> DataFrame:
+    """``_code_<col>``: the value's code; 0 for null and for values unseen at fit time."""
+    mine = codes.where(F.col("col") == col).select(F.col("value").alias("_v"), F.col("code").alias(f"_code_{col}"))
+    j = _joined(df.withColumn("_v", F.col(col).cast("string")), mine, "_v", n).drop("_v")
+    return j.withColumn(f"_code_{col}", F.coalesce(F.col(f"_code_{col}"), F.lit(0)))
+
+
+def bits_of(code: Column, bits: int) -> list[Column]:
+    """The bits of a code, most significant first."""
+    return [F.shiftright(code, bits - 1 - i).bitwiseAND(1).cast("int") for i in range(bits)]
+
+
+def fit_binary_domain(users: DataFrame, col: str) -> tuple[DataFrame, int]:
+    """Codes of ``col`` over all splits and the bit width ``ceil(log2(n + 1))``.
+
+    Our stated rules (the reference's ordinal follows file order): null -> code 0, values unseen at
+    fit time -> code 0, ordinals from 1 in value order, most significant bit first.
     """
-    spark = users.sparkSession
-    if values is None:
-        values = fit_domains(users, [col])[col]
-    if values is not None:
-        dtype = users.schema[col].dataType.simpleString()
-        domain = spark.createDataFrame([(v, i + 1) for i, v in enumerate(values)], f"{col} string, _code long") \
-            .withColumn(col, F.col(col).cast(dtype))
-        n = len(values)
-        domain = F.broadcast(domain)  # size checked above
-    else:
-        distinct = users.select(col).where(F.col(col).isNotNull()).distinct()
-        domain = number_within_group(distinct, [], [col], name="_code", start=1)
-        n = domain.count()
-    bits = max(1, math.ceil(math.log2(n + 1)))
-    return domain, bits
-
-
-def apply_binary(users: DataFrame, col: str, domain: DataFrame, bits: int) -> DataFrame:
-    j = users.join(domain, col, "left").withColumn("_code", F.coalesce(F.col("_code"), F.lit(0)))
-    return j.withColumns({f"{col}_{i}": F.shiftright(F.col("_code"), bits - 1 - i).bitwiseAND(1).cast("int")
-                          for i in range(bits)}).drop("_code")
-
-
-def fit_onehot_domain(users: DataFrame, col: str = ONEHOT_COL, values: list | None = None) -> list[str]:
-    """Sorted distinct values over all splits; they become column names, so the list is capped."""
-    if values is None:
-        values = fit_domains(users, [col])[col]
-    if values is None or len(values) > MAX_ONEHOT_VALUES:
-        raise ValueError(f"{col} has more than {MAX_ONEHOT_VALUES} values; use the binary code")
-    return values
-
-
-def apply_onehot(users: DataFrame, col: str, values: list[str]) -> DataFrame:
-    return users.withColumns({f"{col}_{v}": (F.col(col) == F.lit(v)).cast("int") for v in values}) \
-        .fillna(0, subset=[f"{col}_{v}" for v in values])
+    codes, sizes = fit_codes(_values(users, [col]))
+    return codes, bit_width(sizes.get(col, 0))
 
 
-# --------------------------------------------------------------------- G7
-def user_feature_columns(bits: dict[str, int], onehot_values: list[str]) -> list[str]:
-    cols = [f"count_{c}" for c in COUNT_COLS]
-    for c in TARGET_COLS:
-        cols += [f"{c}_{i}" for i in range(bits[c])]
-    cols += [f"{ONEHOT_COL}_{v}" for v in onehot_values]
-    cols += list(SCALE_COLS) + ["average_month"]
-    return cols
+def apply_binary(users: DataFrame, col: str, codes: DataFrame, bits: int) -> DataFrame:
+    j = join_code(users, col, codes, 2 ** bits)
+    return j.withColumns({f"{col}_{i}": b for i, b in enumerate(bits_of(F.col(f"_code_{col}"), bits))}).drop(f"_code_{col}")
 
 
+def apply_onehot(users: DataFrame, col: str, codes: DataFrame, n: int) -> DataFrame:
+    """``<col>_index``: the place of the one in the row's one-hot vector of ``n``, 0 if it has none (the sparse form, any domain)."""
+    return join_code(users, col, codes, n).withColumnRenamed(f"_code_{col}", f"{col}_index")
+
+
+def onehot_array(index: Column, n: int) -> Column:
+    """The dense vector of a one-hot index, as doubles."""
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i == index).cast("double")) if n else F.array().cast("array<double>")
+
+
+# --------------------------------------------------------------------- G7
 def build_user_features(users: DataFrame, by=("split",), domain_users: DataFrame | None = None):
-    """Whole user feature build; returns ``(frame, feature_columns)``.
+    """Whole user feature build; returns ``(frame, widths)``.
 
-    ``frame`` keeps ``user_id``, ``accommodation_id``, ``split`` plus every feature column and
-    a ``features`` array in column order. Binary and one-hot domains come from
+    ``frame`` keeps ``user_id``, ``accommodation_id``, ``split``, the scaled columns and a ``features``
+    array: frequencies, the bits of each coded column, the one-hot vector, the scaled columns and the
+    month mean; ``widths`` gives the length of each part in that order. Codes come from
     ``domain_users`` (default: the given users, i.e. the union of the splits present).
 
-    Every statistic is fitted on the input rows or on a small fit table, never on the frame
-    joined so far, so the input is scanned once per fit instead of once per earlier join:
-    min/max of the group-mean columns are taken over the means table (the same extremes as
-    over the rows), and the month mean is the mean of the scaled month, as the features use it.
+    The users are scanned once for the value counts (frequencies, modes, domains and codes follow from
+    them), twice for means and extremes per accommodation and per split, and once for the rows.
     """
-    domain_users = domain_users if domain_users is not None else users
     base, by, extra = _fit_key(users, by)
-    means = fit_group_means(base, by=by)
-    u = base.join(means, [*by, "accommodation_id"], "left")
-    u = _join_frequencies(u, base, COUNT_COLS, by, FILL_MODE_COLS)
-    domains = fit_domains(domain_users, TARGET_COLS + [ONEHOT_COL])
-    bits = {}
-    for c in TARGET_COLS:
-        dom, nb = fit_binary_domain(domain_users, c, domains[c])
-        bits[c] = nb
-        u = apply_binary(u, c, dom, nb)
-    values = fit_onehot_domain(domain_users, ONEHOT_COL, domains[ONEHOT_COL])
-    u = apply_onehot(u, ONEHOT_COL, values)
+    coded = [*TARGET_COLS, ONEHOT_COL]
+    counts = materialize(fit_value_counts(base, dict.fromkeys([*COUNT_COLS, *coded]), by))
+    n_counts = counts.count()
+    domain = counts if domain_users is None else fit_value_counts(domain_users, coded, ())
+    codes, sizes = fit_codes(domain.where(F.col("col").isin(coded)).select("col", "value"))
+
     raw = [c for c in SCALE_COLS if not c.startswith("average_")]
     avg = [c for c in SCALE_COLS if c.startswith("average_")]
-    stats = fit_minmax(base, raw, by).join(fit_minmax(means, avg, by), list(by), "full")  # one row per split
-    month = (base.select(*by, "month").join(F.broadcast(stats.select(*by, "min_month", "max_month")), list(by))
-             .groupBy(*by).agg(F.avg(minmax_expr("month")).alias("average_month")))
-    u = u.join(F.broadcast(stats), list(by), "left").join(F.broadcast(month), list(by), "left")
-    u = u.withColumns({c: minmax_expr(c) for c in SCALE_COLS})
-    cols = user_feature_columns(bits, values)
-    u = u.withColumn("features", F.array(*[F.col(c).cast("double") for c in cols]))
+    per_group = base.groupBy(*by, "accommodation_id").agg(
+        *[F.avg(c).alias(f"average_{c}") for c in AVG_COLS],
+        *[f(c).cast("double").alias(f"{n}_{c}") for c in raw for n, f in (("min", F.min), ("max", F.max))],
+        F.sum("month").alias("_month"), F.count("month").alias("_months"))
+    stats = per_group.groupBy(*by).agg(
+        *[f(f"{n}_{c}").alias(f"{n}_{c}") for c in raw for n, f in (("min", F.min), ("max", F.max))],
+        *[f(c).alias(f"{n}_{c}") for c in avg for n, f in (("min", F.min), ("max", F.max))],
+        (F.sum("_month") / F.sum("_months")).alias("_month"))
+    lo, hi = F.col("min_month"), F.col("max_month")  # the mean of the scaled month is the scaled mean
+    stats = stats.withColumn("average_month", F.when(hi > lo, (F.col("_month") - lo) / (hi - lo)).otherwise(F.col("_month") - lo)).drop("_month")
+
+    u = base.join(per_group.select(*by, "accommodation_id", *avg), [*by, "accommodation_id"], "left")
+    u = _join_frequencies(u, value_shares(counts, by), COUNT_COLS, by, FILL_MODE_COLS, n_counts)
+    for c in coded:
+        u = join_code(u, c, codes, sizes.get(c, 0))
+    u = u.join(_tiny(stats, by), list(by), "left").withColumns({c: minmax_expr(c) for c in SCALE_COLS})
+    bits = {c: bit_width(sizes.get(c, 0)) for c in TARGET_COLS}
+    n_one = sizes.get(ONEHOT_COL, 0)
+    features = F.concat(
+        F.array(*[F.col(f"count_{c}").cast("double") for c in COUNT_COLS]),
+        F.array(*[b.cast("double") for c in TARGET_COLS for b in bits_of(F.col(f"_code_{c}"), bits[c])]),
+        onehot_array(F.col(f"_code_{ONEHOT_COL}"), n_one),
+        F.array(*[F.col(c).cast("double") for c in [*SCALE_COLS, "average_month"]]))
+    widths = {**{f"count_{c}": 1 for c in COUNT_COLS}, **bits, ONEHOT_COL: n_one, **{c: 1 for c in [*SCALE_COLS, "average_month"]}}
     return u.select("user_id", "accommodation_id", *([c for c in ("split",) if c in users.columns]),
-                    *cols, "features"), cols
+                    *SCALE_COLS, features.alias("features")), widths
 
 
 # --------------------------------------------------------------------- G9, C7, D9, D10, D12, S1-S4
-def drift_summary(train: DataFrame, val: DataFrame, feature: str) -> DataFrame:
-    """Union size of the two domains and the number of train rows whose value is unseen in val."""
-    a = train.select(F.col(feature).alias("v"))
-    b = val.select(F.col(feature).alias("v"))
-    union_size = a.unionByName(b).distinct().agg(F.count(F.lit(1))).scalar()
-    vb = b.distinct()
-    unseen = a.join(vb, a["v"].eqNullSafe(vb["v"]), "left_anti").agg(F.count(F.lit(1)).alias("unseen_rows"))
-    return unseen.select(F.lit(feature).alias("feature"), union_size.alias("union_size"), "unseen_rows")
-
-
-def drift_unseen_counts(train: DataFrame, val: DataFrame, feature: str) -> DataFrame:
-    a = train.select(F.col(feature).cast("string").alias("value"))
-    vb = val.select(F.col(feature).cast("string").alias("value")).distinct()
-    unseen = a.join(vb, a["value"].eqNullSafe(vb["value"]), "left_anti")
-    return (unseen.where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-            .select(F.lit(feature).alias("feature"), "value", "n"))
+def drift_counts(rows: DataFrame, features, seen: Column) -> DataFrame:
+    """``(feature, value, n_new, n_seen)``: rows per value where ``seen`` is false and true, all features in one
+    scan and one aggregation; null is a value."""
+    long = rows.select(seen.alias("_seen"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value"))
+                                                                for f in features])).alias("x"))
+    return long.groupBy("x.feature", "x.value").agg(F.count_if(~F.col("_seen")).alias("n_new"), F.count_if(F.col("_seen")).alias("n_seen"))
+
+
+def drift_summary(rows: DataFrame, features, seen: Column) -> DataFrame:
+    """Per feature: size of the union of both domains, and the rows on one side whose value the other side lacks."""
+    return drift_counts(rows, features, seen).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("union_size"), F.sum(F.when(F.col("n_seen") == 0, F.col("n_new")).otherwise(0)).alias("unseen_rows"))
+
+
+def drift_unseen_counts(rows: DataFrame, features, seen: Column) -> DataFrame:
+    """Rows per non-null value that the other side lacks."""
+    return (drift_counts(rows, features, seen).where((F.col("n_seen") == 0) & F.col("value").isNotNull())
+            .select("feature", "value", F.col("n_new").alias("n")))

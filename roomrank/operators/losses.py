@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,55 +20,57 @@ PAIRWISE_EPS = 1e-6
 
 _BATCH_SCHEMA = T.StructType([
     T.StructField("accommodation_id", T.LongType()), T.StructField("batch_id", T.LongType()),
-    T.StructField("n", T.LongType()), T.StructField("pairs", T.LongType()),
-    T.StructField("loss_softmax", T.DoubleType()), T.StructField("loss_bce", T.DoubleType()),
-    T.StructField("loss_contrastive", T.DoubleType()),
-])
+    T.StructField("n", T.LongType()), T.StructField("pairs", T.LongType()), T.StructField("loss", T.DoubleType())])
 
 
-def _batch_losses(u: np.ndarray, r: np.ndarray, margin: float) -> tuple[float, float, float]:
+def softmax_loss(u: np.ndarray, r: np.ndarray) -> float:
+    """L1: in-batch softmax cross-entropy, target = own review."""
     s = u @ r.T
-    b = s.shape[0]
-    eye = np.eye(b, dtype=bool)
-    # L1 in-batch softmax cross-entropy, target = own review
     mx = s.max(axis=1, keepdims=True)
-    lse = np.log(np.exp(s - mx).sum(axis=1)) + mx[:, 0]
-    softmax = float(np.mean(lse - np.diag(s)))
-    # L2 BCE with logits per user over the batch, one positive; mean over users
-    y = eye.astype(np.float64)
-    bce = np.maximum(s, 0) - s * y + np.log1p(np.exp(-np.abs(s)))
-    bce_mean = float(np.mean(bce.mean(axis=1)))
-    # L3 contrastive margin loss over all in-batch pairs
-    diff = u[:, None, :] - r[None, :, :] + PAIRWISE_EPS
-    d = np.sqrt((diff * diff).sum(axis=2))
-    con = y * d ** 2 + (1 - y) * np.maximum(margin - d, 0.0) ** 2
-    return softmax, bce_mean, float(con.mean())
-
-
-def _loss_job(margin: float):
-    def fn(batches):
+    return float(np.mean(np.log(np.exp(s - mx).sum(axis=1)) + mx[:, 0] - np.diag(s)))
+
+
+def bce_loss(u: np.ndarray, r: np.ndarray) -> float:
+    """L2: binary cross-entropy with logits over the batch, one positive per user."""
+    s = u @ r.T
+    return float(np.mean(np.maximum(s, 0) - s * np.eye(len(s)) + np.log1p(np.exp(-np.abs(s)))))
+
+
+def contrastive_loss(u: np.ndarray, r: np.ndarray, margin: float = CONTRASTIVE_MARGIN) -> float:
+    """L3: contrastive margin loss over all in-batch pairs; |u - r + eps|^2 from norms and products."""
+    e, y = PAIRWISE_EPS, np.eye(len(u))
+    d2 = ((u * u).sum(axis=1)[:, None] + (r * r).sum(axis=1)[None, :] - 2 * u @ r.T
+          + 2 * e * (u.sum(axis=1)[:, None] - r.sum(axis=1)[None, :]) + u.shape[1] * e * e)
+    d = np.sqrt(np.maximum(d2, 0.0))
+    return float((y * d ** 2 + (1 - y) * np.maximum(margin - d, 0.0) ** 2).mean())
+
+
+LOSSES = {"softmax": softmax_loss, "bce": bce_loss, "contrastive": contrastive_loss}
+
+
+def _loss_job(fn):
+    def work(batches):
         for pdf in batches:
             rows = []
             for row in pdf.itertuples(index=False):
                 n = len(row.uids)
                 u = np.asarray(row.u_flat, dtype=np.float64).reshape(n, -1)
                 r = np.asarray(row.r_flat, dtype=np.float64).reshape(n, -1)
-                sm, bce, con = _batch_losses(u, r, margin)
-                rows.append((row.accommodation_id, row.batch_id, n, n * n, sm, bce, con))
+                rows.append((row.accommodation_id, row.batch_id, n, n * n, fn(u, r)))
             if rows:
                 yield pd.DataFrame(rows, columns=[f.name for f in _BATCH_SCHEMA.fields])
-    return fn
+    return work
 
 
-def batch_losses(batched: DataFrame, margin: float = CONTRASTIVE_MARGIN) -> DataFrame:
-    """``batched(accommodation_id, batch_id, user_id, uvec, rvec)`` -> one row per batch with L1-L3."""
+def batch_losses(batched: DataFrame, loss: str) -> DataFrame:
+    """``batched(accommodation_id, batch_id, user_id, uvec, rvec)`` -> one row per batch with the asked loss of ``LOSSES``."""
     g = batched.groupBy("accommodation_id", "batch_id").agg(
         F.collect_list(F.struct("user_id", "uvec", "rvec")).alias("rows"))
     g = g.select("accommodation_id", "batch_id",
                  F.transform("rows", lambda x: x["user_id"]).alias("uids"),
                  F.flatten(F.transform("rows", lambda x: x["uvec"])).alias("u_flat"),
                  F.flatten(F.transform("rows", lambda x: x["rvec"])).alias("r_flat"))
-    return g.mapInPandas(_loss_job(margin), _BATCH_SCHEMA)
+    return g.mapInPandas(_loss_job(LOSSES[loss]), _BATCH_SCHEMA)
 
 
 def cosine_loss(rows: DataFrame, by: str = "split") -> DataFrame:
@@ -76,6 +78,12 @@ def cosine_loss(rows: DataFrame, by: str = "split") -> DataFrame:
     return rows.groupBy(by).agg(F.avg(F.lit(1.0) - cosine("uvec", "rvec")).alias("loss"))
 
 
-def epoch_means(batch_table: DataFrame, loss: str = "loss_softmax") -> DataFrame:
+def running_means(batch_table: DataFrame, group: str, order: str, loss: str = "loss") -> DataFrame:
+    """``running`` = mean of the group's losses up to each batch (one row per batch, not per match)."""
+    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return batch_table.withColumn("running", F.avg(loss).over(w))
+
+
+def epoch_means(batch_table: DataFrame, loss: str = "loss") -> DataFrame:
     """Mean of the batch losses per epoch (mean over batches)."""
     return batch_table.groupBy("epoch").agg(F.avg(loss).alias("loss"))

@@ -17,6 +17,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,6 +64,15 @@ def init_mlp(sizes: list[int], seed: int = 0, hidden: str = "leaky_relu") -> lis
     return layers
 
 
+def formula_mlp(sizes: list[int], model: int, hidden: str = "leaky_relu") -> list[Dense]:
+    """Weights from an integer formula that any engine can evaluate: (((7 i + 13 j + 5 layer + 3 model) mod 17) - 8) / 32."""
+    layers = []
+    for n, (a, b) in enumerate(zip(sizes[:-1], sizes[1:], strict=True)):
+        i, j = np.arange(b)[:, None], np.arange(a)[None, :]
+        layers.append(Dense(((7 * i + 13 * j + 5 * n + 3 * model) % 17 - 8) / 32.0, np.zeros(b), hidden if n < len(sizes) - 2 else "none"))
+    return layers
+
+
 def forward(x: np.ndarray, layers: list[Dense]) -> np.ndarray:
     """Inference forward pass (dropout is off at inference)."""
     for l in layers:
@@ -91,12 +101,35 @@ def load_weights(spark: SparkSession, path: str) -> dict[str, list[Dense]]:
     return out
 
 
+def encoder_id(models: dict[str, list[Dense]]) -> str:
+    """Digest of the encoders' weights."""
+    h = hashlib.sha1()
+    for name in ("user", "review"):
+        for l in models[name]:
+            h.update(np.ascontiguousarray(l.w).tobytes() + np.ascontiguousarray(l.b).tobytes() + l.activation.encode())
+    return h.hexdigest()[:16]
+
+
+def save_scorer(spark: SparkSession, scorer: list[Dense], encoders: dict[str, list[Dense]], path: str) -> None:
+    """The pair scorer with the id of the encoders it was fitted on."""
+    weights_frame(spark, {f"pair_scorer-{encoder_id(encoders)}": scorer}).write.mode("overwrite").parquet(path)
+
+
+def load_scorer(spark: SparkSession, path: str, encoders: dict[str, list[Dense]]) -> list[Dense]:
+    """The pair scorer; refuses one that was fitted on other encoders."""
+    (name, layers), = load_weights(spark, path).items()
+    if name != f"pair_scorer-{encoder_id(encoders)}":
+        raise ValueError(f"{name} was not fitted on encoders {encoder_id(encoders)}")
+    return layers
+
+
 # ------------------------------------------------------------------ I2 I3 encoders
-def encode(df: DataFrame, id_col: str, vec_col: str, layers: list[Dense], out_col: str = "emb") -> DataFrame:
-    """Apply an MLP to every row's vector, Arrow batch at a time, weights broadcast once."""
+def encode(df: DataFrame, id_col: str, vec_col: str, layers: list[Dense], out_col: str = "emb", keys: tuple = ()) -> DataFrame:
+    """Apply an MLP to every row's vector, Arrow batch at a time, weights broadcast once; ``keys`` pass through."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(layers)
-    schema = T.StructType([df.select(id_col).schema[0], T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+    carried = [id_col, *keys]
+    schema = T.StructType([*df.select(*carried).schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
 
     def job(batches):
         ls = bc.value
@@ -105,9 +138,9 @@ def encode(df: DataFrame, id_col: str, vec_col: str, layers: list[Dense], out_co
                 continue
             x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
             y = forward(x, ls)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), out_col: list(y)})
+            yield pdf[carried].assign(**{out_col: list(y)})
 
-    return df.select(id_col, vec_col).mapInPandas(job, schema)
+    return df.select(*carried, vec_col).mapInPandas(job, schema)
 
 
 # ------------------------------------------------------------------ I4 pair scorer
@@ -219,7 +252,7 @@ def _grad_job(bc, du: int, dr: int, k: int):
     def fn(batches):
         wu, wr = bc.value
         gu, gr = np.zeros_like(wu), np.zeros_like(wr)
-        loss_sum, nb = 0.0, 0
+        loss_sum, nb, bad = 0.0, 0, 0
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 n = len(row.uids)
@@ -230,14 +263,17 @@ def _grad_job(bc, du: int, dr: int, k: int):
                 mx = s.max(axis=1, keepdims=True)
                 e = np.exp(s - mx)
                 p = e / e.sum(axis=1, keepdims=True)
-                loss_sum += float(np.mean(np.log(e.sum(axis=1)) + mx[:, 0] - np.diag(s)))
+                loss = float(np.mean(np.log(e.sum(axis=1)) + mx[:, 0] - np.diag(s)))
+                bad += not np.isfinite(loss)
+                loss_sum += loss
                 ds = (p - np.eye(n)) / n                        # d(batch mean loss)/dS
                 du_, dr_ = ds @ r, ds.T @ u
                 gu += du_.T @ xu
                 gr += dr_.T @ xr
                 nb += 1
-        idx = np.arange(n_wu + n_wr + 2, dtype=np.int32)
-        vals = np.concatenate([gu.ravel(), gr.ravel(), [loss_sum, float(nb)]])
+        idx = np.arange(n_wu + n_wr + 3, dtype=np.int32)
+        vals = np.concatenate([gu.ravel(), gr.ravel(), [loss_sum, float(nb), float(bad)]])
+        vals = np.nan_to_num(vals)  # pandas hands NaN on as null, which a sum skips; `bad` tells
         yield pd.DataFrame({"idx": idx, "g": vals})
 
     return fn
@@ -264,8 +300,10 @@ def fit_dual_encoders(batches: DataFrame, du: int, dr: int, k: int = 16, epochs:
         g = (batches.mapInPandas(_grad_job(bc, du, dr, k), _GRAD_SCHEMA)
              .groupBy("idx").agg(F.sum("g").alias("g")).orderBy("idx").collect())
         vals = np.array([r["g"] for r in g])
-        n_b = max(vals[-1], 1.0)
-        losses.append(vals[-2] / n_b)
+        n_b = max(vals[-2], 1.0)
+        losses.append(vals[-3] / n_b)
+        if vals[-1]:
+            raise FloatingPointError(f"epoch {epoch}: {vals[-1]:.0f} batches have a loss that is not finite")  # B14
         grads = [vals[:k * du].reshape(k, du) / n_b, vals[k * du:k * du + k * dr].reshape(k, dr) / n_b]
         params = [wu, wr]
         for i in range(2):  # Adam step on the driver (model-sized arrays)

@@ -29,12 +29,18 @@ def target_ranks(queries: DataFrame, items: DataFrame, *, metric: str = "dot", b
                        target_id="review_id", target_vec="tvec", iid="review_id", ivec="vec",
                        target_tie=target_tie, itie=item_tie, metric=metric, block=block,
                        query_sizes=query_sizes, item_sizes=item_sizes)
-    return r.select("user_id", "rank", reciprocal_rank(F.col("rank"), CUTOFF).alias("rr"), "n_candidates")
+    rr = F.coalesce(reciprocal_rank(F.col("rank"), CUTOFF), F.lit(0.0))  # 0 for a target that is no candidate
+    return r.select("user_id", "rank", rr.alias("rr"), "n_candidates", "n_nonfinite")
 
 
 def mean_reciprocal_rank(ranks: DataFrame) -> DataFrame:
-    """One row: ``n_users``, ``mrr`` (mean of 1/rank when rank <= 10, else 0)."""
-    return ranks.agg(F.count(F.lit(1)).alias("n_users"), F.avg("rr").alias("mrr"))
+    """One row: ``n_users``, ``mrr`` (mean of 1/rank when rank <= 10, else 0).
+
+    Stops on a score that is not finite (B14): a diverged model has no MRR.
+    """
+    bad = F.sum("n_nonfinite") if "n_nonfinite" in ranks.columns else F.lit(0)
+    mrr = F.when(bad > 0, F.raise_error(F.concat(F.lit("non-finite scores: "), bad)).cast("double")).otherwise(F.avg("rr"))
+    return ranks.agg(F.count(F.lit(1)).alias("n_users"), mrr.alias("mrr"))
 
 
 def topk_per_user(users: DataFrame, items: DataFrame, *, k: int = CUTOFF, metric: str = "dot",

@@ -40,11 +40,13 @@ def _blocks(df: DataFrame, grp: str, id_cols: list[str], fields: list, block: in
     The block count only sets the work per task, never the result (every item still meets
     every query of its group), so the group sizes may come from a cheaper frame with the same
     groups (``sizes_from``, one row per member, e.g. a prepared key table) instead of
-    re-running the joins that built ``df``. Groups missing there get one block.
+    re-running the joins that built ``df``. ``sizes_from`` must have every group of ``df``: a row
+    without a size stops the job, since its group would become one block without bound.
     """
     src = (sizes_from if sizes_from is not None else df).select(grp)
     sizes = src.groupBy(grp).agg(F.count(F.lit(1)).alias("_n"))
-    nb = F.greatest(F.coalesce(F.ceil(F.col("_n") / F.lit(float(block))), F.lit(1)), F.lit(1)).cast("long")
+    nb = F.greatest(F.ceil(F.col("_n") / F.lit(float(block))), F.lit(1)).cast("long")
+    nb = F.when(F.col("_n").isNull(), F.raise_error(F.lit("a group has no size: sizes_from lacks it")).cast("long")).otherwise(nb)
     b = (df.join(sizes, grp, "left" if sizes_from is not None else "inner")
          .withColumn("_blk", F.pmod(F.xxhash64(*[F.col(c) for c in id_cols]), nb)))
     # Shuffle on (group, block), not on the group alone: otherwise the aggregate reuses the
@@ -79,28 +81,33 @@ class PairScorer:
 
 def _scores(q: np.ndarray, it: np.ndarray, metric) -> np.ndarray:
     if isinstance(metric, PairScorer):
-        return np.round(metric.matrix(q, it), SCORE_DECIMALS)
+        return _lowest_if_nan(np.round(metric.matrix(q, it), SCORE_DECIMALS))
     s = q @ it.T
     if metric == "cosine":
         qn = np.sqrt((q * q).sum(axis=1))
         inn = np.sqrt((it * it).sum(axis=1))
         s = s / np.maximum(np.outer(qn, inn), COSINE_EPS)
-    return np.round(s, SCORE_DECIMALS)
+    return _lowest_if_nan(np.round(s, SCORE_DECIMALS))
+
+
+def _lowest_if_nan(s: np.ndarray) -> np.ndarray:
+    """NaN ranks below every score, in numpy and in Spark."""
+    return np.where(np.isnan(s), -np.inf, s)
 
 
 def _pair_scores(q: np.ndarray, t: np.ndarray, metric) -> np.ndarray:
     if isinstance(metric, PairScorer):
-        return np.round(metric.paired(q, t), SCORE_DECIMALS)
+        return _lowest_if_nan(np.round(metric.paired(q, t), SCORE_DECIMALS))
     s = np.einsum("ij,ij->i", q, t)
     if metric == "cosine":
         s = s / np.maximum(np.sqrt((q * q).sum(axis=1)) * np.sqrt((t * t).sum(axis=1)), COSINE_EPS)
-    return np.round(s, SCORE_DECIMALS)
+    return _lowest_if_nan(np.round(s, SCORE_DECIMALS))
 
 
 def _rank_job(metric):
     def fn(batches):
         for pdf in batches:
-            out_q, out_b, out_n = [], [], []
+            out_q, out_b, out_n, out_t, out_x = [], [], [], [], []
             for row in pdf.itertuples(index=False):
                 qid = np.asarray(row.q_qid, dtype=np.int64)
                 nq = len(qid)
@@ -122,9 +129,12 @@ def _rank_job(metric):
                 out_q.append(qid)
                 out_b.append(before.sum(axis=1).astype(np.int64))
                 out_n.append(np.full(nq, ni, dtype=np.int64))
+                out_t.append(is_target.sum(axis=1).astype(np.int64))
+                out_x.append(np.isinf(s).sum(axis=1).astype(np.int64) + np.isinf(t[:, 0]))
             if out_q:
                 yield pd.DataFrame({"qid": np.concatenate(out_q), "n_before": np.concatenate(out_b),
-                                    "n_items": np.concatenate(out_n)})
+                                    "n_items": np.concatenate(out_n), "n_target": np.concatenate(out_t),
+                                    "n_nonfinite": np.concatenate(out_x)})
     return fn
 
 
@@ -156,7 +166,8 @@ def _topk_job(metric, k: int):
 
 
 _RANK_SCHEMA = T.StructType([T.StructField("qid", T.LongType()), T.StructField("n_before", T.LongType()),
-                             T.StructField("n_items", T.LongType())])
+                             T.StructField("n_items", T.LongType()), T.StructField("n_target", T.LongType()),
+                             T.StructField("n_nonfinite", T.LongType())])
 _TOPK_SCHEMA = T.StructType([T.StructField("qid", T.LongType()), T.StructField("iid", T.LongType()),
                              T.StructField("itie", T.LongType()), T.StructField("score", T.DoubleType())])
 
@@ -178,8 +189,9 @@ def rank_of_target(queries: DataFrame, items: DataFrame, *, grp: str, qid: str,
     """Rank (1-based) of each query's target item among all items of its group.
 
     ``rank = 1 + #items ranked before the target`` - the counting form, which needs no sort of
-    the candidates. Returns ``(qid, rank, n_candidates)``; queries whose group has no items
-    produce no row (inner semantics). ``query_sizes`` / ``item_sizes``: optional cheap frames
+    the candidates. Returns ``(qid, rank, n_candidates, n_nonfinite)``; the rank is null if the target
+    is no candidate, NaN scores rank last and are counted, and queries whose group has no items
+    produce no row (the query ``dropped_users`` counts them). ``query_sizes`` / ``item_sizes``: optional cheap frames
     with the group column to size the blocks from (see ``_blocks``).
     """
     q = queries.select(F.col(grp), F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("vec"),
@@ -192,7 +204,8 @@ def rank_of_target(queries: DataFrame, items: DataFrame, *, grp: str, qid: str,
     pairs = qb.join(ib, grp).select("q_qid", "q_tid", "q_ttie", "q_vec", "q_tvec", "i_iid", "i_tie", "i_vec")
     partial = pairs.mapInPandas(_rank_job(metric), _RANK_SCHEMA)
     return (partial.groupBy("qid")
-            .agg((F.sum("n_before") + 1).alias("rank"), F.sum("n_items").alias("n_candidates"))
+            .agg(F.when(F.sum("n_target") > 0, F.sum("n_before") + 1).alias("rank"), F.sum("n_items").alias("n_candidates"),
+                 F.sum("n_nonfinite").alias("n_nonfinite"))
             .withColumnRenamed("qid", qid))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomrank.functions.text import fill_text
-from roomrank.sources.cache import cache_path, read_through
+from roomrank.session import ensure_checkpoint_dir
+from roomrank.sources.cache import cache_path, input_digest, read_through
 from roomrank.sources.tables import matches_view, review_vectors, reviews_view, user_vectors, users_view
 
 _CACHE: dict = {}
@@ -17,27 +18,36 @@ _CACHE: dict = {}
 class Fixture:
     """Prepared tables of one data directory.
 
-    users and matches are derived by multi-way joins and a numbering pass; they are written
-    once through the read-through cache (parquet in the shared checkpoint folder) so every
-    query scans a prepared table instead of re-deriving it. Each is written spread by a hash of
-    its id (AQE sizes the partitions), so later scans run in parallel even when a source is one
-    large file or row group. ``prepared=False`` keeps them as plain lazy views.
+    users and matches are derived by multi-way joins and a numbering pass; they, and the reviews
+    without their texts, are written once through the read-through cache so every query scans a
+    prepared table instead of re-deriving it. Each is written spread by a hash of its id (AQE sizes the
+    partitions). Texts stay in place: ``reviews`` is a lazy projection of the documents, never shuffled
+    or copied; ``spark.sql.files.maxPartitionBytes`` sets how their scan is split.
+    ``prepared=False`` keeps all tables as plain lazy views.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, prepared: bool = True):
         self.spark, self.sf_dir, self.prepared = spark, sf_dir, prepared
+        ensure_checkpoint_dir(spark)
+
+    @cached_property
+    def inputs(self) -> str:
+        return input_digest(self.spark, self.sf_dir)
+
+    def params(self, name: str, **more) -> dict:
+        return {"sf_dir": self.sf_dir, "inputs": self.inputs, "table": name, **more}
 
     def _cached(self, name, build):
         if not self.prepared:
             return build()
-        return read_through(self.spark, name, {"sf_dir": self.sf_dir, "table": name}, build)
+        return read_through(self.spark, name, self.params(name), build)
 
     def prepared_path(self, name: str) -> str:
         """Folder of a prepared table, written on first use; streams use it as a file source."""
         if not self.prepared:
             raise ValueError("only prepared fixtures are written to files")
         getattr(self, name)
-        return cache_path(self.spark, name, {"sf_dir": self.sf_dir, "table": name})
+        return cache_path(self.spark, name, self.params(name))
 
     @cached_property
     def users(self) -> DataFrame:
@@ -45,7 +55,13 @@ class Fixture:
 
     @cached_property
     def reviews(self) -> DataFrame:
-        return self._cached("reviews", lambda: reviews_view(self.spark, self.sf_dir).repartition("review_id"))
+        return reviews_view(self.spark, self.sf_dir)
+
+    @cached_property
+    def review_keys(self) -> DataFrame:
+        """The reviews without their texts."""
+        keys = ["review_id", "accommodation_id", "review_score", "review_helpful_votes"]
+        return self._cached("review_keys", lambda: self.reviews.select(*keys).repartition("review_id"))
 
     @cached_property
     def reviews_filled(self) -> DataFrame:
@@ -55,7 +71,7 @@ class Fixture:
     def matches(self) -> DataFrame:
         """All splits; the test split's matches are hidden from fitting by the callers."""
         return self._cached("matches", lambda: matches_view(self.spark, self.sf_dir, splits=None, users=self.users,
-                                                            reviews=self.reviews).repartition("user_id"))
+                                                            reviews=self.review_keys).repartition("user_id"))
 
     @cached_property
     def user_vecs(self) -> DataFrame:
@@ -63,7 +79,7 @@ class Fixture:
 
     @cached_property
     def review_vecs(self) -> DataFrame:
-        return review_vectors(self.spark, self.sf_dir, self.reviews.select("review_id", "accommodation_id"))
+        return review_vectors(self.spark, self.sf_dir, self.review_keys.select("review_id", "accommodation_id"))
 
     def split_users(self, split: str) -> DataFrame:
         return self.users.where(F.col("split") == split)

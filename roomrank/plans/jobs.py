@@ -19,8 +19,9 @@ from roomrank.operators import models as M
 from roomrank.operators.ranking import mean_reciprocal_rank, target_ranks, topk_per_user, wide_top10
 from roomrank.operators.sequence import number_within_group
 from roomrank.plans.fixture import fixture
-from roomrank.sources.cache import cache_path, read_csv, read_through, write_csv
-from roomrank.session import materialize, shared_dir
+from roomrank.plans.queries import feature_sums, top10_wide
+from roomrank.sources.cache import read_csv, read_through, run_dir, write_csv
+from roomrank.session import materialize
 
 TRUNCATE_DIM = 32
 EMB_DIM = 16
@@ -49,18 +50,18 @@ class Prepared:
             # queries themselves keep the null
             return u.select("user_id", "accommodation_id", "split",
                             F.transform("features", lambda x: F.coalesce(x, F.lit(0.0))).alias("features"))
-        return read_through(self.spark, "user_features", {"sf": self.sf}, build)
+        return read_through(self.spark, "user_features", self.fx.params("user_features"), build)
 
     @cached_property
     def review_features(self) -> DataFrame:
         """Layer norm -> truncate -> L2 -> append the two scaled numbers, cached."""
         def build():
-            scaled = FE.apply_minmax(self.fx.reviews.select("review_id", *FE.REVIEW_SCALE_COLS),
+            scaled = FE.apply_minmax(self.fx.review_keys.select("review_id", *FE.REVIEW_SCALE_COLS),
                                      FE.REVIEW_SCALE_COLS, by=())
             v = self.fx.review_vecs.join(scaled, "review_id")
             emb = V.l2_normalize(V.truncate(V.layer_norm("vec"), TRUNCATE_DIM))
             return v.select("review_id", "accommodation_id", V.append(emb, *FE.REVIEW_SCALE_COLS).alias("vec"))
-        return read_through(self.spark, "review_features", {"sf": self.sf, "dim": TRUNCATE_DIM}, build)
+        return read_through(self.spark, "review_features", self.fx.params("review_features", dim=TRUNCATE_DIM), build)
 
     @cached_property
     def dims(self) -> tuple[int, int]:
@@ -68,22 +69,44 @@ class Prepared:
         dr = self.review_features.select(F.size("vec")).first()[0]
         return int(du), int(dr)
 
+    def train_batches(self, size: int) -> DataFrame:
+        """``(user_id, review_id, accommodation_id, batch_id, pos)`` of the train matches; keys only are numbered."""
+        keys = self.fx.matches.where(F.col("split") == "train").select("accommodation_id", "user_id", "review_id")
+        n = number_within_group(keys, ["accommodation_id"], ["user_id"], name="_rn")
+        return n.withColumns({"batch_id": F.floor(F.col("_rn") / size).cast("long"), "pos": F.pmod(F.col("_rn"), F.lit(size))})
+
     @cached_property
-    def towers(self) -> dict:
+    def trained(self) -> tuple[dict, list[float]]:
+        """The dual encoders fitted on the train matches and their epoch losses; the encoders are read back
+        from the saved artefact."""
         du, dr = self.dims
-        return {"user": M.init_mlp([du, 64, 32, EMB_DIM], seed=SEED),
-                "review": M.init_mlp([dr, 64, 32, EMB_DIM], seed=SEED + 1),
-                "bridge": M.init_mlp([2 * EMB_DIM, 2 * EMB_DIM, 16, 1], seed=SEED + 2)}
+        rows = (self.train_batches(DUAL_BATCH).join(self.user_features.select("user_id", F.col("features").alias("xu")), "user_id")
+                .join(self.review_features.select("review_id", F.col("vec").alias("xr")), "review_id"))
+        batches = materialize(rows.groupBy("accommodation_id", "batch_id").agg(
+            F.collect_list(F.struct("user_id", "xu", "xr")).alias("rows")).select(
+            "accommodation_id", "batch_id", F.transform("rows", lambda x: x["user_id"]).alias("uids"),
+            F.flatten(F.transform("rows", lambda x: x["xu"])).alias("xu"),
+            F.flatten(F.transform("rows", lambda x: x["xr"])).alias("xr")))
+        wu, wr, losses = M.fit_dual_encoders(batches, du, dr, k=EMB_DIM, epochs=DUAL_EPOCHS, seed=SEED)
+        path = run_dir(self.spark, "encoders")
+        M.save_weights(self.spark, {"user": [M.Dense(wu, np.zeros(EMB_DIM), "none")], "review": [M.Dense(wr, np.zeros(EMB_DIM), "none")]}, path)
+        return M.load_weights(self.spark, path), losses
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        path = run_dir(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def encoded_users(self) -> DataFrame:
-        e = M.encode(self.user_features, "user_id", "features", self.towers["user"], "a")
-        return e.join(self.user_features.select("user_id", "accommodation_id", "split"), "user_id")
+        """Every user encoded once by the trained encoder, written."""
+        return self._written(M.encode(self.user_features, "user_id", "features", self.trained[0]["user"], "a", ("accommodation_id", "split")),
+                             "encoded-users")
 
     @cached_property
     def encoded_reviews(self) -> DataFrame:
-        e = M.encode(self.review_features, "review_id", "vec", self.towers["review"], "b")
-        return e.join(self.review_features.select("review_id", "accommodation_id"), "review_id")
+        return self._written(M.encode(self.review_features, "review_id", "vec", self.trained[0]["review"], "b", ("accommodation_id",)),
+                             "encoded-reviews")
 
     def matched(self, splits) -> DataFrame:
         m = self.fx.matches.where(F.col("split").isin(list(splits))).select("user_id", "review_id", "accommodation_id")
@@ -92,17 +115,15 @@ class Prepared:
 
     @cached_property
     def pair_model(self):
-        """MLlib perceptron on positives + in-batch negatives of the train split."""
-        rows = self.matched(("train",))
-        # number the keys only, then attach the encoded vectors
-        n = number_within_group(rows.select("accommodation_id", "user_id", "review_id"),
-                                ["accommodation_id"], ["user_id"], name="_rn")
-        n = n.join(rows.select("user_id", "review_id", "a", "b"), ["user_id", "review_id"])
-        n = n.withColumns({"batch_id": F.floor(F.col("_rn") / PAIR_BATCH).cast("long"),
-                           "pos": F.pmod(F.col("_rn"), F.lit(PAIR_BATCH))})
-        sizes = n.groupBy("accommodation_id", "batch_id").agg(F.count(F.lit(1)).alias("n_in_batch"))
+        """MLlib perceptron on positives + in-batch negatives of the train split, on the trained encoders."""
+        n = (self.train_batches(PAIR_BATCH).join(self.encoded_users.select("user_id", "a"), "user_id")
+             .join(self.encoded_reviews.select("review_id", "b"), "review_id"))
+        sizes = self.train_batches(PAIR_BATCH).groupBy("accommodation_id", "batch_id").agg(F.count(F.lit(1)).alias("n_in_batch"))
         pairs = materialize(M.negative_pairs(n.join(sizes, ["accommodation_id", "batch_id"]), NEGATIVES))
-        model, scorer = M.fit_pair_mlp(pairs, seed=SEED)
+        model, fitted = M.fit_pair_mlp(pairs, seed=SEED)
+        path = run_dir(self.spark, "pair-scorer")
+        M.save_scorer(self.spark, fitted.bridge, self.trained[0], path)
+        scorer = M.BridgeScorer(M.load_scorer(self.spark, path, self.trained[0]), EMB_DIM, out="log_odds")
         return pairs, model, scorer
 
 
@@ -125,8 +146,7 @@ WIDE_SCHEMA = T.StructType([T.StructField("ID", T.LongType()), T.StructField("ac
 
 
 def csv_roundtrip(spark, sf):
-    from roomrank.plans.queries import top10_wide
-    path = shared_dir(spark, "out/top10_wide")
+    path = run_dir(spark, "out/top10_wide")
     write_csv(top10_wide(spark, sf), path)
     return read_csv(spark, path, WIDE_SCHEMA)
 
@@ -143,38 +163,52 @@ def prepare_all(spark, sf):
     m = p.fx.matches.where(F.col("split") != "test")
     j = (m.join(p.user_features.select("user_id", "features"), "user_id")
          .join(p.review_features.select("review_id", "vec"), "review_id"))
+    (ut, uw), (rt, _) = feature_sums("features"), feature_sums("vec")
     return j.select("user_id", "review_id", "accommodation_id", "split",
-                    F.size("features").cast("long").alias("n_user_features"),
-                    F.size("vec").cast("long").alias("n_review_features"))
+                    F.size("features").cast("long").alias("n_user_features"), ut.alias("user_total"), uw.alias("user_weighted"),
+                    F.size("vec").cast("long").alias("n_review_features"), rt.alias("review_total"))
 
 
 # ------------------------------------------------------------------ A5
 def weights_roundtrip(spark, sf):
-    """Save and reload the model artefact: both encoders and the pair scorer fitted on this data."""
+    """The model artefact read back: both trained encoders and the pair scorer fitted on their output."""
     p = prepared(spark, sf)
     _, _, scorer = p.pair_model
-    models = {"user": p.towers["user"], "review": p.towers["review"], "pair_scorer": scorer.bridge}
-    path = cache_path(spark, "weights", {"sf": sf, "seed": SEED})
-    M.save_weights(spark, models, path)
+    path = run_dir(spark, "weights")
+    M.save_weights(spark, {**p.trained[0], f"pair_scorer-{M.encoder_id(p.trained[0])}": scorer.bridge}, path)
     return M.weights_frame(spark, M.load_weights(spark, path)).select(
-        "model", "layer", "n_in", "n_out", "activation", F.size("weight").alias("n_weights"),
+        F.split_part("model", F.lit("-"), F.lit(1)).alias("model"), "layer", "n_in", "n_out", "activation", F.size("weight").alias("n_weights"),
         F.round(F.aggregate("weight", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sum_sq"))
 
 
-# ------------------------------------------------------------------ I2 I3
+# ------------------------------------------------------------------ I2 I3 I4 (weights from a formula)
+HIDDEN = [64, 32]
+BRIDGE = [2 * EMB_DIM, 2 * EMB_DIM, 16, 1]
+
+
+def _formula_users(p) -> DataFrame:
+    return M.encode(p.user_features, "user_id", "features", M.formula_mlp([p.dims[0], *HIDDEN, EMB_DIM], 0), "a")
+
+
+def _formula_reviews(p) -> DataFrame:
+    return M.encode(p.review_features, "review_id", "vec", M.formula_mlp([p.dims[1], *HIDDEN, EMB_DIM], 1), "b")
+
+
 def encode_users(spark, sf):
-    return _long(prepared(spark, sf).encoded_users, "user_id", "a")
+    return _long(_formula_users(prepared(spark, sf)), "user_id", "a")
 
 
 def encode_reviews(spark, sf):
-    return _long(prepared(spark, sf).encoded_reviews, "review_id", "b")
+    return _long(_formula_reviews(prepared(spark, sf)), "review_id", "b")
 
 
-# ------------------------------------------------------------------ I4
 def pair_score(spark, sf):
+    """The towers and the bridge on every match (the test split's stay hidden)."""
     p = prepared(spark, sf)
-    scorer = M.BridgeScorer(p.towers["bridge"], EMB_DIM)
-    return M.pair_score_rows(p.matched(("val",)), scorer).select("user_id", "review_id", R6("score").alias("score"))
+    rows = (p.fx.matches.where(F.col("split") != "test").select("user_id", "review_id")
+            .join(_formula_users(p), "user_id").join(_formula_reviews(p), "review_id"))
+    scorer = M.BridgeScorer(M.formula_mlp(BRIDGE, 2), EMB_DIM)
+    return M.pair_score_rows(rows, scorer).select("user_id", "review_id", R6("score").alias("score"))
 
 
 # ------------------------------------------------------------------ I5
@@ -213,33 +247,16 @@ def pair_top10(spark, sf):
     items = p.encoded_reviews.select("review_id", "accommodation_id", F.col("b").alias("vec"))
     t = topk_per_user(users, items, metric=scorer,
                       query_sizes=p.fx.users.where(F.col("split") == "test").select("accommodation_id"),
-                      item_sizes=p.fx.reviews.select("accommodation_id"))
+                      item_sizes=p.fx.review_keys.select("accommodation_id"))
     return wide_top10(t, users, items)
 
 
 # ------------------------------------------------------------------ I6 I7
 def dual_fit(spark, sf):
+    """Losses of the dual-encoder fit, and the trained encoders evaluated on the validation matches (in-group candidates)."""
     p = prepared(spark, sf)
-    du, dr = p.dims
-    train = p.fx.matches.where(F.col("split") == "train").select("user_id", "review_id", "accommodation_id")
-    rows = (train.join(p.user_features.select("user_id", F.col("features").alias("xu")), "user_id")
-            .join(p.review_features.select("review_id", F.col("vec").alias("xr")), "review_id"))
-    # number the keys only, then attach the feature vectors (a narrow numbering pass)
-    keys = number_within_group(rows.select("accommodation_id", "user_id", "review_id"),
-                               ["accommodation_id"], ["user_id"], name="_rn")
-    n = (keys.withColumn("batch_id", F.floor(F.col("_rn") / DUAL_BATCH).cast("long"))
-         .join(rows.select("user_id", "review_id", "xu", "xr"), ["user_id", "review_id"]))
-    batches = materialize(n.groupBy("accommodation_id", "batch_id").agg(
-        F.collect_list(F.struct("user_id", "xu", "xr")).alias("rows")).select(
-        "accommodation_id", "batch_id", F.transform("rows", lambda x: x["user_id"]).alias("uids"),
-        F.flatten(F.transform("rows", lambda x: x["xu"])).alias("xu"),
-        F.flatten(F.transform("rows", lambda x: x["xr"])).alias("xr")))
-    wu, wr, losses = M.fit_dual_encoders(batches, du, dr, k=EMB_DIM, epochs=DUAL_EPOCHS, seed=SEED)
-    # Evaluate the trained linear encoders on the validation matches (in-group candidates)
-    enc_u = M.encode(p.user_features, "user_id", "features", [M.Dense(wu, np.zeros(EMB_DIM), "none")], "a")
-    enc_r = M.encode(p.review_features, "review_id", "vec", [M.Dense(wr, np.zeros(EMB_DIM), "none")], "b")
-    v = (p.fx.matches.where(F.col("split") == "val").select("user_id", "review_id", "accommodation_id")
-         .join(enc_u, "user_id").join(enc_r, "review_id"))
+    losses = p.trained[1]
+    v = p.matched(("val",))
     queries = v.select("user_id", "accommodation_id", F.col("a").alias("vec"), "review_id",
                        F.col("b").alias("tvec"), F.col("user_id").alias("ttie"))
     items = v.select("accommodation_id", "review_id", F.col("b").alias("vec"), F.col("user_id").alias("itie"))

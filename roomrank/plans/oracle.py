@@ -58,12 +58,15 @@ users AS (
 reviews AS (
   SELECT doc_id AS review_id,
          CAST((doc_id * (doc_id % 7 + 1)) % (SELECT n FROM n_sup) AS BIGINT) AS accommodation_id,
-         split_part(text, chr(10), 1) AS review_title,
-         CASE WHEN doc_id % 6 = 0 THEN NULL ELSE text END AS review_positive,
-         CASE WHEN doc_id % 4 = 1 THEN NULL ELSE substr(text, 1, 200) END AS review_negative,
+         title AS review_title,
+         CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN rest
+              ELSE substr(rest, 1, CAST(length(rest) // 2 AS BIGINT)) END AS review_positive,
+         CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 6 = 0 THEN rest
+              ELSE substr(rest, CAST(length(rest) // 2 AS BIGINT) + 1) END AS review_negative,
          CAST(n_chars % 10 + 1 AS DOUBLE) AS review_score,
          CAST(doc_id % 37 AS INTEGER) AS review_helpful_votes
-  FROM documents),
+  FROM (SELECT *, substr(text, length(title) + 2) AS rest
+        FROM (SELECT *, split_part(text, chr(10), 1) AS title FROM documents))),
 reviews_filled AS (
   SELECT review_id, accommodation_id,
          coalesce(review_title, 'None Given') AS review_title,
@@ -226,6 +229,30 @@ feat AS (
 """
 
 
+FEATURE_SUMS = """SELECT user_id, count(*) AS n, round(sum(coalesce(CAST(value AS DOUBLE), 0)), 6) AS total,
+       round(sum(coalesce(CAST(value AS DOUBLE), 0) * position), 6) AS weighted FROM feat GROUP BY user_id"""
+
+
+def mlp_sql(name: str, source: str, key: str, sizes: list[int], model: int) -> str:
+    """CTEs that take ``source(key, x)`` through the formula layers; the last is ``name(key, y)``."""
+    out, src = "", f"(SELECT {key}, x FROM {source})"
+    for n, size in enumerate(sizes):
+        last = n == len(sizes) - 1
+        act = "v" if last else "CASE WHEN v > 0 THEN v ELSE 0.01 * v END"
+        out += f""",
+{name}_w{n} AS (SELECT i, list_transform(range(CAST((SELECT max(len(x)) FROM {src}) AS BIGINT)),
+    lambda j: ((7 * i + 13 * j + {5 * n + 3 * model}) % 17 - 8) / 32.0::DOUBLE) AS w FROM (SELECT unnest(range({size})) AS i)),
+{name if last else f'{name}_{n}'} AS MATERIALIZED (
+  SELECT {key}, list({act} ORDER BY i) AS {'y' if last else 'x'}
+  FROM (SELECT s.{key}, w.i, list_inner_product(s.x, w.w::DOUBLE[]) AS v FROM {src} s CROSS JOIN {name}_w{n} w) GROUP BY {key})"""
+        src = f"{name}_{n}"
+    return out
+
+
+def review_vector_unrounded(rows: str) -> str:
+    return rows.replace("round(z.z, 6)", "z.z").replace("round(s1, 6)", "s1").replace("round(s2, 6)", "s2")
+
+
 def _drift_summary() -> str:
     parts = []
     for f in DRIFT_FEATURES:
@@ -316,7 +343,7 @@ WHERE m.user_id % 10 <= 8"""
     q["user_match_lookup"] = _q("""
 SELECT u.user_id, min(m.review_id) AS review_id
 FROM users u JOIN matches m ON m.user_id = u.user_id AND m.accommodation_id = u.accommodation_id
-WHERE u.user_id % 10 = 8 GROUP BY u.user_id""")
+WHERE u.user_id % 10 <= 8 GROUP BY u.user_id""")
     q["drift_summary"] = _q(_drift_summary())
     q["drift_unseen_counts"] = _q(_drift_counts())
     q["accommodation_means"] = _q(FEATURE_CTES + """
@@ -333,23 +360,27 @@ SELECT user_id, round(accommodation_score, 6) AS accommodation_score, round(mont
        round(average_accommodation_score, 6) AS average_accommodation_score,
        round(average_room_nights, 6) AS average_room_nights FROM mm""")
     q["minmax_reviews"] = _q("""
-SELECT review_id,
+, rs AS (SELECT DISTINCT u.split, r.* FROM users u JOIN reviews r ON r.accommodation_id = u.accommodation_id)
+SELECT split, review_id,
   round(CASE WHEN hi1 > lo1 THEN (review_score - lo1) / (hi1 - lo1) ELSE review_score - lo1 END, 6) AS review_score,
   round(CASE WHEN hi2 > lo2 THEN (review_helpful_votes - lo2) / (hi2 - lo2) ELSE review_helpful_votes - lo2 END, 6) AS review_helpful_votes
-FROM reviews, (SELECT min(review_score) lo1, max(review_score) hi1, CAST(min(review_helpful_votes) AS DOUBLE) lo2,
-                      CAST(max(review_helpful_votes) AS DOUBLE) hi2 FROM reviews)""")
+FROM (SELECT rs.*, min(review_score) OVER w AS lo1, max(review_score) OVER w AS hi1, CAST(min(review_helpful_votes) OVER w AS DOUBLE) AS lo2,
+             CAST(max(review_helpful_votes) OVER w AS DOUBLE) AS hi2 FROM rs WINDOW w AS (PARTITION BY split))""")
+    q["dropped_users"] = _q("""
+SELECT u.split, count(*) AS n_users, count(*) FILTER (WHERE r.a IS NULL) AS n_dropped
+FROM users u LEFT JOIN (SELECT DISTINCT accommodation_id AS a FROM reviews) r ON r.a = u.accommodation_id GROUP BY u.split""")
     q["month_mean"] = _q(FEATURE_CTES + "SELECT split, round(average_month, 6) AS average_month FROM mm_month")
     q["binary_codes"] = _q(FEATURE_CTES + """
 SELECT user_id, col || '_' || CAST(bit_index AS VARCHAR) AS "column", value FROM bin_codes""")
     q["onehot_guest_type"] = _q(FEATURE_CTES + """
-SELECT user_id, 'guest_type_' || v AS "column", value FROM oh""")
+SELECT user_id, 'guest_type_' || v AS "column", CAST(k AS BIGINT) AS position, value FROM oh WHERE value = 1""")
     q["user_features"] = _q(_feature_long() + """
 SELECT user_id, CAST(position AS BIGINT) AS position, round(CAST(value AS DOUBLE), 6) AS value FROM feat""")
     q["candidates"] = _q("""
 SELECT u.accommodation_id, count(*) AS n_users, CAST(count(*) * max(r.n) AS BIGINT) AS n_pairs
 FROM users u JOIN (SELECT accommodation_id, count(*) AS n FROM reviews GROUP BY 1) r
   ON r.accommodation_id = u.accommodation_id
-WHERE u.user_id % 10 = 8 GROUP BY u.accommodation_id""")
+GROUP BY u.accommodation_id""")
     q["group_review_ids"] = _q(f"""
 SELECT accommodation_id, CAST(rn // {GROUP_BLOCK} AS BIGINT) AS block_id, count(*) AS n,
        string_agg(CAST(review_id AS VARCHAR), ',' ORDER BY review_id) AS review_ids
@@ -443,10 +474,12 @@ SELECT c.review_id, CAST(c.bucket + 1 AS BIGINT) AS position, round(c.c / n.nn,
 FROM cnt c JOIN nrm n USING (review_id)""")
     q["batches"] = _q(f""",
 b AS ({_batches_sql('user_id')})
-SELECT accommodation_id, batch_id, count(*) AS n FROM b GROUP BY 1, 2""")
+SELECT accommodation_id, batch_id, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS id_sum, min(user_id) AS id_min,
+       md5(string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id)) AS ids_md5 FROM b GROUP BY 1, 2""")
     q["shuffled_batches"] = _q(f""",
 b AS ({_batches_sql(h32(f'user_id + {SHUFFLE_SEED}') + ', user_id')})
-SELECT accommodation_id, batch_id, count(*) AS n FROM b GROUP BY 1, 2""")
+SELECT accommodation_id, batch_id, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS id_sum, min(user_id) AS id_min,
+       md5(string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id)) AS ids_md5 FROM b GROUP BY 1, 2""")
     losses = _batch_losses("user_id")
     q["loss_softmax"] = _q(losses + "SELECT accommodation_id, batch_id, round(loss_softmax, 6) AS loss FROM per_batch")
     q["loss_bce"] = _q(losses + "SELECT accommodation_id, batch_id, round(loss_bce, 6) AS loss FROM per_batch")
@@ -470,49 +503,68 @@ SELECT 'embedding_values' AS key,
        CAST((SELECT count(*) FROM (SELECT unnest(vec) AS x FROM vec) WHERE isnan(x) OR isinf(x)) AS BIGINT) AS value
 UNION ALL
 SELECT 'loss_softmax', CAST((SELECT count(*) FROM per_batch WHERE isnan(loss_softmax) OR isinf(loss_softmax)) AS BIGINT)""")
+    no_test = _feature_long().replace("FROM users", "FROM users_nt")
     q["training_examples"] = _q(f""",
-nf AS (SELECT 3 + (SELECT sum(CAST(greatest(1, ceil(log2(n + 1))) AS BIGINT)) FROM (
-          SELECT count(DISTINCT guest_country) AS n FROM users WHERE user_id % 10 <= 8
-          UNION ALL SELECT count(DISTINCT accommodation_country) FROM users WHERE user_id % 10 <= 8
-          UNION ALL SELECT count(DISTINCT accommodation_type) FROM users WHERE user_id % 10 <= 8))
-          + (SELECT count(DISTINCT guest_type) FROM users WHERE user_id % 10 <= 8) + 8 AS n)
-SELECT m.user_id, m.review_id, md5({PROMPT_FULL_SQL}) AS text_md5, CAST((SELECT n FROM nf) AS BIGINT) AS n_features
-FROM matches m JOIN reviews_filled r ON r.review_id = m.review_id
+users_nt AS (SELECT * FROM users WHERE user_id % 10 <= 8){no_test},
+fs AS ({FEATURE_SUMS})
+SELECT m.user_id, m.review_id, md5({PROMPT_FULL_SQL}) AS text_md5, f.n AS n_features, f.total, f.weighted
+FROM matches m JOIN reviews_filled r ON r.review_id = m.review_id JOIN fs f ON f.user_id = m.user_id
 WHERE m.user_id % 10 < 8""")
     q["pair_vector"] = _q("""
-SELECT user_id, review_id, CAST(pos AS BIGINT) AS position, round(x, 6) AS value FROM (
-  SELECT user_id, review_id, unnest(list_concat(uvec, rvec)) AS x, unnest(range(1, len(uvec) + len(rvec) + 1)) AS pos
-  FROM pairs WHERE split_no = 8)""")
+SELECT user_id, review_id, CAST(len(uvec) + len(rvec) AS INTEGER) AS n, round(list_sum(uvec) + list_sum(rvec), 6) AS total,
+       round(list_inner_product(uvec, range(1, len(uvec) + 1)::DOUBLE[])
+             + list_inner_product(rvec, range(len(uvec) + 1, len(uvec) + len(rvec) + 1)::DOUBLE[]), 6) AS weighted
+FROM pairs""")
     q["csv_splits"] = _q(""",
 sp AS (SELECT * FROM (VALUES ('train', 0, 7), ('val', 8, 8), ('test', 9, 9)) t(split, lo, hi)),
 su AS MATERIALIZED (
   SELECT sp.split, u.user_id, u.accommodation_id,
-         coalesce(length(u.guest_country), 0) + coalesce(length(u.guest_type), 0) AS chars
+         coalesce(length(u.guest_country), 0) + coalesce(length(u.guest_type), 0) AS chars,
+         concat_ws('|', u.user_id, coalesce(u.guest_country, '~'), coalesce(u.guest_type, '~')) AS line
   FROM users u JOIN sp ON u.user_id % 10 BETWEEN sp.lo AND sp.hi),
 sa AS (SELECT DISTINCT split, accommodation_id FROM su),
 sr AS (
   SELECT sa.split, r.review_id,
          coalesce(length(r.review_title), 0) + coalesce(length(r.review_positive), 0)
-           + coalesce(length(r.review_negative), 0) AS chars
+           + coalesce(length(r.review_negative), 0) AS chars,
+         concat_ws('|', r.review_id, coalesce(r.review_title, '~'), coalesce(r.review_positive, '~'), coalesce(r.review_negative, '~')) AS line
   FROM reviews r JOIN sa ON sa.accommodation_id = r.accommodation_id)
 SELECT split, 'users' AS table_name, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS id_sum,
-       CAST(sum(chars) AS BIGINT) AS text_chars FROM su GROUP BY split
+       CAST(sum(chars) AS BIGINT) AS text_chars,
+       CAST(sum(('0x' || substr(md5(line), 1, 8))::BIGINT) AS BIGINT) AS digest_sum FROM su GROUP BY split
 UNION ALL
-SELECT split, 'reviews', count(*), CAST(sum(review_id) AS BIGINT), CAST(sum(chars) AS BIGINT) FROM sr GROUP BY split
+SELECT split, 'reviews', count(*), CAST(sum(review_id) AS BIGINT), CAST(sum(chars) AS BIGINT), CAST(sum(('0x' || substr(md5(line), 1, 8))::BIGINT) AS BIGINT) FROM sr GROUP BY split
 UNION ALL
-SELECT sp.split, 'matches', count(*), CAST(sum(m.user_id) AS BIGINT), CAST(0 AS BIGINT)
+SELECT sp.split, 'matches', count(*), CAST(sum(m.user_id) AS BIGINT), CAST(0 AS BIGINT),
+       CAST(sum(('0x' || substr(md5(CAST(m.user_id AS VARCHAR)), 1, 8))::BIGINT) AS BIGINT)
 FROM matches m JOIN sp ON m.user_id % 10 BETWEEN sp.lo AND sp.hi WHERE sp.split <> 'test' GROUP BY sp.split""")
     # jobs whose output is a query's result read back from a file: the same SQL checks them
     q["csv_roundtrip"] = q["top10_wide"]
     q["cache_roundtrip"] = q["review_vector"]
-    q["prepare_all"] = _q(f""",
-nf AS (SELECT 3 + (SELECT sum(CAST(greatest(1, ceil(log2(n + 1))) AS BIGINT)) FROM (
-          SELECT count(DISTINCT guest_country) AS n FROM users
-          UNION ALL SELECT count(DISTINCT accommodation_country) FROM users
-          UNION ALL SELECT count(DISTINCT accommodation_type) FROM users))
-          + (SELECT count(DISTINCT guest_type) FROM users) + 8 AS n)
-SELECT m.user_id, m.review_id, m.accommodation_id, {split_sql('m.user_id')} AS split,
-       CAST((SELECT n FROM nf) AS BIGINT) AS n_user_features, CAST({TRUNCATE_DIM} + 2 AS BIGINT) AS n_review_features
-FROM matches m
+    review_vector_ctes, review_vector_rows = q["review_vector"][len(FIXTURE):].rsplit("\nSELECT r.review_id", 1)
+    q["prepare_all"] = _q(_feature_long() + f""",
+fs AS ({FEATURE_SUMS}){review_vector_ctes},
+rv AS (SELECT review_id, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total
+       FROM (SELECT r.review_id{review_vector_unrounded(review_vector_rows)}) GROUP BY review_id)
+SELECT m.user_id, m.review_id, m.accommodation_id, {split_sql('m.user_id')} AS split, f.n AS n_user_features,
+       f.total AS user_total, f.weighted AS user_weighted, rv.n AS n_review_features, rv.total AS review_total
+FROM matches m JOIN fs f ON f.user_id = m.user_id JOIN rv ON rv.review_id = m.review_id
 WHERE m.user_id % 10 <= 8""")
+    users_x = _feature_long() + """,
+ux AS MATERIALIZED (SELECT user_id, list(coalesce(CAST(value AS DOUBLE), 0) ORDER BY position) AS x FROM feat GROUP BY user_id)"""
+    reviews_x = review_vector_ctes + f""",
+rx AS MATERIALIZED (SELECT review_id, list(value ORDER BY position) AS x
+       FROM (SELECT r.review_id{review_vector_unrounded(review_vector_rows)}) GROUP BY review_id)"""
+    enc_u, enc_r = mlp_sql("eu", "ux", "user_id", [64, 32, 16], 0), mlp_sql("er", "rx", "review_id", [64, 32, 16], 1)
+    long = """
+SELECT {key}, CAST(pos AS BIGINT) AS position, round(v, 6) AS value FROM (SELECT {key}, unnest(y) AS v, unnest(range(1, 17)) AS pos FROM {t})"""
+    q["encode_users"] = _q(users_x + enc_u + long.format(key="user_id", t="eu"))
+    q["encode_reviews"] = _q(reviews_x + enc_r + long.format(key="review_id", t="er"))
+    q["pair_score"] = _q(users_x + enc_u + reviews_x + enc_r + """,
+px AS MATERIALIZED (SELECT m.user_id, list_concat(a.y, b.y) AS x FROM matches m JOIN eu a ON a.user_id = m.user_id
+       JOIN er b ON b.review_id = m.review_id WHERE m.user_id % 10 <= 8)""" + mlp_sql("bs", "px", "user_id", [32, 16, 1], 2) + """
+SELECT m.user_id, m.review_id, round(s.y[1], 6) AS score FROM bs s JOIN matches m ON m.user_id = s.user_id""")
+    running = losses + """SELECT accommodation_id, batch_id, round(avg(loss_softmax) OVER (PARTITION BY accommodation_id ORDER BY batch_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running FROM per_batch"""
+    q["loss_running_mean"] = _q(running)
     return q

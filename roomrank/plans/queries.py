@@ -18,7 +18,7 @@ from roomrank.functions.text import hashed_token_counts
 from roomrank.operators import candidates as C
 from roomrank.operators import clean as K
 from roomrank.operators import features as FE
-from roomrank.operators.losses import batch_losses, cosine_loss, epoch_means
+from roomrank.operators.losses import batch_losses, cosine_loss, epoch_means, running_means
 from roomrank.operators.ranking import mean_reciprocal_rank, target_ranks, topk_per_user, wide_top10
 from roomrank.operators.sequence import number_within_group
 from roomrank.plans.fixture import fixture
@@ -69,21 +69,20 @@ def split_counts(spark: SparkSession, sf: str) -> DataFrame:
 def csv_splits(spark, sf):
     """Each split written in the reference's CSV layout (users, the reviews of the split's
     accommodations, matches except for test), then scanned back with explicit schemas:
-    rows, id sum and text length per split and table."""
-    from roomrank.session import shared_dir
-    from roomrank.sources.cache import digest
+    rows, id sum, text length and the sum of the rows' digests per split and table."""
+    from roomrank.sources.cache import run_dir
     from roomrank.sources.tables import SPLITS, load_split, write_split
 
     fx = fixture(spark, sf)
-    base = shared_dir(spark, f"csv_layout/{digest({'sf_dir': fx.sf_dir})}")
+    base = run_dir(spark, "csv_layout")
     for split in SPLITS:
         users = fx.split_users(split)
         reviews = fx.reviews.join(users.select("accommodation_id").distinct(), "accommodation_id", "left_semi")
         matches = fx.matches.where(F.col("split") == split) if split != "test" else None
-        write_split(users, reviews, matches, base, split)
+        write_split(users, reviews, matches, base, split, escaped=True)
     out = []
     for split in SPLITS:
-        users, reviews, matches = load_split(spark, base, split)
+        users, reviews, matches = load_split(spark, base, split, escaped=True)
         parts = [("users", users, "user_id", ["guest_country", "guest_type"]),
                  ("reviews", reviews, "review_id", _text.TEXT_COLS),
                  ("matches", matches, "user_id", [])]
@@ -91,10 +90,12 @@ def csv_splits(spark, sf):
             if df is None:
                 continue
             chars = sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(0))
+            row = F.concat_ws("|", F.col(key).cast("string"), *[F.coalesce(F.col(c), F.lit("~")) for c in texts])
+            digest = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")
             out.append(df.agg(F.count(F.lit(1)).alias("n"), F.sum(key).cast("long").alias("id_sum"),
-                              F.sum(chars).cast("long").alias("text_chars"))
+                              F.sum(chars).cast("long").alias("text_chars"), F.sum(digest).alias("digest_sum"))
                        .select(F.lit(split).alias("split"), F.lit(name).alias("table_name"), "n", "id_sum",
-                               "text_chars"))
+                               "text_chars", "digest_sum"))
     return _union(out)
 
 
@@ -131,7 +132,7 @@ def review_prompt_full_fn():
 @query
 def hash_sample_cascade(spark, sf):
     fx = fixture(spark, sf)
-    reviews = K.hash_sample(fx.reviews.select("review_id"), "review_id", SAMPLE_FRAC)
+    reviews = K.hash_sample(fx.review_keys.select("review_id"), "review_id", SAMPLE_FRAC)
     out = []
     for split in ("train", "val", "test"):
         users = fx.split_users(split).select("user_id")
@@ -190,22 +191,22 @@ def merge_composite_key(spark, sf):
 @query
 def user_match_lookup(spark, sf):
     fx = fixture(spark, sf)
-    return C.first_match(fx.split_users("val"), fx.matches.where(F.col("split") == "val"))
+    return C.first_match(_train_and_val(fx), fx.matches.where(F.col("split") != "test"))
 
 
 # ------------------------------------------------------------------ G9 C7 D9 D10 D12 S1-S4
+def _train_and_val(fx):
+    return fx.users.where(F.col("split") != "test")
+
+
 @query
 def drift_summary(spark, sf):
-    fx = fixture(spark, sf)
-    tr, va = fx.split_users("train"), fx.split_users("val")
-    return _union([FE.drift_summary(tr, va, f) for f in DRIFT_FEATURES])
+    return FE.drift_summary(_train_and_val(fixture(spark, sf)), DRIFT_FEATURES, F.col("split") == "val")
 
 
 @query
 def drift_unseen_counts(spark, sf):
-    fx = fixture(spark, sf)
-    tr, va = fx.split_users("train"), fx.split_users("val")
-    return _union([FE.drift_unseen_counts(tr, va, f) for f in DRIFT_FEATURES])
+    return FE.drift_unseen_counts(_train_and_val(fixture(spark, sf)), DRIFT_FEATURES, F.col("split") == "val")
 
 
 # ------------------------------------------------------------------ D1 C9
@@ -231,8 +232,12 @@ def minmax_users(spark, sf):
 
 @query
 def minmax_reviews(spark, sf):
-    r = FE.apply_minmax(fixture(spark, sf).reviews, FE.REVIEW_SCALE_COLS, by=())
-    return r.select("review_id", *[R6(c).alias(c) for c in FE.REVIEW_SCALE_COLS])
+    """Fitted per split, over the reviews of the split's accommodations (its review table)."""
+    fx = fixture(spark, sf)
+    held = fx.users.select("split", "accommodation_id").distinct()
+    rows = fx.review_keys.join(held, "accommodation_id").select("split", "review_id", *FE.REVIEW_SCALE_COLS)
+    r = FE.apply_minmax(rows, FE.REVIEW_SCALE_COLS)
+    return r.select("split", "review_id", *[R6(c).alias(c) for c in FE.REVIEW_SCALE_COLS])
 
 
 @query
@@ -245,28 +250,25 @@ def month_mean(spark, sf):
 @query
 def binary_codes(spark, sf):
     users = fixture(spark, sf).users
-    out = []
+    codes, sizes = FE.fit_codes(FE._values(users, FE.TARGET_COLS))
+    cells = []
     for c in FE.TARGET_COLS:
-        dom, bits = FE.fit_binary_domain(users, c)
-        enc = FE.apply_binary(users.select("user_id", c), c, dom, bits)
-        cols = [f"{c}_{i}" for i in range(bits)]
-        out.append(enc.select("user_id", F.explode(F.array(*[F.struct(F.lit(x).alias("column"),
-                                                                      F.col(x).cast("long").alias("value"))
-                                                            for x in cols])).alias("e"))
-                   .select("user_id", "e.column", "e.value"))
-    return _union(out)
+        users = FE.join_code(users, c, codes, sizes[c])
+        cells += [F.struct(F.lit(f"{c}_{i}").alias("column"), b.cast("long").alias("value"))
+                  for i, b in enumerate(FE.bits_of(F.col(f"_code_{c}"), FE.bit_width(sizes[c])))]
+    return users.select("user_id", F.explode(F.array(*cells)).alias("e")).select("user_id", "e.column", "e.value")
 
 
 # ------------------------------------------------------------------ G3
 @query
 def onehot_guest_type(spark, sf):
+    """The sparse form: each row's one, with the column's place and name."""
     users = fixture(spark, sf).users
-    values = FE.fit_onehot_domain(users)
-    enc = FE.apply_onehot(users.select("user_id", FE.ONEHOT_COL), FE.ONEHOT_COL, values)
-    cols = [f"{FE.ONEHOT_COL}_{v}" for v in values]
-    return enc.select("user_id", F.explode(F.array(*[F.struct(F.lit(x).alias("column"),
-                                                              F.col(x).cast("long").alias("value"))
-                                                    for x in cols])).alias("e")).select("user_id", "e.column", "e.value")
+    codes, sizes = FE.fit_codes(FE._values(users, [FE.ONEHOT_COL]))
+    enc = FE.apply_onehot(users.select("user_id", FE.ONEHOT_COL), FE.ONEHOT_COL, codes, sizes[FE.ONEHOT_COL])
+    return enc.where(F.col(f"{FE.ONEHOT_COL}_index") > 0).select(
+        "user_id", F.concat(F.lit(f"{FE.ONEHOT_COL}_"), F.col(FE.ONEHOT_COL)).alias("column"),
+        F.col(f"{FE.ONEHOT_COL}_index").cast("long").alias("position"), F.lit(1).cast("long").alias("value"))
 
 
 # ------------------------------------------------------------------ G7 G6 B1 B2 B13 B15
@@ -280,13 +282,13 @@ def user_features(spark, sf):
 @query
 def candidates(spark, sf):
     fx = fixture(spark, sf)
-    return C.candidate_counts(fx.split_users("val"), fx.reviews)
+    return C.candidate_counts(fx.users, fx.review_keys)
 
 
 # ------------------------------------------------------------------ D13
 @query
 def group_review_ids(spark, sf):
-    r = fixture(spark, sf).reviews.select("accommodation_id", "review_id")
+    r = fixture(spark, sf).review_keys.select("accommodation_id", "review_id")
     n = number_within_group(r, ["accommodation_id"], ["review_id"], name="_rn")
     b = n.withColumn("block_id", F.floor(F.col("_rn") / F.lit(GROUP_BLOCK)).cast("long"))
     return b.groupBy("accommodation_id", "block_id").agg(
@@ -334,7 +336,7 @@ def _sizes(fx):
     """Cheap frames to size the scoring blocks from (prepared key tables, no vector joins)."""
     return {"val_matches": fx.matches.where(F.col("split") == "val").select("accommodation_id"),
             "test_users": fx.users.where(F.col("split") == "test").select("accommodation_id"),
-            "reviews": fx.reviews.select("accommodation_id")}
+            "reviews": fx.review_keys.select("accommodation_id")}
 
 
 def _ranks(spark, sf, metric="dot"):
@@ -405,7 +407,7 @@ def top10_stream(spark, sf):
 
     fx = fixture(spark, sf)
     src = fx.prepared_path("users")
-    items = read_through(spark, "review_vecs", {"sf_dir": fx.sf_dir, "table": "review_vecs"}, lambda: fx.review_vecs)
+    items = read_through(spark, "review_vecs", fx.params("review_vecs"), lambda: fx.review_vecs)
     users = (spark.readStream.schema(fx.users.schema).option("maxFilesPerTrigger", STREAM_FILES_PER_BATCH)
              .parquet(src).where(F.col("split") == "test").select("user_id", "accommodation_id"))
     base = shared_dir(spark, f"stream/top10-{digest({'src': src})}")
@@ -425,7 +427,7 @@ def layernorm_truncate_l2(spark, sf):
 @query
 def review_vector(spark, sf):
     fx = fixture(spark, sf)
-    scaled = FE.apply_minmax(fx.reviews.select("review_id", *FE.REVIEW_SCALE_COLS), FE.REVIEW_SCALE_COLS, by=())
+    scaled = FE.apply_minmax(fx.review_keys.select("review_id", *FE.REVIEW_SCALE_COLS), FE.REVIEW_SCALE_COLS, by=())
     v = fx.review_vecs.select("review_id", "vec").join(scaled, "review_id")
     emb = V.l2_normalize(V.truncate(V.layer_norm("vec"), TRUNCATE_DIM))
     out = v.select("review_id", V.append(emb, "review_score", "review_helpful_votes").alias("v"))
@@ -445,46 +447,51 @@ def _train_rows(fx):
     return fx.matches.where(F.col("split") == "train").select("accommodation_id", "user_id", "review_id")
 
 
+def _batch_members(b):
+    """Rows, id sum, least id and a digest of the sorted ids of each batch (a batch is bounded)."""
+    ids = F.array_join(F.array_sort(F.collect_list("user_id")).cast("array<string>"), ",")
+    return b.groupBy("accommodation_id", "batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("user_id").cast("long").alias("id_sum"), F.min("user_id").alias("id_min"), F.md5(ids).alias("ids_md5"))
+
+
 @query
 def batches(spark, sf):
-    b = C.assign_batches(_train_rows(fixture(spark, sf)), BATCH)
-    return b.groupBy("accommodation_id", "batch_id").agg(F.count(F.lit(1)).alias("n"))
+    return _batch_members(C.assign_batches(_train_rows(fixture(spark, sf)), BATCH))
 
 
 @query
 def shuffled_batches(spark, sf):
-    b = C.assign_batches(_train_rows(fixture(spark, sf)), BATCH, shuffle_seed=SHUFFLE_SEED)
-    return b.groupBy("accommodation_id", "batch_id").agg(F.count(F.lit(1)).alias("n"))
+    return _batch_members(C.assign_batches(_train_rows(fixture(spark, sf)), BATCH, shuffle_seed=SHUFFLE_SEED))
 
 
 # ------------------------------------------------------------------ L1-L4 D8 B14
-def _batch_table(fx, shuffle_seed=None):
-    # number the match keys only, then attach the vectors: the numbering's shuffle, checkpoint
-    # and Python pass carry three ids per row instead of two vectors
-    p = fx.matched_pairs(("train",))
-    keys = C.assign_batches(p.select("accommodation_id", "user_id", "review_id"), BATCH, shuffle_seed=shuffle_seed)
-    rows = keys.join(p.select("user_id", "review_id", "uvec", "rvec"), ["user_id", "review_id"])
-    return batch_losses(rows.select("accommodation_id", "batch_id", "user_id", "uvec", "rvec"))
+def _batch_table(fx, loss, shuffle_seed=None):
+    # number the prepared match keys only, then attach the vectors: the vector joins run once, and the
+    # numbering's shuffle, checkpoint and Python pass carry three ids per row
+    keys = C.assign_batches(_train_rows(fx), BATCH, shuffle_seed=shuffle_seed)
+    rows = (keys.join(fx.user_vecs.select("user_id", F.col("vec").alias("uvec")), "user_id")
+            .join(fx.review_vecs.select("review_id", F.col("vec").alias("rvec")), "review_id"))
+    return batch_losses(rows.select("accommodation_id", "batch_id", "user_id", "uvec", "rvec"), loss)
 
 
-def _loss(spark, sf, col):
-    t = _batch_table(fixture(spark, sf))
-    return t.select("accommodation_id", "batch_id", R6(col).alias("loss"))
+def _loss(spark, sf, loss):
+    t = _batch_table(fixture(spark, sf), loss)
+    return t.select("accommodation_id", "batch_id", R6("loss").alias("loss"))
 
 
 @query
 def loss_softmax(spark, sf):
-    return _loss(spark, sf, "loss_softmax")
+    return _loss(spark, sf, "softmax")
 
 
 @query
 def loss_bce(spark, sf):
-    return _loss(spark, sf, "loss_bce")
+    return _loss(spark, sf, "bce")
 
 
 @query
 def loss_contrastive(spark, sf):
-    return _loss(spark, sf, "loss_contrastive")
+    return _loss(spark, sf, "contrastive")
 
 
 @query
@@ -496,22 +503,35 @@ def loss_cosine(spark, sf):
 @query
 def loss_epoch_mean(spark, sf):
     fx = fixture(spark, sf)
-    tables = [_batch_table(fx, shuffle_seed=e).withColumn("epoch", F.lit(e).cast("long")) for e in range(EPOCHS)]
+    tables = [_batch_table(fx, "softmax", shuffle_seed=e).withColumn("epoch", F.lit(e).cast("long")) for e in range(EPOCHS)]
     return epoch_means(_union(tables)).select("epoch", R6("loss").alias("loss"))
 
 
+@query
+def loss_running_mean(spark, sf):
+    """D8, second half: mean of the losses so far, batch by batch, in each accommodation."""
+    t = _batch_table(fixture(spark, sf), "softmax")
+    return running_means(t, "accommodation_id", "batch_id").select("accommodation_id", "batch_id", R6("running").alias("running"))
+
+
 @query
 def nonfinite_counts(spark, sf):
     from roomrank.sources.tables import vector_table
     fx = fixture(spark, sf)
     v = vector_table(spark, sf).select(F.explode("vec").alias("x"))
     a = v.agg(K.nonfinite_count(v, "x").alias("value")).select(F.lit("embedding_values").alias("key"), "value")
-    t = _batch_table(fx)
-    b = t.agg(K.nonfinite_count(t, "loss_softmax").alias("value")).select(F.lit("loss_softmax").alias("key"), "value")
+    t = _batch_table(fx, "softmax")
+    b = t.agg(K.nonfinite_count(t, "loss").alias("value")).select(F.lit("loss_softmax").alias("key"), "value")
     return a.unionByName(b)
 
 
 # ------------------------------------------------------------------ I11
+def feature_sums(col: str):
+    """Sum and position-weighted sum of a feature array (nulls left out), rounded."""
+    add = lambda a, x: a + F.coalesce(x, F.lit(0.0))
+    return (R6(F.aggregate(col, F.lit(0.0), add)), R6(F.aggregate(F.transform(col, lambda x, i: x * (i + 1)), F.lit(0.0), add)))
+
+
 @query
 def training_examples(spark, sf):
     fx = fixture(spark, sf)
@@ -519,12 +539,26 @@ def training_examples(spark, sf):
     m = fx.matches.where(F.col("split") == "train").select("user_id", "review_id")
     text = fx.reviews_filled.select("review_id", F.md5(review_prompt_full_fn()).alias("text_md5"))
     j = m.join(feats.where(F.col("split") == "train").select("user_id", "features"), "user_id").join(text, "review_id")
-    return j.select("user_id", "review_id", "text_md5", F.size("features").cast("long").alias("n_features"))
+    return j.select("user_id", "review_id", "text_md5", F.size("features").cast("long").alias("n_features"),
+                    feature_sums("features")[0].alias("total"), feature_sums("features")[1].alias("weighted"))
 
 
 # ------------------------------------------------------------------ H7
 @query
 def pair_vector(spark, sf):
-    p = fixture(spark, sf).matched_pairs(("val",))
-    out = p.select("user_id", "review_id", V.concat_vectors("uvec", "rvec").alias("v"))
-    return _long(out, "user_id", "v", "review_id")
+    """The concatenated vector of every match: its length, sum and position-weighted sum."""
+    p = fixture(spark, sf).matched_pairs()
+    v = V.concat_vectors("uvec", "rvec")
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    weighted = F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return p.select("user_id", "review_id", F.size(v).cast("long").alias("n"), R6(total).alias("total"), R6(weighted).alias("weighted"))
+
+
+# ------------------------------------------------------------------ C5
+@query
+def dropped_users(spark, sf):
+    """Users without any candidate, who get no ranking, per split."""
+    fx = fixture(spark, sf)
+    groups = fx.review_keys.select("accommodation_id").distinct().withColumn("_has", F.lit(1))
+    return (fx.users.select("split", "accommodation_id").join(groups, "accommodation_id", "left")
+            .groupBy("split").agg(F.count(F.lit(1)).alias("n_users"), F.count_if(F.col("_has").isNull()).alias("n_dropped")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,25 +40,64 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests) make a scratch one."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+def _configured(spark: SparkSession, key: str) -> str | None:
+    return spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local session may go without it (tests); it then gets a scratch folder of its own. On a cluster a
+    machine-local folder would lose data silently, so there it must be set.
+    """
+    configured = _configured(spark, "spark.checkpoint.dir")
+    if configured:
+        return configured.rstrip("/")
+    current = spark.sparkContext.getCheckpointDir()
     if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="roomrank-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+        return current.rstrip("/").rsplit("/", 1)[0]  # without the session's own part
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="roomrank-ckpt-"))
+    return shared_root(spark)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Set the checkpoint folder from ``spark.checkpoint.dir`` if it isn't yet; returns the session's folder."""
+    ship_package(spark)
+    root = shared_root(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
+    return spark.sparkContext.getCheckpointDir() or root
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint location, for tables written to cut lineage."""
-    base = ensure_checkpoint_dir(spark)
+    """A folder for tables written to cut lineage, the same in every session: below ``roomrank.cache.dir`` or the shared folder."""
+    base = _configured(spark, "roomrank.cache.dir") or shared_root(spark)
     return base.rstrip("/") + "/roomrank/" + name
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so their Python finds it wherever they start."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    home = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="roomrank-py-"), "roomrank.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(home):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(home)))
+    spark.sparkContext.addPyFile(target)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 

@@ -1,8 +1,8 @@
 """Read-through cache of prepared tables (A3) and the CSV sink (A4).
 
-A prepared table is written once as parquet under the shared checkpoint folder, in a path
-that carries a digest of its inputs and parameters (the reference's pickle caches ignore
-their parameters). Later reads are plain parquet scans with pushdown and pruning; the write
+A prepared table is written once as parquet under ``roomrank.cache.dir`` (else the shared folder), in a
+path that carries a digest of its parameters and of its input files (names, sizes, times), so later
+sessions hit it and new input files miss it (the reference's pickle caches ignore both). Later reads are plain parquet scans with pushdown and pruning; the write
 also cuts the lineage of a long plan, and the files outlive any executor.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def input_digest(spark: SparkSession, folder: str) -> str:
+    """Digest of the names, sizes and modification times of all files below a folder, as Hadoop lists them."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    it = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    seen = []
+    while it.hasNext():
+        f = it.next()
+        seen.append([f.getPath().toUri().getPath(), f.getLen(), f.getModificationTime()])
+    return digest({"files": sorted(seen)})
+
+
+def run_dir(spark: SparkSession, name: str) -> str:
+    """A folder of its own for each call."""
+    return shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
 def cache_path(spark: SparkSession, name: str, params: dict) -> str:
     return shared_dir(spark, f"cache/{name}-{digest(params)}")
 
@@ -44,10 +62,11 @@ def read_through(spark: SparkSession, name: str, params: dict, build) -> DataFra
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV sink with a header line (A4); one directory of part files, as Spark writes."""
-    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+    (df.write.option("header", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Read what ``write_csv`` wrote; rows are lines (columns of texts with line ends: ``tables.escape_lines``)."""
     return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
-            .option("multiLine", True).option("escape", '"').csv(path))
+            .option("escape", '"').csv(path))

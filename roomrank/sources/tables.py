@@ -13,6 +13,8 @@ filters into the parquet scans.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,18 +59,45 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # reference file layout (A1, A2)
 # ---------------------------------------------------------------------------
 
-def load_split(spark: SparkSession, data_dir: str, split: str):
-    """Read one split as (users, reviews, matches); the test split has no matches (None)."""
+# Line ends inside a field, and the mark itself; fixed pairs, in the order of writing. With them a CSV
+# line is a row, so a file can be read in parts by many tasks. EMPTY tells an empty text from null.
+ESCAPES = (("%", "%25"), ("\n", "%0A"), ("\r", "%0D"))
+EMPTY = "%00"
+
+
+def _each_text(df: DataFrame, change) -> DataFrame:
+    return df.withColumns({f.name: change(F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.StringType)})
+
+
+def escape_lines(df: DataFrame) -> DataFrame:
+    def change(c):
+        out = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), ESCAPES, c)
+        return F.when(c == "", F.lit(EMPTY)).otherwise(out)
+    return _each_text(df, change)
+
+
+def unescape_lines(df: DataFrame) -> DataFrame:
+    def change(c):
+        out = reduce(lambda x, p: F.replace(x, F.lit(p[1]), F.lit(p[0])), reversed(ESCAPES), c)
+        return F.when(c == EMPTY, F.lit("")).otherwise(out)
+    return _each_text(df, change)
+
+
+def load_split(spark: SparkSession, data_dir: str, split: str, escaped: bool = False):
+    """Read one split as (users, reviews, matches); the test split has no matches (None).
+
+    ``escaped``: the files were written by ``write_split`` with line ends escaped, and are read in
+    parts. Foreign files may have line ends inside quotes; each is read whole by one task.
+    """
     if split not in SPLITS:
         raise ValueError(f"unknown split {split!r}")
     base = data_dir.rstrip("/")
 
     def csv(name, schema):
-        # review texts span lines and quote with doubled quotes, as pandas writes them; a
-        # multi-line file is read whole by one task, so parallelism comes from the file count
-        return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
-                .option("multiLine", True).option("escape", '"')
-                .option("nanValue", "NaN").csv(f"{base}/{split}_{name}.csv"))
+        df = (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
+              .option("multiLine", not escaped).option("escape", '"')
+              .option("nanValue", "NaN").csv(f"{base}/{split}_{name}.csv"))
+        return unescape_lines(df) if escaped else df
 
     users = csv("users", USER_SCHEMA)
     reviews = csv("reviews", REVIEW_SCHEMA)
@@ -76,7 +105,8 @@ def load_split(spark: SparkSession, data_dir: str, split: str):
     return users, reviews, matches
 
 
-def write_split(users: DataFrame, reviews: DataFrame, matches: DataFrame | None, data_dir: str, split: str) -> None:
+def write_split(users: DataFrame, reviews: DataFrame, matches: DataFrame | None, data_dir: str, split: str,
+                escaped: bool = False) -> None:
     """Write one split in the same layout (``{split}_{table}.csv``, header, doubled quotes).
 
     Spark writes each ``.csv`` as a folder of part files, which ``load_split`` reads the same way.
@@ -86,7 +116,8 @@ def write_split(users: DataFrame, reviews: DataFrame, matches: DataFrame | None,
     if matches is not None:
         tables.append(("matches", matches, MATCH_SCHEMA))
     for name, df, schema in tables:
-        (df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        df = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        ((escape_lines(df) if escaped else df)
          .write.mode("overwrite").option("header", True).option("escape", '"')
          # Spark's CSV writer trims white space by default; texts must keep theirs
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -150,13 +181,18 @@ def reviews_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_sup = _count_of(spark, sf_dir, "supplier")
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     rid = F.col("doc_id")
+    # title: the first line; the rest in two halves, or whole where the other part is null (never both)
+    title = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+    rest = F.substring(F.col("text"), F.length(title) + 2, F.length("text"))
+    half = F.floor(F.length(rest) / 2).cast("int")
     return d.select(
         rid.alias("review_id"),
         ((rid * (rid % 7 + 1)) % n_sup).cast("long").alias("accommodation_id"),
-        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("review_title"),
-        F.when(rid % 6 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("review_positive"),
-        F.when(rid % 4 == 1, F.lit(None).cast("string"))
-         .otherwise(F.substring(F.col("text"), 1, 200)).alias("review_negative"),
+        title.alias("review_title"),
+        F.when(rid % 6 == 0, F.lit(None).cast("string")).when(rid % 4 == 1, rest)
+         .otherwise(F.substring(rest, F.lit(1), half)).alias("review_positive"),
+        F.when(rid % 4 == 1, F.lit(None).cast("string")).when(rid % 6 == 0, rest)
+         .otherwise(F.substring(rest, half + 1, F.length(rest))).alias("review_negative"),
         (F.col("n_chars") % 10 + 1).cast("double").alias("review_score"),
         (rid % 37).cast("int").alias("review_helpful_votes"),
     )

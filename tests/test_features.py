@@ -57,21 +57,41 @@ def test_binary_null_and_unseen_are_zero_and_bits_decode(spark):
 def test_onehot_sums_to_one(spark, sf_small):
     from roomrank.plans.fixture import fixture
     users = fixture(spark, sf_small).users
-    vals = FE.fit_onehot_domain(users)
-    enc = FE.apply_onehot(users, "guest_type", vals)
-    s = enc.select(sum(F.col(f"guest_type_{v}") for v in vals).alias("s")).distinct().collect()
+    codes, sizes = FE.fit_codes(users.select(F.lit("guest_type").alias("col"), F.col("guest_type").alias("value")))
+    n = sizes["guest_type"]
+    enc = FE.apply_onehot(users, "guest_type", codes, n)
+    s = enc.select(F.aggregate(FE.onehot_array(F.col("guest_type_index"), n), F.lit(0.0), lambda a, x: a + x).alias("s")).distinct().collect()
     assert [r["s"] for r in s] == [1]
 
 
+def test_codes_are_the_same_for_every_size(spark):
+    """Small, large and numeric domains take one way: ordinals in the byte order of the value's text."""
+    for values in (["b", "a", "c"], [f"v{i}" for i in range(3000)], list(range(1, 13))):
+        rows = spark.createDataFrame([(v,) for v in values] * 2 + [(None,)], f"c {'string' if isinstance(values[0], str) else 'int'}")
+        dom, bits = FE.fit_binary_domain(rows, "c")
+        want = {str(v): i + 1 for i, v in enumerate(sorted(map(str, values)))}
+        assert {r["value"]: r["code"] for r in dom.collect()} == want
+        out = FE.apply_binary(rows.distinct(), "c", dom, bits).collect()
+        got = {r["c"]: sum(r[f"c_{i}"] << (bits - 1 - i) for i in range(bits)) for r in out}
+        assert got.pop(None) == 0 and {str(k): v for k, v in got.items()} == want
+    one = FE.apply_onehot(spark.createDataFrame([(f"v{i}",) for i in range(3000)], "c string"), "c", *_codes_of(spark, 3000))
+    assert one.agg(F.countDistinct("c_index")).first()[0] == 3000
+
+
+def _codes_of(spark, n):
+    codes, sizes = FE.fit_codes(spark.createDataFrame([("c", f"v{i}") for i in range(n)], "col string, value string"))
+    return codes, sizes["c"]
+
+
 def test_user_features_properties(spark, sf_small):
     from roomrank.plans.fixture import fixture
-    u, cols = FE.build_user_features(fixture(spark, sf_small).users)
+    u, widths = FE.build_user_features(fixture(spark, sf_small).users)
     scaled = [c for c in FE.SCALE_COLS]
     row = u.agg(*[F.min(c).alias(f"lo_{c}") for c in scaled], *[F.max(c).alias(f"hi_{c}") for c in scaled],
                 F.countDistinct(F.size("features")).alias("widths"), F.max(F.size("features")).alias("w")).first()
     for c in scaled:
         assert 0.0 <= row[f"lo_{c}"] and row[f"hi_{c}"] <= 1.0
-    assert row["widths"] == 1 and row["w"] == len(cols)
+    assert row["widths"] == 1 and row["w"] == sum(widths.values())
 
 
 def test_drift_anchor(spark):

@@ -11,7 +11,7 @@ from roomrank.functions import text as TX
 from roomrank.functions import vectors as V
 from roomrank.operators import candidates as C
 from roomrank.operators import clean as K
-from roomrank.operators.losses import _batch_losses, batch_losses
+from roomrank.operators.losses import batch_losses, bce_loss, contrastive_loss, running_means, softmax_loss
 
 
 def test_batch_edge_65_rows(spark):
@@ -20,14 +20,14 @@ def test_batch_edge_65_rows(spark):
     b = C.assign_batches(df, 64)
     sizes = sorted(r["count"] for r in b.groupBy("batch_id").count().collect())
     assert sizes == [1, 64]
-    losses = {r["n"]: r for r in batch_losses(b).collect()}
-    assert losses[1]["loss_softmax"] == 0.0
+    losses = {r["n"]: r for r in batch_losses(b, "softmax").collect()}
+    assert losses[1]["loss"] == 0.0
 
 
 def test_losses_match_bruteforce():
     rng = np.random.default_rng(0)
     u, r = rng.normal(size=(5, 4)), rng.normal(size=(5, 4))
-    sm, bce, con = _batch_losses(u, r, 2.0)
+    sm, bce, con = softmax_loss(u, r), bce_loss(u, r), contrastive_loss(u, r, 2.0)
     s = u @ r.T
     ce = [np.log(np.exp(s[i]).sum()) - s[i, i] for i in range(5)]
     assert abs(sm - np.mean(ce)) < 1e-12
@@ -40,6 +40,12 @@ def test_losses_match_bruteforce():
     assert abs(con - c) < 1e-12
 
 
+def test_running_means(spark):
+    df = spark.createDataFrame([(1, 0, 4.0), (1, 1, 2.0), (1, 2, 0.0), (2, 0, 5.0)], "accommodation_id long, batch_id long, loss double")
+    got = {(r["accommodation_id"], r["batch_id"]): r["running"] for r in running_means(df, "accommodation_id", "batch_id").collect()}
+    assert got == {(1, 0): 4.0, (1, 1): 3.0, (1, 2): 2.0, (2, 0): 5.0}
+
+
 def test_nan_guard_raises(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),)], "x double")
     with pytest.raises(FloatingPointError):

@@ -104,3 +104,68 @@ def test_split_csv_layout_keeps_texts_exactly(spark, tmp_path):
     got = {row["review_id"]: row["review_positive"] for row in r.collect()}
     assert [got[i] for i in range(len(texts))] == texts
     assert u.count() == 1 and m.first()["review_id"] == 0
+
+
+def test_escaped_csv_is_read_line_by_line_and_keeps_texts(spark, tmp_path):
+    from roomrank.sources.tables import MATCH_SCHEMA, REVIEW_SCHEMA, write_split
+
+    texts = ["a\nb", "a\r\nb", "%0A", "50%", "", None, ' "q", ', "%00", "\n"]
+    reviews = spark.createDataFrame([(i, 1, t, t, "x", 1.0, 0) for i, t in enumerate(texts)], REVIEW_SCHEMA)
+    users = spark.createDataFrame([], USER_SCHEMA)
+    write_split(users, reviews, spark.createDataFrame([], MATCH_SCHEMA), str(tmp_path), "val", escaped=True)
+    _, back, _ = load_split(spark, str(tmp_path), "val", escaped=True)
+    assert [r["review_title"] for r in back.orderBy("review_id").collect()] == texts
+
+
+def test_cache_misses_new_input_files_and_has_one_place_in_every_session(spark, tmp_path):
+    from roomrank.sources.cache import cache_path, input_digest
+    from roomrank.session import shared_root
+
+    spark.range(3).write.parquet(str(tmp_path / "a.parquet"))
+    one = input_digest(spark, str(tmp_path))
+    assert one == input_digest(spark, str(tmp_path))
+    spark.range(4).write.mode("append").parquet(str(tmp_path / "a.parquet"))
+    assert one != input_digest(spark, str(tmp_path))
+    own = spark.sparkContext.getCheckpointDir().rstrip("/").rsplit("/", 1)[1]
+    assert own not in cache_path(spark, "x", {}) and cache_path(spark, "x", {}).startswith(shared_root(spark))
+
+
+def test_csv_roundtrip_on_two_inputs(spark):
+    from roomrank.plans.jobs import csv_roundtrip
+
+    a, b = csv_roundtrip(spark, "/root/testdata/sf0.001"), csv_roundtrip(spark, "/root/testdata/sf0.01")
+    assert (a.count(), b.count()) == (150, 1500)
+
+
+def test_training_stops_on_a_loss_that_is_not_finite(spark):
+    import pytest
+
+    nan = float("nan")
+    rows = spark.createDataFrame([(1, 0, [1, 2], [nan, 1.0], [1.0, 2.0])], "accommodation_id long, batch_id long, uids array<long>, xu array<double>, xr array<double>")
+    with pytest.raises(FloatingPointError):
+        M.fit_dual_encoders(rows, 1, 1, k=2, epochs=2, seed=0)
+
+
+def test_runs_outside_the_repository(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+            "import __spark_entry__ as E\n"
+            "print('ROWS', E.entry(s).count())\n") % str(Path(__file__).resolve().parents[1])
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "ROWS 1" in out.stdout, out.stderr[-2000:]
+
+
+def test_scorer_of_other_encoders_is_refused(spark, tmp_path):
+    import pytest
+
+    a = {"user": M.init_mlp([3, 2], seed=0), "review": M.init_mlp([3, 2], seed=1)}
+    b = {"user": M.init_mlp([3, 2], seed=2), "review": M.init_mlp([3, 2], seed=1)}
+    M.save_scorer(spark, M.init_mlp([4, 1], seed=3), a, str(tmp_path / "s"))
+    assert len(M.load_scorer(spark, str(tmp_path / "s"), a)) == 1
+    with pytest.raises(ValueError, match="not fitted"):
+        M.load_scorer(spark, str(tmp_path / "s"), b)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from roomrank.operators.ranking import mean_reciprocal_rank, target_ranks, topk_per_user, wide_top10
@@ -72,8 +73,8 @@ def test_blocked_scoring_equals_brute_force(spark):
                               "tvec array<double>")
     got = {r["user_id"]: r["rank"] for r in target_ranks(q, items, block=16).collect()}
     got_top = topk_per_user(q.select("user_id", "accommodation_id", "vec"), items, block=16).toPandas()
-    # block sizes from a wrong size source (group 0 missing, others inflated) change only the work
-    bad = spark.createDataFrame([(a,) for a in [1, 2, 3, 4] * 200], "accommodation_id long")
+    # block sizes from a wrong size source change only the work
+    bad = spark.createDataFrame([(a,) for a in [0, 1, 2, 3, 4] * 200], "accommodation_id long")
     assert {r["user_id"]: r["rank"] for r in
             target_ranks(q, items, block=16, query_sizes=bad, item_sizes=bad).collect()} == got
     bad_top = topk_per_user(q.select("user_id", "accommodation_id", "vec"), items, block=16,
@@ -129,3 +130,31 @@ def test_hot_group_blocks_are_built_by_many_tasks(spark):
         assert hot_blocks.select("pid").distinct().count() > 4
     finally:
         spark.conf.set(key, old)
+
+
+def _queries(spark, rows):
+    return spark.createDataFrame(rows, "user_id long, accommodation_id long, vec array<double>, review_id long, tvec array<double>")
+
+
+def test_target_that_is_no_candidate_has_no_rank(spark):
+    items = _items(spark, [(1, 1, [1.0]), (2, 1, [0.5])])
+    r = target_ranks(_queries(spark, [(1, 1, [1.0], 99, [0.7]), (2, 1, [1.0], 2, [0.5])]), items).orderBy("user_id").collect()
+    assert (r[0]["rank"], r[0]["rr"]) == (None, 0.0) and (r[1]["rank"], r[1]["rr"]) == (2, 0.5)
+
+
+def test_nan_scores_rank_last_and_stop_the_mean(spark):
+    nan = float("nan")
+    items = _items(spark, [(i, 1, [nan if i == 3 else float(i)]) for i in range(1, 6)])
+    ranks = target_ranks(_queries(spark, [(1, 1, [1.0], 3, [nan]), (2, 1, [1.0], 5, [5.0])]), items, block=2)
+    assert {r["user_id"]: r["rank"] for r in ranks.collect()} == {1: 5, 2: 1}
+    with pytest.raises(Exception, match="non-finite"):
+        mean_reciprocal_rank(ranks).collect()
+    top = topk_per_user(_users(spark, [(1, 1, [1.0])]), items, block=2).orderBy("rank").collect()
+    assert [r["review_id"] for r in top] == [5, 4, 2, 1, 3]
+
+
+def test_group_without_a_size_stops(spark):
+    items = _items(spark, [(1, 1, [1.0]), (2, 2, [0.5])])
+    sizes = spark.createDataFrame([(1,)], "accommodation_id long")
+    with pytest.raises(Exception, match="no size"):
+        topk_per_user(_users(spark, [(1, 2, [1.0])]), items, item_sizes=sizes).collect()
