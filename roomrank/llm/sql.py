@@ -1,7 +1,78 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express on whole tables."""
 
 from __future__ import annotations
 
+from roomrank.llm import mixing, url_filter
+
+MIXING = f"""
+WITH RECURSIVE
+src AS (SELECT source, sqrt(count(*)) AS weight FROM documents GROUP BY source),
+w0 AS (SELECT source, weight / sum(weight) OVER () AS weight, greatest({mixing.PERIOD}, count(*) OVER ()) AS period,
+              count(*) OVER () AS m FROM src),
+w1 AS (SELECT *, weight * (period - m) AS exact, floor(weight * (period - m)) AS base FROM w0),
+w AS (SELECT source, period, CAST(1 + base + CASE WHEN row_number() OVER (ORDER BY base - exact, source NULLS FIRST)
+                                                       <= period - m - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS slots FROM w1),
+n AS (SELECT list(slots ORDER BY source NULLS FIRST) AS s, list(source ORDER BY source NULLS FIRST) AS names, max(period) AS q FROM w),
+step(t, k, pick) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(s, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM n
+  UNION ALL
+  SELECT t + 1, list_transform(range(1, len(k) + 1), lambda i: k[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p
+  FROM (SELECT step.t, step.k, list_min(list_transform(range(1, len(step.k) + 1), lambda i:
+          CASE WHEN (step.k[i] * n.q) // n.s[i] <= step.t + 1
+               THEN (((step.k[i] + 1) * n.q + n.s[i] - 1) // n.s[i]) * 1000000 + i END)) % 1000000 AS p
+        FROM step, n WHERE step.t + 1 < n.q)),
+plan AS (SELECT n.names[step.pick] AS source, step.k[step.pick] - 1 AS k, step.t AS slot FROM step, n WHERE step.t >= 0),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS n FROM documents)
+SELECT d.doc_id, d.source, d.n // {mixing.BLOCK_ROWS} AS block,
+       ((d.n // {mixing.BLOCK_ROWS}) // w.slots) * w.period + plan.slot AS slot, CAST(d.n % {mixing.BLOCK_ROWS} AS INTEGER) AS place
+FROM d JOIN w ON w.source IS NOT DISTINCT FROM d.source
+JOIN plan ON plan.source IS NOT DISTINCT FROM d.source AND plan.k = (d.n // {mixing.BLOCK_ROWS}) % w.slots"""
+
+
+def _rule_sql(column: int) -> str:
+    cases = []
+    for verdict, rule in sorted(url_filter.RULES, key=lambda r: -len(r[1])):
+        host, _, path = rule.partition("/")
+        cases.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') THEN '{(rule, verdict)[column]}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+def _strength_sql(table: str, mean: str) -> str:
+    low, high = url_filter.STRENGTH
+    return f"""(SELECT least(greatest(coalesce(1 / nullif(greatest((spread - within) / nullif(pairs, 0), 0), 0) - 1, {high}), {low}), {high}) FROM (
+    SELECT sum({mean} * (1 - {mean})) AS within, sum(pow(bad - n * {mean}, 2) / n) AS spread, sum({mean} * (1 - {mean}) * (n - 1)) AS pairs
+    FROM {table} WHERE n > 0))"""
+
+
+def _level(name: str, source: str, mean: str, out: str) -> str:
+    return f"""
+{name}_k AS (SELECT {_strength_sql(source, mean)} AS k),
+{name}_p AS (SELECT s.*, 1 / (1 / k + 1 / {mean}_n) AS prior FROM {source} s, {name}_k),
+{name} AS (SELECT * EXCLUDE (prior), n + prior AS {out}_n, (bad + prior * {mean}) / (n + prior) AS {out} FROM {name}_p)"""
+
+
+URL_FILTER = f"""
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+b AS (SELECT page_id, rest, split_part(split_part(split_part(rest, '/', 1), '?', 1), '#', 1) AS raw FROM a),
+p AS (SELECT page_id, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(split_part(split_part(substr(rest, length(raw) + 1), '?', 1), '#', 1), '') AS path FROM b),
+o AS (SELECT doc_id AS page_id, CAST(quality = 0 AS INTEGER) AS bad FROM labels WHERE quality IS NOT NULL),
+h0 AS (SELECT host, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, string_split(host, '.') AS l FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+h1 AS (SELECT host, n, bad, l, CASE WHEN length(l[-1]) = 2 AND len(l) > 1 AND l[-2] IN ({', '.join(f"'{x}'" for x in url_filter.SECOND_LEVEL)})
+                                   THEN l[-2] || '.' || l[-1] ELSE l[-1] END AS suffix FROM h0),
+h2 AS (SELECT host, n, bad, suffix, array_to_string(l[greatest(1, len(l) - CASE WHEN contains(suffix, '.') THEN 2 ELSE 1 END):], '.') AS domain FROM h1),
+d0 AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h2 GROUP BY ALL),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY ALL),
+s1 AS (SELECT s0.*, (t.bad + 0.5) / (t.n + 1) AS overall, t.n + 1.0 AS overall_n
+       FROM s0, (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM s0) t),{_level('s', 's1', 'overall', 'suffix_rate')},
+d1 AS (SELECT d0.*, suffix_rate, suffix_rate_n FROM d0 JOIN s USING (suffix)),{_level('d', 'd1', 'suffix_rate', 'domain_rate')},
+h3 AS (SELECT h2.*, domain_rate, domain_rate_n FROM h2 JOIN d USING (suffix, domain)),{_level('h', 'h3', 'domain_rate', 'rate')},
+r AS (SELECT host, rate, greatest(rate - {url_filter.Z} * sqrt(rate * (1 - rate) / (rate_n + 1)), 0) AS bound FROM h)
+SELECT page_id, host, path, {_rule_sql(0)} AS rule,
+       coalesce({_rule_sql(1)}, CASE WHEN bound > {url_filter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
+       round(rate, 6) AS host_rate, round(bound, 6) AS host_bound
+FROM p LEFT JOIN r USING (host)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": MIXING, "op3_url_filter": URL_FILTER}
