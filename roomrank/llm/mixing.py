@@ -137,3 +137,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id
     return (numbered.join(plan, F.col("source").eqNullSafe(F.col("s2")) & (F.col("k") == F.col("k2")))
             .select("doc_id", "source", "block",
                     (F.floor(F.col("block") / F.col("slots")) * F.col("period") + F.col("slot")).alias("slot"), "place"))
+
+
+def mixed(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text",
+          block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+    """The rows of docs, all columns as they are, in mixed order: range-partitioned and sorted by (slot, place).
+
+    Rows that repeat id and text share a place and stand next to each other.
+    """
+    row = F.concat_ws("-", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("string"))
+    keyed = docs.withColumn("_row", row)
+    places = (mix(keyed, weights, "_row", source, block_rows, period).groupBy(F.col("doc_id").alias("_row"))
+              .agg(F.min(F.struct("slot", "place")).alias("_at")))
+    out = keyed.join(places, "_row").repartitionByRange(F.col("_at.slot"), F.col("_at.place")).sortWithinPartitions("_at.slot", "_at.place", "_row")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -190,10 +190,14 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                    .mapInArrow(_features(table), "doc_id long, features array<float>"), "quality-features")
 
 
+def training_rows(labels: DataFrame, sample: int) -> DataFrame:
+    return (labels.where("doc_id is not null and quality is not null").where(remainder(F.col("doc_id")) != 0)
+            .select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
+
+
 def fit(made: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """Fit on at most `sample` labelled rows outside the held-out fold (label columns doc_id, quality)."""
-    chosen = (labels.where("doc_id is not null and quality is not null").where(remainder(F.col("doc_id")) != 0)
-              .select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
+    chosen = training_rows(labels, sample)
     got = (made.join(F.broadcast(chosen), "doc_id").select("doc_id", "features", "quality", (remainder(F.col("doc_id")) == 1).alias("aside"))
            .toArrow())
     y = got.column("quality").to_numpy().astype(float)
@@ -225,3 +229,26 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     return (made.mapInArrow(_score(net), "doc_id long, score double")
             .select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
                     (F.col("score") >= cut).cast("int").alias("predicted")))
+
+
+def _keep(table, net, text_at, cut):
+    def work(batches):
+        t, m = table.value, net.value
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for lo, data, starts in slices(batch.column(text_at)):
+                x = pooled(data, starts, t)
+                keep[lo:lo + len(x)] = m.scores(x) >= cut
+            yield batch.filter(pa.array(keep))
+    return work
+
+
+def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
+    """The rows of docs, all columns as they are, that score `cut` or more. No text is shuffled."""
+    sc = docs.sparkSession.sparkContext
+    table = sc.broadcast(word_vectors(docs, text))
+    chosen = training_rows(labels, sample).select("doc_id").distinct()
+    made = (docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+            .join(F.broadcast(chosen), "doc_id").mapInArrow(_features(table), "doc_id long, features array<float>"))
+    net = sc.broadcast(fit(made, labels, sample))
+    return docs.mapInArrow(_keep(table, net, docs.columns.index(text), cut), docs.schema)
