@@ -8,8 +8,8 @@ group, and a group may hold a third of all rows. Instead:
    (``pmod(xxhash64(id), ceil(n/block))``), and each block is collected into one row
    (a bounded list, never a whole group);
 2. query blocks are joined with the item blocks of their group: one row per *block pair*,
-   i.e. ``block**2`` fewer rows than pairs; AQE's skew join splits a hot group's block pairs
-   over many tasks;
+   i.e. ``block**2`` fewer rows than pairs; a hot group's query blocks are dealt to salts, so its
+   block pairs spread over many tasks without AQE;
 3. a vectorised Python job multiplies the two blocks (numpy matmul on Arrow batches) and emits
    only what ranking needs: per query, the number of items that rank before its target, and /
    or its top-k of that block;
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BLOCK = 256
+SALT_BLOCKS = 8  # query blocks of a group that share a join key
 SCORE_DECIMALS = 6
 COSINE_EPS = 1e-8
 
@@ -53,7 +54,17 @@ def _blocks(df: DataFrame, grp: str, id_cols: list[str], fields: list, block: in
     # join's partitioning by group and a hot group's blocks are all built by one task. The
     # explicit exchange also lets AQE split a skewed partition of the join above.
     b = b.repartition(grp, "_blk")
-    return b.groupBy(grp, "_blk").agg(F.collect_list(F.struct(*fields)).alias(name)).drop("_blk")
+    return b.groupBy(grp, "_blk").agg(F.collect_list(F.struct(*fields)).alias(name))
+
+
+def _salted(qb: DataFrame, ib: DataFrame, grp: str, query_sizes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Spread a hot group's block pairs: its query blocks are dealt to ``_salt`` 0 .. s - 1, its item blocks go to
+    every salt, with s from the group's number of query blocks, so one join key has SALT_BLOCKS query blocks or so."""
+    s = F.greatest(F.ceil(F.ceil(F.col("_n") / F.lit(float(block))) / F.lit(float(SALT_BLOCKS))), F.lit(1)).cast("long")
+    salts = query_sizes.select(grp).groupBy(grp).agg(F.count(F.lit(1)).alias("_n")).select(grp, s.alias("_s"))
+    qb = qb.join(salts, grp).withColumn("_salt", F.pmod(F.col("_blk"), F.col("_s"))).drop("_blk", "_s")
+    ib = ib.join(salts, grp).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1))).drop("_blk", "_s")
+    return qb, ib
 
 
 def _flatten_side(rows_col: str, prefix: str, scalar_fields: list[str], vec_fields: list[str]):
@@ -178,7 +189,7 @@ def _prepare_items(items: DataFrame, grp: str, iid: str, ivec: str, itie: str |
                       (F.col(itie).cast("long") if itie else F.lit(0).cast("long")).alias("tie"),
                       F.col(ivec).alias("vec"))
     ib = _blocks(it, grp, ["iid", "tie"], ["iid", "tie", "vec"], block, "irows", sizes_from)
-    return ib.select(grp, *_flatten_side("irows", "i_", ["iid", "tie"], ["vec"]))
+    return ib.select(grp, "_blk", *_flatten_side("irows", "i_", ["iid", "tie"], ["vec"]))
 
 
 def rank_of_target(queries: DataFrame, items: DataFrame, *, grp: str, qid: str, qvec: str,
@@ -199,9 +210,10 @@ def rank_of_target(queries: DataFrame, items: DataFrame, *, grp: str, qid: str,
                        (F.col(target_tie).cast("long") if target_tie else F.lit(0).cast("long")).alias("ttie"),
                        F.col(target_vec).alias("tvec"))
     qb = _blocks(q, grp, ["qid"], ["qid", "vec", "tid", "ttie", "tvec"], block, "qrows", query_sizes)
-    qb = qb.select(grp, *_flatten_side("qrows", "q_", ["qid", "tid", "ttie"], ["vec", "tvec"]))
+    qb = qb.select(grp, "_blk", *_flatten_side("qrows", "q_", ["qid", "tid", "ttie"], ["vec", "tvec"]))
     ib = _prepare_items(items, grp, iid, ivec, itie, block, item_sizes)
-    pairs = qb.join(ib, grp).select("q_qid", "q_tid", "q_ttie", "q_vec", "q_tvec", "i_iid", "i_tie", "i_vec")
+    qb, ib = _salted(qb, ib, grp, q if query_sizes is None else query_sizes, block)
+    pairs = qb.join(ib, [grp, "_salt"]).select("q_qid", "q_tid", "q_ttie", "q_vec", "q_tvec", "i_iid", "i_tie", "i_vec")
     partial = pairs.mapInPandas(_rank_job(metric), _RANK_SCHEMA)
     return (partial.groupBy("qid")
             .agg(F.when(F.sum("n_target") > 0, F.sum("n_before") + 1).alias("rank"), F.sum("n_items").alias("n_candidates"),
@@ -215,9 +227,10 @@ def top_k(queries: DataFrame, items: DataFrame, *, grp: str, qid: str, qvec: str
     """The ``k`` best items of each query's group: ``(qid, rank, iid, score)`` with rank 1..min(k, n)."""
     q = queries.select(F.col(grp), F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("vec"))
     qb = _blocks(q, grp, ["qid"], ["qid", "vec"], block, "qrows", query_sizes)
-    qb = qb.select(grp, *_flatten_side("qrows", "q_", ["qid"], ["vec"]))
+    qb = qb.select(grp, "_blk", *_flatten_side("qrows", "q_", ["qid"], ["vec"]))
     ib = _prepare_items(items, grp, iid, ivec, itie, block, item_sizes)
-    pairs = qb.join(ib, grp).select("q_qid", "q_vec", "i_iid", "i_tie", "i_vec")
+    qb, ib = _salted(qb, ib, grp, q if query_sizes is None else query_sizes, block)
+    pairs = qb.join(ib, [grp, "_salt"]).select("q_qid", "q_vec", "i_iid", "i_tie", "i_vec")
     partial = pairs.mapInPandas(_topk_job(metric, k), _TOPK_SCHEMA)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("iid"), F.col("itie"))
     ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -158,3 +158,22 @@ def test_group_without_a_size_stops(spark):
     sizes = spark.createDataFrame([(1,)], "accommodation_id long")
     with pytest.raises(Exception, match="no size"):
         topk_per_user(_users(spark, [(1, 2, [1.0])]), items, item_sizes=sizes).collect()
+
+
+def test_hot_group_block_pairs_are_spread_without_aqe(spark):
+    from roomrank.operators.scoring import SALT_BLOCKS, _blocks, _salted
+
+    rows = spark.range(0, 1600).select(F.lit(1).cast("long").alias("g"), F.col("id").alias("iid"), F.lit(0.5).alias("vec"))
+    few = spark.range(1600, 1610).select((F.col("id") % 5 + 2).alias("g"), F.col("id").alias("iid"), F.lit(0.5).alias("vec"))
+    both = rows.unionByName(few)
+    qb, ib = (_blocks(both, "g", ["iid"], ["iid", "vec"], 16, n) for n in ("qrows", "irows"))
+    qb, ib = _salted(qb, ib, "g", both, 16)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        keys = qb.join(ib, ["g", "_salt"]).groupBy("g", "_salt").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    total = sum(r["count"] for r in keys)
+    hot = [r["count"] for r in keys if r["g"] == 1]
+    assert len(hot) == -(-100 // SALT_BLOCKS) and sum(hot) == 100 * 100 and max(hot) <= 0.1 * total
