@@ -29,7 +29,7 @@ VOCABULARY = 4096
 LEAST_DOCS = 5
 LEAST_Z = 3.0
 GRADES = 3
-TOXIC_FROM = 0.35
+TOXIC_FROM = 0.22
 
 
 def _distinct_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     a, b = F.col("a") + 0.5 * pos / (pos + neg), F.col("c") - F.col("a") + 0.5 * neg / (pos + neg)
     evidence = F.log(a / (pos + 0.5 - F.col("a") + 0.5)) - F.log(b / (neg + 0.5 - F.col("c") + F.col("a") + 0.5))
     top = (counted.withColumn("e", evidence).withColumn("z", F.col("e") / F.sqrt(1 / a + 1 / b))
-           .where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(vocabulary))
+           .where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "word").limit(vocabulary))
     top_rows = top.select("word", "e", "z").collect()
     if not top_rows:
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), base)
