@@ -2,8 +2,8 @@
 
 Words are runs of letters in lower case (A-Z and Latin-1). A passage is `SPAN` words of a document, one starting
 every `STEP_WORDS` words. The vocabulary is that of the benchmark block at hand; a word's weight is its inverse
-document frequency over all documents (nothing for words in more than `max_share` of them), and
-words outside the vocabulary count towards a passage's length only.
+document frequency over all documents, above 0 for every word. The latent space leaves out words in more than
+`max_share` of the documents; words outside the vocabulary count towards a passage's length only.
 
 1. One pass counts document frequencies.
 2. One pass multiplies the passage matrix A (passages x vocabulary, TF-IDF) with a test matrix made
@@ -15,6 +15,9 @@ words outside the vocabulary count towards a passage's length only.
    weighted words are checked on the words at hand: the longest common subsequence of the
    item and the words around the passage must hold a share of the item, enough of the item's weighted
    words must be there, and its answer (the last sentence) must be there too.
+4. Items with less than `POOR_SHARE` of their words in the latent space (leaked into many documents, or of common
+   words only) are searched exactly in the same pass: all their words are counted in the words around each
+   passage, and every place that can pass the checks is checked.
 
 No text is shuffled. The benchmark is the query set: it is taken in blocks of `block` items, so what
 is broadcast (vocabulary, basis, items) is bounded whatever its size.
@@ -39,6 +42,8 @@ SPAN = 32
 STEP_WORDS = 16
 RANK = 64
 MAX_SHARE = 0.03
+POOR_SHARE = 0.25
+CELLS = 1 << 22  # cells times words counted at once
 COSINE = 0.15
 PIECE_SHARE = 0.25
 LCS_SHARE = 0.6
@@ -82,7 +87,7 @@ class Items:
 
     def weigh(self, df: np.ndarray, n_docs: int, max_share: float) -> None:
         self.idf = np.log((1 + n_docs) / (1 + df)) + 0.1
-        self.idf[df > max(max_share * n_docs, 20)] = 0
+        self.latent_idf = np.where(df > max(max_share * n_docs, 20), 0, self.idf)
         self.other = np.log(1 + n_docs) + 0.1
         pieces = []  # items in pieces as long as passages
         for k, w in enumerate(self.words):
@@ -91,10 +96,26 @@ class Items:
         self.piece_item = np.array([k for k, _ in pieces], np.int64)
         self.queries = np.zeros((len(pieces), len(self.vocab)))
         for r, (_, ids) in enumerate(pieces):
-            np.add.at(self.queries[r], ids, self.idf[ids])
+            np.add.at(self.queries[r], ids, self.latent_idf[ids])
         self.has = self.queries > 0
         self.piece_weight = (self.has * self.idf).sum(axis=1)
         self.weight = [self.idf[np.unique(self.lookup(w))] for w in self.words]
+        # items for the exact search, by the cells of STEP_WORDS words that they reach to either side, and for each
+        # (word, item): the share of the item's places, weights and answer that the word makes up
+        self.poor: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+        ids = [self.lookup(w) for w in self.words]
+        for k, x in enumerate(ids):
+            if np.mean(self.latent_idf[x] > 0) < POOR_SHARE:
+                self.poor.setdefault(-(-len(x) // STEP_WORDS), []).append(k)
+        self.poor_vocab = np.unique(np.concatenate([np.zeros(0, np.int32), *[ids[k] for ks in self.poor.values() for k in ks]]))
+        for reach, ks in self.poor.items():
+            shares = [np.zeros((len(self.poor_vocab), len(ks)), np.float32) for _ in range(3)]
+            for j, k in enumerate(ks):
+                places, answer = (np.bincount(np.searchsorted(self.poor_vocab, x), minlength=len(self.poor_vocab)) for x in (ids[k], self.lookup(self.answers[k])))
+                weights = (places > 0) * self.idf[self.poor_vocab]
+                for share, x in zip(shares, (places, weights, answer), strict=True):
+                    share[:, j] = x / max(x.sum(), 1e-9)
+            self.poor[reach] = np.array(ks), shares
 
     def test_matrix(self, rank: int) -> np.ndarray:
         rng = np.random.default_rng(9)
@@ -151,14 +172,14 @@ class Passages:
         self.first = np.cumsum(self.per_text) - self.per_text
         text = np.repeat(np.arange(len(counts)), counts)
         self.col = items.lookup(self.hashes)
+        self.text = text
         if not hasattr(items, "idf"):
-            self.text = text
             return
         place = np.arange(len(text)) - bounds[text]
         j = place // STEP_WORDS
         passage = self.first[text] + j
         n = int(self.per_text.sum())
-        weight = np.where(self.col >= 0, items.idf[np.maximum(self.col, 0)], items.other)
+        weight = np.where(self.col >= 0, items.latent_idf[np.maximum(self.col, 0)], items.other)
         both = np.concatenate([passage, passage[j > 0] - 1])
         outside = np.concatenate([self.col < 0, (self.col < 0)[j > 0]])
         sq = np.bincount(both[outside], minlength=n) * items.other ** 2
@@ -168,7 +189,7 @@ class Passages:
         code = np.concatenate([code, (passage[again] - 1) * len(items.vocab) + self.col[again]])
         code, tf = np.unique(code, return_counts=True)
         self.row, self.column = code // len(items.vocab), code % len(items.vocab)
-        self.value = (tf * items.idf[self.column]).astype(np.float32)
+        self.value = (tf * items.latent_idf[self.column]).astype(np.float32)
         sq = sq + np.bincount(self.row, weights=self.value.astype(float) ** 2, minlength=n)
         self.norm = np.sqrt(sq)
         # rows that have entries
@@ -232,15 +253,47 @@ def _add_vectors(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["word", "vector"])
 
 
-def matches(items: Items, data: np.ndarray, starts: np.ndarray, cosine: float) -> list[tuple]:
-    """(text, item, first word, words, cosine, lcs share, answer share) of the verified matches, the best of each text and item."""
-    p = Passages(items, data, starts)
+def exact_candidates(items: Items, p: Passages) -> list[tuple[int, int]]:
+    """(passage, item) of the items searched exactly, wherever the words around the passage can pass the checks."""
+    n, v = int(p.per_text.sum()), len(items.poor_vocab)
+    out: list[tuple[int, int]] = []
+    if not n or not v:
+        return out
+    column = np.full(len(items.vocab) + 1, -1)
+    column[items.poor_vocab] = np.arange(v)
+    column = column[p.col]  # -1: outside
+    at = np.flatnonzero(column >= 0)
+    column = column[at]
+    cell = p.first[p.text[at]] + (at - p.bounds[p.text[at]]) // STEP_WORDS
+    begin, end = np.repeat(p.first, p.per_text), np.repeat(p.first + p.per_text, p.per_text)
+    halo = max(items.poor) + SPAN // STEP_WORDS
+    step = max(halo, CELLS // v)
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        lo, hi = max(0, a - halo), min(n, b + halo)
+        held = np.zeros((hi - lo + 1, v), np.int32)
+        x, y = np.searchsorted(cell, [lo, hi])
+        held[cell[x:y] - lo + 1, column[x:y]] = 1
+        held = np.cumsum(held, axis=0, dtype=np.int32)
+        c = np.arange(a, b)
+        for reach, (ks, shares) in items.poor.items():
+            first, last = np.maximum(c - reach, begin[a:b]), np.minimum(c + SPAN // STEP_WORDS + reach, end[a:b])
+            there = (held[last - lo] > held[first - lo]).astype(np.float32)
+            ok = np.ones((b - a, len(ks)), bool)
+            for share, least in zip(shares, (LCS_SHARE, WEIGHT_SHARE, ANSWER_SHARE), strict=True):
+                ok &= (there @ share >= least - 1e-3) | ~share.any(axis=0)
+            r, j = np.nonzero(ok)
+            out += zip((r + a).tolist(), ks[j].tolist(), strict=True)
+    return out
+
+
+def latent_candidates(items: Items, p: Passages, cosine: float):
+    """(passage, item, cosine) of the pairs near in the latent space that hold a share of a piece's weighted words."""
     if not len(p.rows):
-        return []
+        return
     z = p.times(items.basis)
     norm = np.linalg.norm(z, axis=1)
     z /= np.maximum(norm, 0.2 * p.norm[p.rows])[:, None].astype(np.float32) + 1e-9
-    best: dict[tuple[int, int], tuple] = {}
     for lo in range(0, len(z), 8192):
         sim = z[lo:lo + 8192] @ items.latent.T
         r, q = np.nonzero(sim >= cosine)
@@ -255,33 +308,58 @@ def matches(items: Items, data: np.ndarray, starts: np.ndarray, cosine: float) -
             continue
         order = np.lexsort((sim[r, q], items.piece_item[q], r))
         top = dict(zip(zip(p.rows[r + lo][order].tolist(), items.piece_item[q][order].tolist(), strict=True), sim[r, q][order].tolist(), strict=True))
-        pairs = np.array(list(top))  # the best piece of an item stands last
-        texts = np.searchsorted(p.first + p.per_text, pairs[:, 0], "right")
-        for (row, k), text in zip(pairs.tolist(), texts.tolist(), strict=True):
-            size = len(items.words[k])
-            a, b = int(p.bounds[text]), int(p.bounds[text + 1])
-            s = a + (row - int(p.first[text])) * STEP_WORDS
-            lo_w, hi_w = max(a, s - size), min(b, s + SPAN + size)
-            seq = p.hashes[lo_w:hi_w].tolist()
-            there = set(seq)
-            masks = items.item_masks[k]
-            if sum(m.bit_count() for x, m in masks.items() if x in there) < LCS_SHARE * size:
-                continue
-            weights = items.weight[k]
-            vocab = np.unique(items.words[k])
-            held = sum(w for x, w in zip(vocab.tolist(), weights.tolist(), strict=True) if x in there)
-            if held < WEIGHT_SHARE * weights.sum():
-                continue
-            share = common_subsequence(masks, size, seq) / size
-            if share < LCS_SHARE:
-                continue
-            n_answer = len(items.answers[k])
-            answer = common_subsequence(items.answer_masks[k], n_answer, seq) / n_answer if n_answer else 1.0
-            if answer < ANSWER_SHARE:
-                continue
-            found = (share, answer, top[row, k], lo_w - a, hi_w - lo_w)
-            if (text, k) not in best or found > best[text, k]:
-                best[text, k] = found
+        for (row, k), sim_ in top.items():  # the best piece of an item stands last
+            yield row, k, sim_
+
+
+def word_cosine(items: Items, k: int, hashes: np.ndarray) -> float:
+    """Cosine of an item and a passage over all words, by weight."""
+    def vector(h):
+        ids = items.lookup(h)
+        return np.bincount(ids[ids >= 0], minlength=len(items.idf)) * items.idf, (ids < 0).sum() * items.other ** 2
+    (a, _), (b, outside) = vector(items.words[k]), vector(hashes)
+    return float(a @ b / max(np.sqrt((a @ a) * (b @ b + outside)), 1e-9))
+
+
+def matches(items: Items, data: np.ndarray, starts: np.ndarray, cosine: float) -> list[tuple]:
+    """(text, item, first word, words, cosine, lcs share, answer share) of the verified matches, the best of each text and item."""
+    p = Passages(items, data, starts)
+    near = {(row, k): sim for row, k, sim in latent_candidates(items, p, cosine)}
+    for pair in exact_candidates(items, p):
+        near.setdefault(pair)
+    if not near:
+        return []
+    best: dict[tuple[int, int], tuple] = {}
+    pairs = np.array(list(near))
+    texts = np.searchsorted(p.first + p.per_text, pairs[:, 0], "right")
+    for (row, k), text in zip(pairs.tolist(), texts.tolist(), strict=True):
+        size = len(items.words[k])
+        a, b = int(p.bounds[text]), int(p.bounds[text + 1])
+        s = a + (row - int(p.first[text])) * STEP_WORDS
+        lo_w, hi_w = max(a, s - size), min(b, s + SPAN + size)
+        seq = p.hashes[lo_w:hi_w].tolist()
+        there = set(seq)
+        masks = items.item_masks[k]
+        if sum(m.bit_count() for x, m in masks.items() if x in there) < LCS_SHARE * size:
+            continue
+        weights = items.weight[k]
+        vocab = np.unique(items.words[k])
+        held = sum(w for x, w in zip(vocab.tolist(), weights.tolist(), strict=True) if x in there)
+        if held < WEIGHT_SHARE * weights.sum():
+            continue
+        share = common_subsequence(masks, size, seq) / size
+        if share < LCS_SHARE:
+            continue
+        n_answer = len(items.answers[k])
+        answer = common_subsequence(items.answer_masks[k], n_answer, seq) / n_answer if n_answer else 1.0
+        if answer < ANSWER_SHARE:
+            continue
+        sim = near[row, k]
+        if sim is None:
+            sim = word_cosine(items, k, p.hashes[s:min(b, s + SPAN)])
+        found = (share, answer, sim, lo_w - a, hi_w - lo_w)
+        if (text, k) not in best or found > best[text, k]:
+            best[text, k] = found
     return [(text, items.ids[k], f[3], f[4], float(f[2]), f[0], f[1]) for (text, k), f in best.items()]
 
 

@@ -64,6 +64,35 @@ def test_candidates_recall_against_brute_force(spark):
     assert got <= every and len(got) >= 0.95 * len(every)
 
 
+def test_item_in_a_third_of_the_documents_and_item_of_common_words(spark):
+    """Held against plain text search, which knows no weights."""
+    rng = random.Random(5)
+    common = sorted(set(words_of(rng, 200)))
+    items = [(i, " ".join(words_of(rng, 30)) + ". " + " ".join(words_of(rng, 6)) + ".") for i in range(30)]
+    items.append((30, " ".join(rng.choice(common) for _ in range(34)) + ". " + " ".join(rng.choice(common) for _ in range(6)) + "."))
+    items.append((31, " ".join(rng.choice(common) for _ in range(9)) + "."))
+    rows = []
+    for i in range(600):
+        w = words_of(rng, rng.randrange(60)) + [rng.choice(common) for _ in range(100)]
+        held = [0] if i % 3 == 0 else []
+        held += [30] if i % 40 == 1 else []
+        held += [31] if i % 50 == 2 else []
+        held += [rng.randrange(1, 30)] if i % 20 == 4 else []
+        at = rng.randrange(len(w) + 1)
+        w[at:at] = [x for k in held for x in items[k][1].split()]
+        rows.append((i, " ".join(w)))
+    want = {(i, k) for i, t in rows for k, x in items if plain(x) in plain(t)}
+    assert sum(k == 0 for _, k in want) == 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = dc.search(docs, bench).collect()
+    got = {(r.doc_id, r.item_id) for r in out}
+    assert want <= got and not {x for x in got - want if x[1] != 31}
+    assert len(out) == len(got) and all(0 < r.cosine < 1.001 for r in out)
+    only = spark.createDataFrame(items[:1], "item_id long, text string")  # nothing has a place in the latent space
+    assert {r.doc_id for r in dc.clean(docs, only).collect()} == {i for i, _ in rows} - {i for i, k in want if k == 0}
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
