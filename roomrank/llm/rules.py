@@ -5,6 +5,8 @@ ratios are kept per (lang, source): a sketch is a table of logarithmic buckets w
 error below 2.5 %), merged by adding counts, so partial sketches combine before the shuffle and any
 coarser group is the sum of finer ones. A group's upper fence for a ratio is
     q90 + 3 * (q90 - q50) + slack
+but not above MULTIPLE times the median of that fence over the groups of `least` documents or more (each counts
+once, whatever its size), so a source that is mostly junk does not set its own limit.
 A group with fewer than `least` documents uses the merged sketch of its language, and a language with
 fewer that of everything. The fences (one row per group) are joined back and a document is kept if it
 passes the base rules and no ratio is above its fence.
@@ -29,6 +31,7 @@ FLOOR = 1e-4
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 LEAST = 200
+MULTIPLE = 1.5
 SLACK = {"symbol_ratio": 0.02, "dup_line_ratio": 0.30, "repeat_ratio": 0.10, "word_length": 2.0}
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -158,11 +161,13 @@ def fences(measured: DataFrame, slack: dict[str, float] = SLACK, least: int = LE
         levels.append(q.groupBy(*by).agg(F.max("n").alias("n"), *[
             F.max(F.when(F.col("name") == n, fence + slack[n])).alias(n) for n in names]))
     a, b, c = levels
+    usual = a.where(F.col("n") >= least).groupBy().agg(*[(MULTIPLE * F.percentile(F.col(n), 0.5)).alias(n + "4") for n in names])
     b = b.select(F.col("lang").alias("lang2"), F.col("n").alias("n2"), *[F.col(n).alias(n + "2") for n in names])
     c = c.select(F.lit(1).alias("one"), *[F.col(n).alias(n + "3") for n in names])
     return (a.withColumn("one", F.lit(1)).join(b, F.col("lang").eqNullSafe(F.col("lang2"))).join(c, "one")
-            .select("lang", "source", *[F.when(F.col("n") >= least, F.col(n)).when(F.col("n2") >= least, F.col(n + "2"))
-                                        .otherwise(F.col(n + "3")).alias(n) for n in names]))
+            .crossJoin(F.broadcast(usual))
+            .select("lang", "source", *[F.least(F.when(F.col("n") >= least, F.col(n)).when(F.col("n2") >= least, F.col(n + "2"))
+                                                .otherwise(F.col(n + "3")), F.col(n + "4")).alias(n) for n in names]))
 
 
 def judge(docs: DataFrame, slack: dict[str, float] = SLACK, least: int = LEAST, counted: DataFrame | None = None) -> DataFrame:
