@@ -69,7 +69,7 @@ def test_small_groups_use_the_merged_sketch(spark):
 
 
 def test_source_with_much_junk(spark):
-    rows = [(1000 * s + i, " ".join(f"w{i}x{j}" for j in range(40)) + " #" * (80 if s == 0 and i % 10 < 3 else i % 3), "en", f"s{s}", 0)
+    rows = [(1000 * s + i, " ".join(f"w{i}x{j}" + "###" * (s == 0 and i % 10 < 3) for j in range(40)) + " #" * (i % 3), "en", f"s{s}", 0)
             for s in range(4) for i in range(300)]
     out = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
     assert {r.doc_id for r in out if not r.kept} == {i for i in range(300) if i % 10 < 3}
