@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomrank.llm import compact_windows, decontaminate, mixing, ngram_join, quality, rules, suffix_dedup, token_files, toxicity, url_filter
+from roomrank.llm import collocations, compact_windows, decontaminate, license_scan, merkle, mixing, ngram_join, quality, rules, suffix_dedup, token_files, toxicity, url_filter
 from roomrank.llm.shared import fresh_dir, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,8 +63,22 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.near_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents, verified against a table whose texts were tampered with for one id in five."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.tampered_text(docs))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_mixing": op1_mixing, "op2_token_files": op2_token_files, "op3_url_filter": op3_url_filter,
             "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_quality_rules": op7_quality_rules,
             "op8_suffix_dedup": op8_suffix_dedup, "op9_decontaminate": op9_decontaminate,
-            "op10_compact_windows": op10_compact_windows}
+            "op10_compact_windows": op10_compact_windows, "op11_merkle": op11_merkle, "op12_license_scan": op12_license_scan, "op13_collocations": op13_collocations}

@@ -30,6 +30,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table of this run that nothing reads any more, through Spark's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The asked columns under the operator's own names, whatever else the table has."""
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
