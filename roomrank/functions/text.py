@@ -8,10 +8,13 @@ with no model download; any other encoder plugs in through ``encode_with``, an A
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from typing import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,3 +139,52 @@ def encode_with(df: DataFrame, id_col: str, text_col: str, factory: Callable[[],
             yield pd.DataFrame({id_col: ids, "vec": out})
 
     return df.select(id_col, text_col).mapInPandas(job, schema)
+
+
+# ---------------------------------------------------------------------------
+# an encoder fitted on the corpus: hashed tokens, projected on the leading directions of their Gram matrix
+# ---------------------------------------------------------------------------
+FIT_BUCKETS = 512
+
+
+def hashed_counts(texts: list[str], buckets: int) -> np.ndarray:
+    """(n, buckets): L2-normalised counts of the tokens' hash buckets; a text without tokens is a zero row."""
+    out = np.zeros((len(texts), buckets))
+    for i, text in enumerate(texts):
+        for token, n in Counter(t for t in text.lower().split(" ") if t).items():
+            out[i, zlib.crc32(token.encode()) % buckets] += n
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1.0)
+
+
+def fit_projection(df: DataFrame, text: Column, dim: int, buckets: int = FIT_BUCKETS, batch_size: int = 128) -> np.ndarray:
+    """(dim, buckets): the leading eigenvectors of the corpus' Gram matrix of hashed tokens.
+
+    Every text counts. Tasks add up X'X batch by batch, Spark adds the tasks' rows, and the driver decomposes one matrix of
+    ``buckets`` squared, whatever the corpus. Each vector's largest entry is positive, so signs don't depend on the solver.
+    """
+    def gram(frames):
+        total = np.zeros((buckets, buckets))
+        for pdf in frames:
+            texts = pdf["text"].fillna("").tolist()
+            for i in range(0, len(texts), batch_size):
+                x = hashed_counts(texts[i:i + batch_size], buckets)
+                total += x.T @ x
+        yield pd.DataFrame({"row": range(buckets), "part": TaskContext.get().partitionId(), "g": list(total)})
+
+    def add(pdf):
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "g": [np.sum(np.stack(pdf.sort_values("part")["g"].to_list()), axis=0)]})
+
+    rows = (df.select(text.alias("text")).mapInPandas(gram, "row int, part int, g array<double>")
+            .groupBy("row").applyInPandas(add, "row int, g array<double>").collect())
+    total = np.zeros((buckets, buckets))
+    for r in rows:
+        total[r["row"]] = r["g"]
+    _, vectors = np.linalg.eigh(total)
+    top = vectors[:, ::-1][:, :dim].T
+    return top * np.sign(top[np.arange(dim), np.abs(top).argmax(axis=1)])[:, None]
+
+
+def projected_encoder(projection: np.ndarray, buckets: int = FIT_BUCKETS):
+    """A factory for ``encode_with``."""
+    return lambda: lambda texts: hashed_counts(texts, buckets) @ projection.T

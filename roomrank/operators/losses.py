@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomrank.functions.vectors import cosine
+from roomrank.session import materialize
 
 CONTRASTIVE_MARGIN = 2.0  # fixed value of the reference's contrastive loss
 PAIRWISE_EPS = 1e-6
@@ -79,9 +80,23 @@ def cosine_loss(rows: DataFrame, by: str = "split") -> DataFrame:
 
 
 def running_means(batch_table: DataFrame, group: str, order: str, loss: str = "loss") -> DataFrame:
-    """``running`` = mean of the group's losses up to each batch (one row per batch, not per match)."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return batch_table.withColumn("running", F.avg(loss).over(w))
+    """``running`` = mean of the group's losses up to each batch (one row per batch, not per match).
+
+    A segmented prefix sum: rows are range-partitioned by (group, order), so a group of any size spans many partitions;
+    sums run within a partition's part of the group, and each part adds what the group's earlier parts hold (one small row
+    per partition and group).
+    """
+    placed = materialize(batch_table.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id()))
+    within = Window.partitionBy("_part", group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(group, "_part").agg(F.sum(loss).alias("_sum"), F.count(loss).alias("_rows"))
+    carried = parts.select(F.col(group).alias("_group"), F.col("_part").alias("_of"),
+                           F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before"),
+                           F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"))
+    summed = placed.withColumns({"_in": F.coalesce(F.sum(loss).over(within), F.lit(0.0)), "_rows_in": F.count(loss).over(within)})
+    joined = summed.join(carried, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    n = F.col("_rows_before") + F.col("_rows_in")
+    return joined.select(*batch_table.columns, F.when(n > 0, (F.col("_before") + F.col("_in")) / n).alias("running"))
 
 
 def epoch_means(batch_table: DataFrame, loss: str = "loss") -> DataFrame:

@@ -123,6 +123,22 @@ def load_scorer(spark: SparkSession, path: str, encoders: dict[str, list[Dense]]
     return layers
 
 
+def save_pair_models(spark: SparkSession, models: dict[str, list[Dense]], encoders: dict[str, list[Dense]], path: str) -> None:
+    """Towers and bridge, each under a name with the id of the encoders they were fitted on."""
+    weights_frame(spark, {f"{name}-{encoder_id(encoders)}": layers for name, layers in models.items()}).write.mode("overwrite").parquet(path)
+
+
+def load_pair_models(spark: SparkSession, path: str, encoders: dict[str, list[Dense]]) -> dict[str, list[Dense]]:
+    """Towers and bridge; refuses those that were fitted on other encoders."""
+    out = {}
+    for name, layers in load_weights(spark, path).items():
+        model, _, of = name.rpartition("-")
+        if of != encoder_id(encoders):
+            raise ValueError(f"{name} was not fitted on encoders {encoder_id(encoders)}")
+        out[model] = layers
+    return out
+
+
 # ------------------------------------------------------------------ I2 I3 encoders
 def encode(df: DataFrame, id_col: str, vec_col: str, layers: list[Dense], out_col: str = "emb", keys: tuple = ()) -> DataFrame:
     """Apply an MLP to every row's vector, Arrow batch at a time, weights broadcast once; ``keys`` pass through."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roomrank.functions.text import fill_text
 from roomrank.session import ensure_checkpoint_dir
-from roomrank.sources.cache import cache_path, input_digest, read_through
+from roomrank.sources.cache import entry_path, input_digest, read_through
 from roomrank.sources.tables import matches_view, review_vectors, reviews_view, user_vectors, users_view
 
 _CACHE: dict = {}
@@ -47,7 +47,7 @@ class Fixture:
         if not self.prepared:
             raise ValueError("only prepared fixtures are written to files")
         getattr(self, name)
-        return cache_path(self.spark, name, self.params(name))
+        return entry_path(self.spark, name, self.params(name))
 
     @cached_property
     def users(self) -> DataFrame:
@@ -93,7 +93,6 @@ class Fixture:
 
 
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
-    key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _CACHE:
-        _CACHE[key] = Fixture(spark, sf_dir.rstrip("/"))
-    return _CACHE[key]
+    """The prepared tables of a folder as it is now: new input files give new ones, in the same session too."""
+    made = Fixture(spark, sf_dir.rstrip("/"))
+    return _CACHE.setdefault((spark.sparkContext.applicationId, made.sf_dir, made.inputs), made)

@@ -233,12 +233,12 @@ FEATURE_SUMS = """SELECT user_id, count(*) AS n, round(sum(coalesce(CAST(value A
        round(sum(coalesce(CAST(value AS DOUBLE), 0) * position), 6) AS weighted FROM feat GROUP BY user_id"""
 
 
-def mlp_sql(name: str, source: str, key: str, sizes: list[int], model: int) -> str:
-    """CTEs that take ``source(key, x)`` through the formula layers; the last is ``name(key, y)``."""
+def mlp_sql(name: str, source: str, key: str, sizes: list[int], model: int, act_last: bool = False) -> str:
+    """CTEs that take ``source(key, x)`` through the formula layers; the last is ``name(key, y)``, activated if asked."""
     out, src = "", f"(SELECT {key}, x FROM {source})"
     for n, size in enumerate(sizes):
         last = n == len(sizes) - 1
-        act = "v" if last else "CASE WHEN v > 0 THEN v ELSE 0.01 * v END"
+        act = "v" if last and not act_last else "CASE WHEN v > 0 THEN v ELSE 0.01 * v END"
         out += f""",
 {name}_w{n} AS (SELECT i, list_transform(range(CAST((SELECT max(len(x)) FROM {src}) AS BIGINT)),
     lambda j: ((7 * i + 13 * j + {5 * n + 3 * model}) % 17 - 8) / 32.0::DOUBLE) AS w FROM (SELECT unnest(range({size})) AS i)),
@@ -564,6 +564,85 @@ SELECT {key}, CAST(pos AS BIGINT) AS position, round(v, 6) AS value FROM (SELECT
 px AS MATERIALIZED (SELECT m.user_id, list_concat(a.y, b.y) AS x FROM matches m JOIN eu a ON a.user_id = m.user_id
        JOIN er b ON b.review_id = m.review_id WHERE m.user_id % 10 <= 8)""" + mlp_sql("bs", "px", "user_id", [32, 16, 1], 2) + """
 SELECT m.user_id, m.review_id, round(s.y[1], 6) AS score FROM bs s JOIN matches m ON m.user_id = s.user_id""")
+    towers = (""",
+tux AS (SELECT user_id, y AS x FROM eu), trx AS (SELECT review_id, y AS x FROM er)""" + mlp_sql("tu", "tux", "user_id", [32, 16], 3, True)
+              + mlp_sql("tr", "trx", "review_id", [32, 16], 4, True))
+
+    def bridged(pairs: str) -> str:
+        """``bz(key, y)``: the bridge on ``pairs(key, x)``."""
+        return pairs + mlp_sql("bz", "zx", "key", [32, 16, 1], 2)
+
+    q["pair_batch_loss"] = _q(users_x + enc_u + reviews_x + enc_r + towers + """,
+bt AS MATERIALIZED (SELECT m.accommodation_id, m.user_id, m.review_id,
+         CAST(floor((row_number() OVER (PARTITION BY m.accommodation_id ORDER BY m.user_id) - 1) / 32) AS BIGINT) AS batch_id
+       FROM matches m WHERE m.user_id % 10 < 8),
+bp AS MATERIALIZED (SELECT row_number() OVER () AS key, a.accommodation_id, a.batch_id, a.user_id AS ui, b.user_id AS uj, b.review_id
+       FROM bt a JOIN bt b ON a.accommodation_id = b.accommodation_id AND a.batch_id = b.batch_id)""" + bridged(""",
+zx AS MATERIALIZED (SELECT key, list_concat(u.y, r.y) AS x FROM bp JOIN tu u ON u.user_id = bp.ui JOIN tr r ON r.review_id = bp.review_id)""") + """,
+bl AS (SELECT accommodation_id, batch_id, ui, avg(greatest(bz.y[1], 0) - bz.y[1] * CASE WHEN ui = uj THEN 1.0 ELSE 0.0 END + ln(1 + exp(-abs(bz.y[1])))) AS loss
+       FROM bp JOIN bz USING (key) GROUP BY 1, 2, 3)
+SELECT accommodation_id, batch_id, round(avg(loss), 6) AS loss FROM bl GROUP BY 1, 2""")
+    q["pair_mrr"] = _q(users_x + enc_u + reviews_x + enc_r + towers + """,
+pv AS MATERIALIZED (SELECT user_id, review_id, accommodation_id FROM matches WHERE user_id % 10 = 8),
+pp AS MATERIALIZED (SELECT row_number() OVER () AS key, a.user_id, a.review_id AS t_id, b.review_id AS cand_id, b.user_id AS cand_user
+       FROM pv a JOIN pv b ON a.accommodation_id = b.accommodation_id)""" + bridged(""",
+zx AS MATERIALIZED (SELECT key, list_concat(u.y, r.y) AS x FROM pp JOIN tu u ON u.user_id = pp.user_id JOIN tr r ON r.review_id = pp.cand_id)""") + f""",
+ranked AS (SELECT pp.*, row_number() OVER (PARTITION BY pp.user_id ORDER BY round(bz.y[1], 6) DESC, cand_id, cand_user) AS rank FROM pp JOIN bz USING (key))
+SELECT count(*) AS n_users, round(avg({rr}), 6) AS mrr FROM ranked WHERE cand_id = t_id AND cand_user = user_id""")
+
+    def lists(scores: str) -> str:
+        """The wide lists from ``scored(user_id, accommodation_id, review_id, s)`` over the items ``held(review_id, accommodation_id)``."""
+        return scores + f""",
+top AS (SELECT * FROM (SELECT user_id, accommodation_id, review_id, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, review_id) AS rk FROM scored) WHERE rk <= 10),
+firsts AS (SELECT accommodation_id, min(review_id) AS first_id FROM held GROUP BY accommodation_id),
+w AS (SELECT t.accommodation_id, t.user_id, {cols} FROM top t JOIN firsts f ON f.accommodation_id = t.accommodation_id GROUP BY t.accommodation_id, t.user_id)
+SELECT row_number() OVER (ORDER BY accommodation_id, user_id) AS "ID", * FROM w"""
+
+    q["pair_top10_formula"] = _q(users_x + enc_u + reviews_x + enc_r + towers + """,
+held AS (SELECT review_id, accommodation_id FROM reviews),
+pp AS MATERIALIZED (SELECT row_number() OVER () AS key, u.user_id, u.accommodation_id, h.review_id FROM users u
+       JOIN held h ON h.accommodation_id = u.accommodation_id WHERE u.user_id % 10 = 9)""" + bridged(""",
+zx AS MATERIALIZED (SELECT key, list_concat(u.y, r.y) AS x FROM pp JOIN tu u ON u.user_id = pp.user_id JOIN tr r ON r.review_id = pp.review_id)""") + lists(""",
+scored AS (SELECT pp.user_id, pp.accommodation_id, pp.review_id, round(bz.y[1], 6) AS s FROM pp JOIN bz USING (key))"""))
+    q["mrr_drawn"] = _q(f""",
+v AS MATERIALIZED (SELECT * FROM pairs WHERE split_no = 8),
+g AS (SELECT accommodation_id, row_number() OVER (ORDER BY accommodation_id) AS ordinal FROM (SELECT DISTINCT accommodation_id FROM v)),
+d AS (SELECT g.accommodation_id, count(*) AS times FROM (SELECT range AS draw FROM range(0, {DRAWS})) d
+      JOIN g ON g.ordinal = {h32(f'd.draw + {DRAW_SEED}')} % (SELECT count(*) FROM g) + 1 GROUP BY 1),
+cand AS (SELECT a.user_id, b.review_id AS cand_id, b.user_id AS cand_user, a.review_id AS t_id, d.times,
+                round(list_inner_product(a.uvec, b.rvec), 6) AS s
+         FROM v a JOIN v b ON a.accommodation_id = b.accommodation_id JOIN d ON d.accommodation_id = a.accommodation_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, cand_id, cand_user) AS rank FROM cand)
+SELECT CAST(sum(times) AS BIGINT) AS n_users, round(sum(times * {rr}) / sum(times), 6) AS mrr FROM ranked WHERE cand_id = t_id AND cand_user = user_id""")
+    token_ctes = q["hashed_text_vector"][len(FIXTURE):].rsplit("\nSELECT", 1)[0]
+
+    def from_texts(split: int) -> str:
+        """``eu`` of all users and ``er`` of the reviews of a split's accommodations, these made of their texts."""
+        return users_x + enc_u + f""",
+held AS MATERIALIZED (SELECT r.* FROM reviews r WHERE r.accommodation_id IN (SELECT accommodation_id FROM users WHERE user_id % 10 = {split})){token_ctes},
+dense AS (SELECT d.review_id AS vec_id, list(coalesce(c.c / n.nn, 0.0) ORDER BY g.b) AS vec
+          FROM (SELECT review_id FROM held) d CROSS JOIN (SELECT unnest(range({HASH_DIM})) AS b) g
+          LEFT JOIN cnt c ON c.review_id = d.review_id AND c.bucket = g.b LEFT JOIN nrm n ON n.review_id = d.review_id GROUP BY 1)""" + \
+            ln_body.replace("FROM vec)", "FROM dense)").replace("nrm", "nrm2") + """,
+sc AS (
+  SELECT review_id,
+    CASE WHEN hi1 > lo1 THEN (review_score - lo1) / (hi1 - lo1) ELSE review_score - lo1 END AS s1,
+    CASE WHEN hi2 > lo2 THEN (review_helpful_votes - lo2) / (hi2 - lo2) ELSE review_helpful_votes - lo2 END AS s2
+  FROM held, (SELECT min(review_score) lo1, max(review_score) hi1, CAST(min(review_helpful_votes) AS DOUBLE) lo2,
+                     CAST(max(review_helpful_votes) AS DOUBLE) hi2 FROM held)),
+rx AS MATERIALIZED (SELECT z.id AS review_id, list_concat(list(z.z ORDER BY z.pos), [any_value(sc.s1), any_value(sc.s2)]) AS x
+       FROM z JOIN sc ON sc.review_id = z.id GROUP BY z.id)""" + enc_r
+
+    q["mrr_text"] = _q(from_texts(8) + f""",
+cand AS (SELECT m.user_id, m.review_id AS t_id, h.review_id AS cand_id, round(list_inner_product(u.y, r.y), 6) AS s
+         FROM matches m JOIN eu u ON u.user_id = m.user_id JOIN held h ON h.accommodation_id = m.accommodation_id
+         JOIN er r ON r.review_id = h.review_id WHERE m.user_id % 10 = 8),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, cand_id) AS rank FROM cand)
+SELECT count(*) AS n_users, round(avg({rr}), 6) AS mrr FROM ranked WHERE cand_id = t_id""")
+    q["top10_text"] = _q(from_texts(9) + lists(""",
+scored AS (SELECT u.user_id, h.accommodation_id, h.review_id, round(list_inner_product(a.y, r.y), 6) AS s
+           FROM users u JOIN eu a ON a.user_id = u.user_id JOIN held h ON h.accommodation_id = u.accommodation_id
+           JOIN er r ON r.review_id = h.review_id WHERE u.user_id % 10 = 9)"""))
     running = losses + """SELECT accommodation_id, batch_id, round(avg(loss_softmax) OVER (PARTITION BY accommodation_id ORDER BY batch_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running FROM per_batch"""
     q["loss_running_mean"] = _q(running)

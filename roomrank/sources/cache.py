@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roomrank.session import shared_dir
 
-CACHE_VERSION = "1"
+CACHE_VERSION = "2"
 
 
 def digest(params: dict) -> str:
@@ -52,11 +52,40 @@ def cache_path(spark: SparkSession, name: str, params: dict) -> str:
     return shared_dir(spark, f"cache/{name}-{digest(params)}")
 
 
+def entry_path(spark: SparkSession, name: str, params: dict) -> str | None:
+    """Folder of the published table ``name`` for ``params``; None if there is none."""
+    entry = cache_path(spark, name, params)
+    if not _exists(spark, entry + "/current"):
+        return None
+    lines = spark.read.text(entry + "/current").collect()  # one line: the name of the attempt that was published
+    return f"{entry}/{lines[0][0]}"
+
+
+def _publish(spark: SparkSession, entry: str, attempt: str) -> None:
+    """Make ``attempt`` the entry's current table, by renaming a pointer folder that is already complete; if another
+    application published first, its table stays."""
+    jvm = spark.sparkContext._jvm
+    pointer = f"{entry}/pointer-{attempt}"
+    spark.createDataFrame([(attempt,)], "attempt string").coalesce(1).write.text(pointer)
+    src, dst = jvm.org.apache.hadoop.fs.Path(pointer), jvm.org.apache.hadoop.fs.Path(entry + "/current")
+    fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(dst):
+        fs.rename(src, dst)  # should both come here, a second pointer ends up inside the first and is never read
+
+
 def read_through(spark: SparkSession, name: str, params: dict, build) -> DataFrame:
-    """Return the cached table ``name`` for ``params``; build and write it when absent."""
-    path = cache_path(spark, name, params)
-    if not _exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
+    """Return the cached table ``name`` for ``params``; build and publish it when absent.
+
+    Every build writes a folder of its own, which becomes the entry only when it is complete: a reader or a second
+    builder sees a whole table or none, and what a killed build leaves behind is never read.
+    """
+    path = entry_path(spark, name, params)
+    if path is None:
+        attempt = f"attempt-{uuid.uuid4().hex[:12]}"
+        entry = cache_path(spark, name, params)
+        build().write.parquet(f"{entry}/{attempt}")
+        _publish(spark, entry, attempt)
+        path = entry_path(spark, name, params)
     return spark.read.parquet(path)
 
 

@@ -104,3 +104,37 @@ def test_hash_sample_reproducible_and_overflow_safe(spark):
     df = spark.createDataFrame([(k,) for k in [0, 1, 2**40, 2**62]], "k long")
     h = [r[0] for r in df.select(K.mult_hash32("k")).collect()]
     assert h == [(k * 2654435761) % 2**32 for k in [0, 1, 2**40, 2**62]]
+
+
+def test_running_means_of_a_hot_group_spread_over_tasks(spark):
+    rows = [(a, b, float((7 * (a or 0) + 3 * b) % 11)) for a, n in ((1, 4000), (2, 3), (3, 1), (None, 5)) for b in range(n)]
+    df = spark.createDataFrame(rows, "accommodation_id long, batch_id long, loss double").repartition(6)
+    out = running_means(df, "accommodation_id", "batch_id")
+    got = {(r["accommodation_id"], r["batch_id"]): r["running"] for r in out.collect()}
+    assert len(got) == len(rows)
+    for a in (1, 2, 3, None):
+        total = 0.0
+        for n, (_, b, loss) in enumerate(sorted((r for r in rows if r[0] == a), key=lambda r: r[1]), 1):
+            total += loss
+            assert abs(got[a, b] - total / n) < 1e-9
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join such small partitions
+    try:
+        spread = running_means(df, "accommodation_id", "batch_id")
+        assert spread.where("accommodation_id = 1").withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 2
+        assert {(r["accommodation_id"], r["batch_id"]): r["running"] for r in spread.collect()} == pytest.approx(got)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_fitted_projection_equals_the_eigenvectors_of_all_texts(spark):
+    from roomrank.functions.text import encode_with, fit_projection, hashed_counts, projected_encoder
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 40, rng.integers(1, 60))) for _ in range(300)] + ["", None, "W1 w1  w2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "review_id long, text string").repartition(5)
+    p = fit_projection(df, F.col("text"), 6, buckets=32)
+    x = hashed_counts([t or "" for t in texts], 32)
+    values, vectors = np.linalg.eigh(x.T @ x)
+    assert np.allclose(p @ (x.T @ x), values[::-1][:6, None] * p) and np.allclose(p @ p.T, np.eye(6))
+    out = {r["review_id"]: r["vec"] for r in encode_with(df, "review_id", "text", projected_encoder(p, 32), 6).collect()}
+    assert np.allclose(np.stack([out[i] for i in range(len(texts))]), x @ p.T)

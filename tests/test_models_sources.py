@@ -169,3 +169,59 @@ def test_scorer_of_other_encoders_is_refused(spark, tmp_path):
     assert len(M.load_scorer(spark, str(tmp_path / "s"), a)) == 1
     with pytest.raises(ValueError, match="not fitted"):
         M.load_scorer(spark, str(tmp_path / "s"), b)
+
+
+def test_half_written_cache_entry_is_never_read(spark):
+    """A build that died leaves its folder; readers build anew, and the first published table stays."""
+    import uuid
+
+    from roomrank.sources.cache import _publish, cache_path, entry_path
+    key = {"test": uuid.uuid4().hex}
+    entry = cache_path(spark, "half", key)
+    spark.range(2).write.parquet(f"{entry}/attempt-died")
+    assert entry_path(spark, "half", key) is None
+    assert read_through(spark, "half", key, lambda: spark.range(5)).count() == 5
+    first = entry_path(spark, "half", key)
+    spark.range(9).write.parquet(f"{entry}/attempt-second")  # another application that began before the first one published
+    _publish(spark, entry, "attempt-second")
+    assert entry_path(spark, "half", key) == first
+    other = spark.newSession()
+    assert read_through(other, "half", key, lambda: other.range(7)).count() == 5
+
+
+def test_a_reader_during_a_rebuild_sees_a_whole_table(spark):
+    import uuid
+
+    from roomrank.sources.cache import entry_path
+    key = {"test": uuid.uuid4().hex}
+    seen = []
+
+    def build():
+        seen.append(entry_path(spark, "whole", key))  # what a reader finds while the table is being built
+        inner = read_through(spark, "whole", key, lambda: spark.range(4)).count() if len(seen) == 1 else 0
+        seen.append(inner)
+        return spark.range(6)
+
+    assert read_through(spark, "whole", key, build).count() == 4  # the one published first
+    assert seen == [None, 4]
+
+
+def test_new_input_files_are_seen_in_the_same_session(spark, tmp_path):
+    from roomrank.plans.fixture import Fixture, fixture
+    spark.range(3).write.parquet(str(tmp_path / "a.parquet"))
+    one = fixture(spark, str(tmp_path))
+    assert fixture(spark, str(tmp_path) + "/") is one and isinstance(one, Fixture)
+    spark.range(4).write.mode("append").parquet(str(tmp_path / "a.parquet"))
+    assert fixture(spark, str(tmp_path)) is not one
+
+
+def test_deep_encoders_fit_better_than_linear_ones(spark):
+    from roomrank.operators import training as TR
+    from roomrank.plans.jobs import DUAL_BATCH, DUAL_LR, EMB_DIM, prepared
+    p = prepared(spark, "/root/testdata/sf0.001")
+    rows = p.mini_batches(DUAL_BATCH, p.user_features.select("user_id", F.col("features").alias("xu")),
+                          p.review_features.select("review_id", F.col("vec").alias("xr"))).withColumn("uids", F.expr("sequence(1, size(xr) div %d)" % p.dims[1]))
+    linear = M.fit_dual_encoders(rows, *p.dims, k=EMB_DIM, epochs=6)[2]
+    models = {"user": M.init_mlp([p.dims[0], 64, 32, EMB_DIM], 0), "review": M.init_mlp([p.dims[1], 64, 32, EMB_DIM], 1)}
+    deep = TR.fit(rows, models, TR.dual_objective, p.dims, epochs=6, lr=DUAL_LR).losses
+    assert deep[-1] < deep[0] and deep[-1] < linear[-1]
