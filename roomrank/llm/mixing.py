@@ -1,19 +1,21 @@
 """1. Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Each source is cut into blocks of `block_rows` rows (in md5 order of the id, so a block is a fair
-draw of its source). Weights are rounded to n_s of Q slots (largest remainder, at least one slot).
-Block i of a source with weight w = n_s / Q may run from slot floor((i - 1) / w) on and must end by
-slot ceil(i / w); each slot goes to the released block with the earliest deadline. Since the weights
-sum to 1 this meets every deadline, so after any number of slots a source's share deviates from its
-weight by less than one block for as long as every source has blocks left. The schedule repeats
-every Q slots, so only one period of Q slots is ever computed (its size depends on the number of
-sources, not on rows), and the place of a block follows from its number by division.
-
-When a source runs out, its later slots stay empty and the others go on in their own proportions:
-no row is dropped or repeated.
-
-Rows without a source form a source of their own (null). Empty tables give an empty result.
-Repeated ids keep all their rows: ties are ordered arbitrarily but numbered apart.
+Each source is cut into blocks of `block_rows` rows (in md5 order of the id, so a block is a fair draw of its source).
+With w the source's exact share of the weights, its block i (from 1) may run from slot floor((i - 1) / w) on and must
+end by slot ceil(i / w); each slot goes to the released block with the earliest deadline, so after any number of slots
+a source has had less than one block more or less than w times as many, for as long as every source has blocks left.
+
+The schedule is computed in stretches of `period` slots (or of 1 / least share, if that is more), each by itself: at a
+stretch's ends every source has had floor(w t) blocks, or one more for the largest remainders, so that the blocks add
+up to the slots; within it the earliest deadline decides, by the exact releases and deadlines. So no weight is ever
+rounded to a period, a stretch's work is slots x sources whatever the rows, and stretches are dealt to tasks.
+
+When a source runs out, its later slots stay empty and the others go on in their own proportions: no row is dropped or
+repeated.
+
+Rows without a source form a source of their own (null). Empty and very long texts don't matter (texts are only carried
+by `mixed`). Repeated ids keep all their rows: ties are ordered arbitrarily but numbered apart. An empty table gives an
+empty result. Columns of any names come along in `mixed`; `mix` reads the id and the source only.
 """
 
 from __future__ import annotations
@@ -27,56 +29,65 @@ from roomrank.llm.shared import only
 BLOCK_ROWS = 16
 PERIOD = 1000
 BUCKET_ROWS = 4096
+RUN = 250
 
 
-def rounded_weights(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, weight) -> (source, weight, slots): largest remainder rounding to `period` slots, one slot at least.
-
-    Weights must be positive; they are divided by their sum. With more sources than slots the period
-    is the number of sources.
-    """
+def shares_of(weights: DataFrame) -> DataFrame:
+    """(source, weight) -> (source, w): positive weights divided by their sum."""
     w = weights.groupBy("source").agg(F.max("weight").cast("double").alias("weight")).where("weight > 0")
-    every = Window.partitionBy(F.lit(0))
-    w = (w.withColumn("weight", F.col("weight") / F.sum("weight").over(every))
-          .withColumn("period", F.greatest(F.lit(period), F.count(F.lit(1)).over(every)))
-          .withColumn("m", F.count(F.lit(1)).over(every))
-          # one slot for each, the rest in proportion
-          .withColumn("exact", F.col("weight") * (F.col("period") - F.col("m")))
-          .withColumn("base", F.floor("exact")))
-    rank = F.row_number().over(every.orderBy((F.col("base") - F.col("exact")), F.col("source").asc_nulls_first()))
-    left = F.col("period") - F.col("m") - F.sum("base").over(every)
-    return w.withColumn("slots", (1 + F.col("base") + F.when(rank <= left, 1).otherwise(0)).cast("long")) \
-            .select("source", "weight", "slots", "period")
-
-
-def period_schedule(slots: DataFrame) -> DataFrame:
-    """(source, slots, period) -> (source, k, slot): the slot of the source's k-th block in one period.
-
-    Earliest deadline first over released blocks, folded over the slots of the one period.
-    """
-    one = slots.groupBy().agg(
-        F.array_sort(F.collect_list(F.struct(F.col("source").isNotNull().alias("named"), "source", "slots"))).alias("s"),
-        F.max("period").alias("q"))
+    return w.select("source", (F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(0)))).alias("w"))
+
+
+def bound(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, however often the body names it (also within its own lambdas)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    def ceil_div(a: Column, b: Column) -> Column:
-        return ((a + b - 1) / b).cast("long")
+def blocks_by(s: Column, t: Column) -> Column:
+    """How many blocks each of the sources `s` (array of named, source, w) has had after t slots: floor(w t), and one more
+    for the largest remainders until they add up to t."""
+    def rest(x: Column, i: Column) -> Column:
+        return F.struct((F.floor(x["w"] * t) - x["w"] * t).alias("rest"), i.alias("i"))
+
+    left = (t - F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + F.floor(x["w"] * t))).cast("int")
+    # the smallest remainder that still gets one
+    last = bound(left, lambda n: F.when(n > 0, F.get(F.array_sort(F.transform(s, rest)), n - 1)))
+    return bound(last, lambda z: F.transform(s, lambda x, i: (F.floor(x["w"] * t) + F.when(rest(x, i) <= z, 1).otherwise(0)).cast("long")))
+
+
+def schedule(shares: DataFrame, blocks: DataFrame, period: int = PERIOD) -> DataFrame:
+    """(source, w) and (source, blocks) -> (source, block, slot), from 0: at least as many blocks of each source as it has."""
+    both = shares.join(blocks.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    one = both.groupBy().agg(
+        F.array_sort(F.collect_list(F.struct(F.col("source").isNotNull().alias("named"), "source", "w"))).alias("s"),
+        F.greatest(F.lit(period), F.ceil(1 / F.min("w"))).cast("long").alias("q"), F.max(F.ceil(F.col("blocks") / F.col("w"))).alias("slots"))
+    stretches = (one.where(F.size("s") > 0)
+                 .select("s", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("slots") / F.col("q"))  + 1)).alias("k"))
+                 .repartition("k")
+                 # inline keeps the two as values: as expressions they would be evaluated anew in every step of the fold
+                 .select("s", "q", "k", F.inline(F.array(F.struct(blocks_by(F.col("s"), F.col("k") * F.col("q")).alias("begin"),
+                                                                  blocks_by(F.col("s"), (F.col("k") + 1) * F.col("q")).alias("end"))))))
 
     def step(acc: Column, t: Column) -> Column:
-        n = F.col("s")
-        ready = F.transform(acc["k"], lambda k, i: F.when(
-            F.floor(k * F.col("q") / n[i]["slots"]) <= t,
-            F.struct(ceil_div((k + 1) * F.col("q"), n[i]["slots"]).alias("deadline"), i.alias("i"))))
-        pick = F.array_min(ready)["i"]
-        return F.struct(F.transform(acc["k"], lambda k, i: F.when(i == pick, k + 1).otherwise(k)).alias("k"),
-                        F.concat(acc["out"], F.array(F.struct(t.alias("slot"), pick.alias("i"),
-                                                              F.element_at(acc["k"], pick + 1).alias("k")))).alias("out"))
-
-    zero = F.struct(F.transform(F.col("s"), lambda x: F.lit(0).cast("long")).alias("k"),
-                    F.expr("cast(array() as array<struct<slot:bigint,i:int,k:bigint>>)").alias("out"))
-    folded = one.where(F.size("s") > 0).select(
-        "s", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("q") - 1), zero, step)["out"].alias("out"))
-    return (folded.select("s", F.inline("out"))
-            .select(F.element_at("s", F.col("i") + 1)["source"].alias("source"), "k", "slot"))
+        # a source that has had its blocks of the stretch waits; not yet released ones only fill what would be idle
+        ready = F.transform(acc["had"], lambda n, i: F.when(n < F.get("end", i), F.struct(
+            (F.floor(n / F.get("s", i)["w"]) > t).alias("early"), F.ceil((n + 1) / F.get("s", i)["w"]).alias("deadline"), i.alias("i"))))
+        return bound(F.array_min(ready)["i"], lambda pick: F.struct(
+            F.transform(acc["had"], lambda n, i: F.when(i == pick, n + 1).otherwise(n)).alias("had"),
+            F.concat(acc["out"], F.array(F.struct(t.alias("slot"), pick.alias("i"), F.get(acc["had"], pick).alias("block")))).alias("out")))
+
+    none = "cast(array() as array<{}struct<slot:bigint,i:int,block:bigint>{}>)"
+
+    def run(acc: Column, first: Column) -> Column:
+        # RUN slots at a time, so that what is copied with each step stays short
+        last = F.least(first + RUN, (F.col("k") + 1) * F.col("q")) - 1
+        part = F.aggregate(F.sequence(first, last), F.struct(acc["had"].alias("had"), F.expr(none.format("", "")).alias("out")), step)
+        return bound(part, lambda p: F.struct(p["had"].alias("had"), F.concat(acc["runs"], F.array(p["out"])).alias("runs")))
+
+    zero = F.struct(F.col("begin").alias("had"), F.expr(none.format("array<", ">")).alias("runs"))
+    firsts = F.sequence(F.col("k") * F.col("q"), (F.col("k") + 1) * F.col("q") - 1, F.lit(RUN).cast("long"))
+    return (stretches.select("s", F.explode(F.aggregate(firsts, zero, run)["runs"]).alias("out")).select("s", F.inline("out"))
+            .select(F.get("s", F.col("i"))["source"].alias("source"), "block", "slot"))
 
 
 def square_root_weights(docs: DataFrame, source: str = "source") -> DataFrame:
@@ -84,12 +95,11 @@ def square_root_weights(docs: DataFrame, source: str = "source") -> DataFrame:
     return docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sqrt(F.count(F.lit(1))).alias("weight"))
 
 
-def number_in_source(ids: DataFrame, per_source: DataFrame | None = None) -> DataFrame:
+def number_in_source(ids: DataFrame) -> DataFrame:
     """(doc_id, source) -> plus n (from 0), the row's place in its source by md5 of the id.
 
     Rows are counted by (source, leading md5 digits); a row's number is its place in that small
-    bucket plus the rows of earlier buckets, so a hot source is numbered by many tasks. Columns of
-    `per_source` (source, ...) come along with the counts, so the rows are never joined on the source alone.
+    bucket plus the rows of earlier buckets, so a hot source is numbered by many tasks.
     """
     total = ids.count()
     digits = 1
@@ -102,20 +112,15 @@ def number_in_source(ids: DataFrame, per_source: DataFrame | None = None) -> Dat
                               .rowsBetween(Window.unboundedPreceding, -1)))
     bases = counts.select(F.col("source").alias("s2"), F.col("bucket").alias("b2"),
                           F.coalesce(before, F.lit(0)).alias("base"))
-    extra = []
-    if per_source is not None:
-        extra = [c for c in per_source.columns if c != "source"]
-        bases = (bases.join(per_source.withColumnRenamed("source", "s4"), F.col("s2").eqNullSafe(F.col("s4")))
-                 .drop("s4"))
     place = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id")) - 1
     placed = keyed.withColumn("place", place)
     return (placed.join(bases, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
-            .select("doc_id", "source", (F.col("base") + F.col("place")).alias("n"), *extra))
+            .select("doc_id", "source", (F.col("base") + F.col("place")).alias("n")))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", source: str = "source",
         block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """One row per row of docs: doc_id, source, block, slot, place (in its block).
+    """One row per row of docs: the id, source, block, slot, place (in its block).
 
     Reading in order of (slot, place) gives the mixed stream; two rows never share both. Sources that
     the weights leave out get the least weight given.
@@ -127,16 +132,14 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id
         there = ids.select("source").distinct().withColumnRenamed("source", "s2")
         shares = (there.join(weights.where("weight > 0"), F.col("s2").eqNullSafe(F.col("source")), "left")
                   .select(F.col("s2").alias("source"), F.coalesce("weight", least, F.lit(1.0)).alias("weight")))
-    slots = rounded_weights(shares, period).select("source", "slots", "period")
-    plan = period_schedule(slots).select(F.col("source").alias("s2"), F.col("k").alias("k2"), "slot")
-    numbered = (number_in_source(ids, slots)
+    blocks = ids.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("blocks"))
+    plan = schedule(shares_of(shares), blocks, period).select(F.col("source").alias("s2"), F.col("block").alias("b2"), "slot")
+    numbered = (number_in_source(ids)
                 .withColumn("block", F.floor(F.col("n") / block_rows))
-                .withColumn("place", (F.col("n") % block_rows).cast("int"))
-                .withColumn("k", F.col("block") % F.col("slots")))
-    # the schedule has a row per slot of the one period; the key spreads a hot source over its slots
-    return (numbered.join(plan, F.col("source").eqNullSafe(F.col("s2")) & (F.col("k") == F.col("k2")))
-            .select("doc_id", "source", "block",
-                    (F.floor(F.col("block") / F.col("slots")) * F.col("period") + F.col("slot")).alias("slot"), "place"))
+                .withColumn("place", (F.col("n") % block_rows).cast("int")))
+    # a row per slot meets the block_rows rows of its block
+    return (numbered.join(plan, F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
+            .select(F.col("doc_id").alias(doc_id), F.col("source").alias(source), "block", "slot", "place"))
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text",
@@ -145,9 +148,9 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_
 
     Rows that repeat id and text share a place and stand next to each other.
     """
-    row = F.concat_ws("-", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("string"))
-    keyed = docs.withColumn("_row", row)
-    places = (mix(keyed, weights, "_row", source, block_rows, period).groupBy(F.col("doc_id").alias("_row"))
-              .agg(F.min(F.struct("slot", "place")).alias("_at")))
-    out = keyed.join(places, "_row").repartitionByRange(F.col("_at.slot"), F.col("_at.place")).sortWithinPartitions("_at.slot", "_at.place", "_row")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.concat_ws("-", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("string"))
+    keyed = docs.select(key.alias("key"), F.col(f"`{source}`").alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    places = (mix(keyed, weights, "key", "source", block_rows, period).groupBy(F.col("key"))
+              .agg(F.min(F.struct("slot", "place")).alias("at")))
+    out = keyed.join(places, "key").repartitionByRange(F.col("at.slot"), F.col("at.place")).sortWithinPartitions("at.slot", "at.place", "key")
+    return out.select("row.*")

@@ -6,27 +6,27 @@ from roomrank.llm import license_scan, mixing, url_filter
 
 MIXING = f"""
 WITH RECURSIVE
-src AS (SELECT source, sqrt(count(*)) AS weight FROM documents GROUP BY source),
-w0 AS (SELECT source, weight / sum(weight) OVER () AS weight, greatest({mixing.PERIOD}, count(*) OVER ()) AS period,
-              count(*) OVER () AS m FROM src),
-w1 AS (SELECT *, weight * (period - m) AS exact, floor(weight * (period - m)) AS base FROM w0),
-w AS (SELECT source, period, CAST(1 + base + CASE WHEN row_number() OVER (ORDER BY base - exact, source NULLS FIRST)
-                                                       <= period - m - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS slots FROM w1),
-n AS (SELECT list(slots ORDER BY source NULLS FIRST) AS s, list(source ORDER BY source NULLS FIRST) AS names, max(period) AS q FROM w),
-step(t, k, pick) AS (
-  SELECT CAST(-1 AS BIGINT), list_transform(s, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM n
+c AS (SELECT source, count(*) AS rows, sqrt(count(*)) AS weight FROM documents GROUP BY source),
+w AS (SELECT source, weight / sum(weight) OVER () AS w, ceil(rows / {mixing.BLOCK_ROWS}) AS blocks,
+             row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM c),
+p AS (SELECT greatest({mixing.PERIOD}, CAST(ceil(1 / min(w)) AS BIGINT)) AS q, CAST(max(ceil(blocks / w)) AS BIGINT) + count(*) + 2 AS slots FROM w),
+-- the blocks that each source has had when a stretch of q slots ends
+f AS (SELECT k, w.i, (k + 1) * q AS t, w * ((k + 1) * q) AS x FROM w, p, (SELECT unnest(range(0, (SELECT slots // q + 1 FROM p))) AS k)),
+g AS (SELECT k, i, floor(x) + CASE WHEN row_number() OVER (PARTITION BY k ORDER BY floor(x) - x, i) <= t - sum(floor(x)) OVER (PARTITION BY k) THEN 1 ELSE 0 END AS had FROM f),
+e AS (SELECT k, list(CAST(had AS BIGINT) ORDER BY i) AS had FROM g GROUP BY k),
+n AS (SELECT list(w ORDER BY i) AS w, list(source ORDER BY i) AS names FROM w),
+step(t, had, pick) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(n.w, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM n
   UNION ALL
-  SELECT t + 1, list_transform(range(1, len(k) + 1), lambda i: k[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p
-  FROM (SELECT step.t, step.k, list_min(list_transform(range(1, len(step.k) + 1), lambda i:
-          CASE WHEN (step.k[i] * n.q) // n.s[i] <= step.t + 1
-               THEN (((step.k[i] + 1) * n.q + n.s[i] - 1) // n.s[i]) * 1000000 + i END)) % 1000000 AS p
-        FROM step, n WHERE step.t + 1 < n.q)),
-plan AS (SELECT n.names[step.pick] AS source, step.k[step.pick] - 1 AS k, step.t AS slot FROM step, n WHERE step.t >= 0),
+  SELECT t + 1, list_transform(range(1, len(had) + 1), lambda i: had[i] + CASE WHEN i = b THEN 1 ELSE 0 END), b
+  FROM (SELECT step.t, step.had, list_min(list_filter(list_transform(range(1, len(step.had) + 1), lambda i:
+          CASE WHEN step.had[i] < e.had[i] THEN {{'early': floor(step.had[i] / n.w[i]) > step.t + 1, 'deadline': ceil((step.had[i] + 1) / n.w[i]), 'i': i}} END),
+          lambda x: x IS NOT NULL)).i AS b
+        FROM step, n, p, e WHERE e.k = (step.t + 1) // p.q AND step.t + 1 < p.slots)),
+plan AS (SELECT n.names[step.pick] AS source, step.had[step.pick] - 1 AS block, step.t AS slot FROM step, n WHERE step.t >= 0),
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS n FROM documents)
-SELECT d.doc_id, d.source, d.n // {mixing.BLOCK_ROWS} AS block,
-       ((d.n // {mixing.BLOCK_ROWS}) // w.slots) * w.period + plan.slot AS slot, CAST(d.n % {mixing.BLOCK_ROWS} AS INTEGER) AS place
-FROM d JOIN w ON w.source IS NOT DISTINCT FROM d.source
-JOIN plan ON plan.source IS NOT DISTINCT FROM d.source AND plan.k = (d.n // {mixing.BLOCK_ROWS}) % w.slots"""
+SELECT d.doc_id, d.source, d.n // {mixing.BLOCK_ROWS} AS block, plan.slot, CAST(d.n % {mixing.BLOCK_ROWS} AS INTEGER) AS place
+FROM d JOIN plan ON plan.source IS NOT DISTINCT FROM d.source AND plan.block = d.n // {mixing.BLOCK_ROWS}"""
 
 
 def _rule_sql(column: int) -> str:

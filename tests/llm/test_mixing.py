@@ -2,7 +2,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
-from conftest import doc_rows  # noqa: F401
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from roomrank.llm import mixing
@@ -10,31 +11,52 @@ from roomrank.llm.queries import op1_mixing
 from roomrank.llm.shared import table
 
 
-def edf(slots: dict, q: int) -> list:
-    """One period by plain earliest-deadline-first."""
-    names = sorted(slots, key=lambda s: (s is not None, s or ""))
-    k, out = dict.fromkeys(names, 0), []
-    for t in range(q):
-        ready = [(-(-(k[s] + 1) * q // slots[s]), i) for i, s in enumerate(names) if k[s] * q // slots[s] <= t]
-        s = names[min(ready)[1]]
-        out.append(s)
-        k[s] += 1
-    return out
-
-
-def test_schedule_is_edf_and_deviates_by_less_than_a_block(spark):
-    rng = random.Random(4)
-    for m, q in ((1, 10), (2, 7), (5, 64), (20, 300)):
-        w = {f"s{i}": rng.random() ** 2 + 0.01 for i in range(m)}
-        slots = mixing.rounded_weights(spark.createDataFrame(list(w.items()), "source string, weight double"), q)
-        n = {r.source: r.slots for r in slots.collect()}
-        assert sum(n.values()) == q and min(n.values()) >= 1
-        got = [r.source for r in mixing.period_schedule(slots).orderBy("slot").collect()]
-        assert got == edf(n, q)
-        seen = Counter()
-        for t, s in enumerate(got, 1):
-            seen[s] += 1
-            assert all(abs(seen[x] - n[x] * t / q) < 1 for x in n)
+def deviations(got: list, w: dict) -> float:
+    """The largest difference of a source's blocks from its exact share of the slots, at any slot."""
+    names = list(w)
+    at = {s: i for i, s in enumerate(names)}
+    share = np.array([w[s] for s in names]) / sum(w.values())
+    had, worst = np.zeros(len(names)), 0.0
+    for t, s in enumerate(got, 1):
+        had[at[s]] += 1
+        worst = max(worst, np.abs(had - share * t).max())
+    return worst
+
+
+def planned(spark, w: dict, blocks: int, period: int = mixing.PERIOD) -> list:
+    shares = mixing.shares_of(spark.createDataFrame(list(w.items()), "source string, weight double"))
+    n = spark.createDataFrame([(s, blocks) for s in w], "source string, blocks long")
+    return mixing.schedule(shares, n, period).orderBy("slot").collect()
+
+
+@pytest.mark.parametrize("m,period", [(1, 10), (2, 7), (5, 64), (20, 300), (20, 50)])
+def test_schedule_deviates_by_less_than_a_block_from_the_exact_weights(spark, m, period):
+    rng = random.Random(m * period)
+    w = {f"s{i}": rng.random() ** 2 + 0.01 for i in range(m)}
+    w["s0"] += m / 10
+    plan = planned(spark, w, 30, period)
+    assert [r.slot for r in plan] == list(range(len(plan)))
+    mine = defaultdict(list)
+    for r in plan:
+        mine[r.source].append(r.block)
+    assert all(b == list(range(len(b))) and len(b) >= 30 for b in mine.values())
+    assert deviations([r.source for r in plan], w) < 1 + 1e-9
+
+
+@pytest.mark.parametrize("m", [20, 500, 2000])
+def test_a_heavy_source_keeps_its_weight_among_many(spark, m):
+    w = {f"s{i}": 0.7 / (m - 1) for i in range(1, m)} | {"hot": 0.3}
+    plan = planned(spark, w, 1)
+    assert deviations([r.source for r in plan], w) < 1 + 1e-9
+    assert abs(sum(r.source == "hot" for r in plan) - 0.3 * len(plan)) < 1
+
+
+def test_places_do_not_depend_on_the_columns_names(spark):
+    rows = [(i, f"s{i % 3}", f"t{i}", i * 10, "x", i, "y") for i in range(200)]
+    names = "doc_id long, source string, text string, _row long, _at string, key long, slot string"
+    docs = spark.createDataFrame(rows, names)
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(rows)
 
 
 def test_query_holds_the_weights_and_keeps_all_rows(spark, sf_small):
