@@ -30,40 +30,66 @@ from pyspark.sql import types as T
 
 DEFAULT_BLOCK = 256
 SALT_BLOCKS = 8  # query blocks of a group that share a join key
+HOT_PARTS = 512  # a key with more than 1 / HOT_PARTS of the rows is hot: its rows are salted in joins on it
 SCORE_DECIMALS = 6
 COSINE_EPS = 1e-8
 
 
-def _blocks(df: DataFrame, grp: str, id_cols: list[str], fields: list, block: int, name: str,
-            sizes_from: DataFrame | None = None) -> DataFrame:
-    """Cut each group of ``df`` into blocks of about ``block`` rows, one row per block.
+def hot_keys(sizes: DataFrame, key: str, n: str = "_n", parts: int = HOT_PARTS) -> DataFrame:
+    """``(key, _salts)`` of the keys that hold more than 1 / parts of all rows: fewer than ``parts`` keys, whatever the data."""
+    total = sizes.agg(F.sum(n).alias("_all"))
+    share = F.col(n) * F.lit(parts) / F.col("_all")
+    return sizes.crossJoin(F.broadcast(total)).where(share > 1).select(key, F.ceil(share).cast("long").alias("_salts"))
 
-    The block count only sets the work per task, never the result (every item still meets
-    every query of its group), so the group sizes may come from a cheaper frame with the same
-    groups (``sizes_from``, one row per member, e.g. a prepared key table) instead of
-    re-running the joins that built ``df``. ``sizes_from`` must have every group of ``df``: a row
-    without a size stops the job, since its group would become one block without bound.
+
+def hot_key_join(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with one ``lookup`` row per key, without meeting a hot key's rows in one task.
+
+    A hot key's rows are dealt to salts by a hash of the ``spread`` columns, and its one lookup row is repeated per salt;
+    all other keys have salt 0. What is broadcast is ``hot``, whose size ``hot_keys`` bounds.
+    """
+    hot = F.broadcast(hot)
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0).cast("long")).otherwise(
+        F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.col("_salts")))).drop("_salts")
+    each = lookup.join(hot, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1).cast("long")) - 1))).drop("_salts")
+    return dealt.join(each, [key, "_salt"], how).drop("_salt")
+
+
+def _blocks(df: DataFrame, grp: str, id_cols: list[str], fields: list, block: int, name: str, sizes: DataFrame | None = None,
+            how: str = "inner") -> DataFrame:
+    """Cut each group of ``df`` into blocks of about ``block`` rows, one row per block, with the group's ``_s``.
+
+    ``sizes(grp, _n, _s)`` holds the rows of each group (counted on ``df`` if not given). The block count only sets the work per task, never the result
+    (every item still meets every query of its group), so sizes may be counted on a cheaper frame with the same groups.
+    A row whose group has no size stops the job, since its group would become one block without bound.
     """
-    src = (sizes_from if sizes_from is not None else df).select(grp)
-    sizes = src.groupBy(grp).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = _sizes(df, df, grp, block)[0] if sizes is None else sizes
     nb = F.greatest(F.ceil(F.col("_n") / F.lit(float(block))), F.lit(1)).cast("long")
     nb = F.when(F.col("_n").isNull(), F.raise_error(F.lit("a group has no size: sizes_from lacks it")).cast("long")).otherwise(nb)
-    b = (df.join(sizes, grp, "left" if sizes_from is not None else "inner")
+    b = (hot_key_join(df, sizes, grp, hot_keys(sizes.where("_n is not null"), grp), id_cols, how)
          .withColumn("_blk", F.pmod(F.xxhash64(*[F.col(c) for c in id_cols]), nb)))
     # Shuffle on (group, block), not on the group alone: otherwise the aggregate reuses the
-    # join's partitioning by group and a hot group's blocks are all built by one task. The
-    # explicit exchange also lets AQE split a skewed partition of the join above.
+    # join's partitioning by group and a hot group's blocks are all built by one task.
     b = b.repartition(grp, "_blk")
-    return b.groupBy(grp, "_blk").agg(F.collect_list(F.struct(*fields)).alias(name))
+    return b.groupBy(grp, "_blk").agg(F.collect_list(F.struct(*fields)).alias(name), F.max("_s").alias("_s"))
+
 
+def _sizes(queries: DataFrame, items: DataFrame, grp: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """``(grp, _n, _s)`` for the query side and for the item side (only of groups that have queries).
 
-def _salted(qb: DataFrame, ib: DataFrame, grp: str, query_sizes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Spread a hot group's block pairs: its query blocks are dealt to ``_salt`` 0 .. s - 1, its item blocks go to
-    every salt, with s from the group's number of query blocks, so one join key has SALT_BLOCKS query blocks or so."""
+    ``_s`` is the number of salts of a group's block pairs: about SALT_BLOCKS query blocks share a join key.
+    """
     s = F.greatest(F.ceil(F.ceil(F.col("_n") / F.lit(float(block))) / F.lit(float(SALT_BLOCKS))), F.lit(1)).cast("long")
-    salts = query_sizes.select(grp).groupBy(grp).agg(F.count(F.lit(1)).alias("_n")).select(grp, s.alias("_s"))
-    qb = qb.join(salts, grp).withColumn("_salt", F.pmod(F.col("_blk"), F.col("_s"))).drop("_blk", "_s")
-    ib = ib.join(salts, grp).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1))).drop("_blk", "_s")
+    of_queries = queries.groupBy(grp).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", s)
+    of_items = items.groupBy(grp).agg(F.count(F.lit(1)).alias("_n"))
+    return of_queries, of_queries.select(grp, "_s").join(of_items, grp, "left").select(grp, "_n", "_s")
+
+
+def _salted(qb: DataFrame, ib: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spread a hot group's block pairs: its query blocks are dealt to ``_salt`` 0 .. s - 1, its item blocks go to every salt."""
+    qb = qb.withColumn("_salt", F.pmod(F.col("_blk"), F.col("_s"))).drop("_blk", "_s")
+    ib = ib.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1))).drop("_blk", "_s")
     return qb, ib
 
 
@@ -183,13 +209,12 @@ _TOPK_SCHEMA = T.StructType([T.StructField("qid", T.LongType()), T.StructField("
                              T.StructField("itie", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def _prepare_items(items: DataFrame, grp: str, iid: str, ivec: str, itie: str | None, block: int,
-                   sizes_from: DataFrame | None = None) -> DataFrame:
+def _prepare_items(items: DataFrame, grp: str, iid: str, ivec: str, itie: str | None, block: int, sizes: DataFrame) -> DataFrame:
     it = items.select(F.col(grp), F.col(iid).cast("long").alias("iid"),
                       (F.col(itie).cast("long") if itie else F.lit(0).cast("long")).alias("tie"),
                       F.col(ivec).alias("vec"))
-    ib = _blocks(it, grp, ["iid", "tie"], ["iid", "tie", "vec"], block, "irows", sizes_from)
-    return ib.select(grp, "_blk", *_flatten_side("irows", "i_", ["iid", "tie"], ["vec"]))
+    ib = _blocks(it, grp, ["iid", "tie"], ["iid", "tie", "vec"], block, "irows", sizes, "inner")
+    return ib.select(grp, "_blk", "_s", *_flatten_side("irows", "i_", ["iid", "tie"], ["vec"]))
 
 
 def rank_of_target(queries: DataFrame, items: DataFrame, *, grp: str, qid: str, qvec: str,
@@ -209,10 +234,11 @@ def rank_of_target(queries: DataFrame, items: DataFrame, *, grp: str, qid: str,
                        F.col(target_id).cast("long").alias("tid"),
                        (F.col(target_tie).cast("long") if target_tie else F.lit(0).cast("long")).alias("ttie"),
                        F.col(target_vec).alias("tvec"))
-    qb = _blocks(q, grp, ["qid"], ["qid", "vec", "tid", "ttie", "tvec"], block, "qrows", query_sizes)
-    qb = qb.select(grp, "_blk", *_flatten_side("qrows", "q_", ["qid", "tid", "ttie"], ["vec", "tvec"]))
-    ib = _prepare_items(items, grp, iid, ivec, itie, block, item_sizes)
-    qb, ib = _salted(qb, ib, grp, q if query_sizes is None else query_sizes, block)
+    q_sizes, i_sizes = _sizes(q if query_sizes is None else query_sizes, items if item_sizes is None else item_sizes, grp, block)
+    qb = _blocks(q, grp, ["qid"], ["qid", "vec", "tid", "ttie", "tvec"], block, "qrows", q_sizes, "left")
+    qb = qb.select(grp, "_blk", "_s", *_flatten_side("qrows", "q_", ["qid", "tid", "ttie"], ["vec", "tvec"]))
+    ib = _prepare_items(items, grp, iid, ivec, itie, block, i_sizes)
+    qb, ib = _salted(qb, ib)
     pairs = qb.join(ib, [grp, "_salt"]).select("q_qid", "q_tid", "q_ttie", "q_vec", "q_tvec", "i_iid", "i_tie", "i_vec")
     partial = pairs.mapInPandas(_rank_job(metric), _RANK_SCHEMA)
     return (partial.groupBy("qid")
@@ -226,10 +252,11 @@ def top_k(queries: DataFrame, items: DataFrame, *, grp: str, qid: str, qvec: str
           query_sizes: DataFrame | None = None, item_sizes: DataFrame | None = None) -> DataFrame:
     """The ``k`` best items of each query's group: ``(qid, rank, iid, score)`` with rank 1..min(k, n)."""
     q = queries.select(F.col(grp), F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("vec"))
-    qb = _blocks(q, grp, ["qid"], ["qid", "vec"], block, "qrows", query_sizes)
-    qb = qb.select(grp, "_blk", *_flatten_side("qrows", "q_", ["qid"], ["vec"]))
-    ib = _prepare_items(items, grp, iid, ivec, itie, block, item_sizes)
-    qb, ib = _salted(qb, ib, grp, q if query_sizes is None else query_sizes, block)
+    q_sizes, i_sizes = _sizes(q if query_sizes is None else query_sizes, items if item_sizes is None else item_sizes, grp, block)
+    qb = _blocks(q, grp, ["qid"], ["qid", "vec"], block, "qrows", q_sizes, "left")
+    qb = qb.select(grp, "_blk", "_s", *_flatten_side("qrows", "q_", ["qid"], ["vec"]))
+    ib = _prepare_items(items, grp, iid, ivec, itie, block, i_sizes)
+    qb, ib = _salted(qb, ib)
     pairs = qb.join(ib, [grp, "_salt"]).select("q_qid", "q_vec", "i_iid", "i_tie", "i_vec")
     partial = pairs.mapInPandas(_topk_job(metric, k), _TOPK_SCHEMA)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("iid"), F.col("itie"))

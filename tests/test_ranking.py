@@ -167,7 +167,7 @@ def test_hot_group_block_pairs_are_spread_without_aqe(spark):
     few = spark.range(1600, 1610).select((F.col("id") % 5 + 2).alias("g"), F.col("id").alias("iid"), F.lit(0.5).alias("vec"))
     both = rows.unionByName(few)
     qb, ib = (_blocks(both, "g", ["iid"], ["iid", "vec"], 16, n) for n in ("qrows", "irows"))
-    qb, ib = _salted(qb, ib, "g", both, 16)
+    qb, ib = _salted(qb, ib)
     old = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
@@ -177,3 +177,29 @@ def test_hot_group_block_pairs_are_spread_without_aqe(spark):
     total = sum(r["count"] for r in keys)
     hot = [r["count"] for r in keys if r["g"] == 1]
     assert len(hot) == -(-100 // SALT_BLOCKS) and sum(hot) == 100 * 100 and max(hot) <= 0.1 * total
+
+
+def test_hot_keys_are_few_and_their_rows_spread(spark):
+    """A key with a third of the rows: joined in parts, the result as a plain join gives it, nulls and missing keys too."""
+    from pyspark.sql import functions as F
+
+    from roomrank.operators.scoring import hot_key_join, hot_keys
+    rows = spark.createDataFrame([(i, 1 if i % 3 == 0 else (None if i % 50 == 1 else i % 97)) for i in range(3000)], "id long, grp long")
+    lookup = spark.createDataFrame([(g, g * 10) for g in range(80)], "grp long, v long")
+    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
+    hot = hot_keys(sizes, "grp", parts=8)
+    found = {r["grp"]: r["_salts"] for r in hot.collect()}
+    assert list(found) == [1] and found[1] >= 3
+    for how in ("inner", "left"):
+        got = hot_key_join(rows, lookup, "grp", hot, ["id"], how)
+        want = rows.join(lookup, "grp", how).select("grp", "id", "v")
+        assert got.columns == ["grp", "id", "v"] and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # neither AQE nor a broadcast of the lookup: no task has more than a part of the hot key
+        spread = hot_key_join(rows, lookup, "grp", hot, ["id"]).where("grp = 1").groupBy(F.spark_partition_id()).count()
+        assert spread.agg(F.max("count")).first()[0] <= 2 * 1000 / 3 and spread.count() >= 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
