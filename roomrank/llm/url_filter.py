@@ -63,7 +63,7 @@ def domain_of(host: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """The longest fitting rule and its verdict (null without one); of equal rules the first given."""
+    """The longest fitting rule and its verdict (null without one); of fitting rules of equal length the last given."""
     rule = verdict = F.lit(None).cast("string")
     for kind, text in sorted(rules, key=lambda r: len(r[1])) :
         rule_host, slash, rest = text.partition("/")

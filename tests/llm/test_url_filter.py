@@ -71,3 +71,12 @@ def test_empty_tables(spark):
 
 def test_no_python_in_the_plan(spark, sf_small):
     assert "Python" not in op3_url_filter(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_of_fitting_rules_of_equal_length_the_last_given_holds(spark):
+    from pyspark.sql import functions as F
+
+    page = spark.createDataFrame([("a.com", "/bcd")], "host string, path string")
+    for rules in ([("allow", "a.com/b"), ("block", "com/bcd")], [("block", "com/bcd"), ("allow", "a.com/b")]):
+        rule, verdict = url_filter.rule_of(F.col("host"), F.col("path"), rules)
+        assert tuple(page.select(rule, verdict).first()) == (rules[-1][1], rules[-1][0])
