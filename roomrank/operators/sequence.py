@@ -2,147 +2,28 @@
 
 ``row_number() over (partition by g order by o)`` sends every row of a group to one task;
 a group holding a third of all rows then sorts in a single task. Here the rows are
-range-partitioned on ``(g, o)`` instead, so a hot group is spread over many tasks, and
-each partition numbers its rows locally. Only the groups that cross a partition edge need
-a carry from earlier partitions: one small summary row per partition (never data) is
-collected, turned into one offset per partition and broadcast. This is the same two-pass
-idea as ``zipWithIndex``, done per group.
+range-partitioned on ``(g, o)`` instead, so a hot group is spread over many tasks, and the
+row number is taken within (range partition, group). A group that crosses a partition edge
+adds the rows that it has in earlier partitions: at most one group of each partition goes on
+from the one before, so these offsets have fewer rows than there are partitions and are broadcast.
 
-The sorted frame is checkpointed into the shared checkpoint folder between the passes so
-both passes see identical partitions, also after an executor loss.
+Everything is a native expression, so keys may have any type that Spark can order. Nulls and NaN
+are values like others (nulls first, NaN last).
+
+The numbered frame is checkpointed into the shared checkpoint folder before the offsets are
+counted, so both see identical partitions, also after an executor loss.
 """
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from roomrank.session import default_parallelism, materialize
 
-_EDGE_SCHEMA = T.StructType([
-    T.StructField("pid", T.IntegerType()),
-    T.StructField("n_rows", T.LongType()),
-    T.StructField("first_key", T.StringType()),
-    T.StructField("last_key", T.StringType()),
-    T.StructField("n_last", T.LongType()),
-])
-
-
-def _key_json(values) -> str:
-    return json.dumps([None if (v is None or (isinstance(v, float) and np.isnan(v))) else
-                       (v.item() if hasattr(v, "item") else v) for v in values], default=str)
-
-
-def _run_starts(pdf: pd.DataFrame, cols: list[str]) -> np.ndarray:
-    """Boolean mask: row i starts a new key run compared with row i-1 (row 0 left False)."""
-    n = len(pdf)
-    change = np.zeros(n, dtype=bool)
-    for c in cols:
-        v = pdf[c].to_numpy(dtype=object)
-        a, b = v[1:], v[:-1]
-        same = np.array([(x == y) or (x is None and y is None) or
-                         (isinstance(x, float) and isinstance(y, float) and np.isnan(x) and np.isnan(y))
-                         for x, y in zip(a, b)], dtype=bool) if n > 1 else np.zeros(0, dtype=bool)
-        change[1:] |= ~same
-    return change
-
-
-def _fast_run_starts(pdf: pd.DataFrame, cols: list[str]) -> np.ndarray:
-    n = len(pdf)
-    change = np.zeros(n, dtype=bool)
-    if n <= 1:
-        return change
-    for c in cols:
-        s = pdf[c]
-        if s.dtype.kind in "iub" and not s.isna().any():
-            v = s.to_numpy()
-            change[1:] |= v[1:] != v[:-1]
-        else:
-            return _run_starts(pdf, cols)
-    return change
-
-
-def _segments(batches):
-    """Yield ``(pid, frame)`` runs of equal ``_pid``.
-
-    The range partition is recorded in the data (``_pid``) rather than read from the task,
-    so the numbering stays right when Spark runs the job under a union or merges partitions.
-    """
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        pid = pdf["_pid"].to_numpy()
-        cuts = np.flatnonzero(pid[1:] != pid[:-1]) + 1
-        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)]):
-            yield int(pid[a]), pdf.iloc[a:b].reset_index(drop=True)
-
-
-def _key_at(pdf, i, group_cols) -> str:
-    return _key_json(pdf.iloc[i][group_cols].tolist()) if group_cols else "[]"
-
-
-def _edges(group_cols):
-    def fn(batches):
-        stats: dict[int, dict] = {}
-        for pid, pdf in _segments(batches):
-            st = stats.setdefault(pid, {"n_rows": 0, "first_key": None, "last_key": None, "n_last": 0})
-            if st["first_key"] is None:
-                st["first_key"] = _key_at(pdf, 0, group_cols)
-            starts = _fast_run_starts(pdf, group_cols)
-            key0 = _key_at(pdf, 0, group_cols)
-            idx = np.flatnonzero(starts)
-            if len(idx) == 0:  # the whole segment is one run
-                st["n_last"] = st["n_last"] + len(pdf) if key0 == st["last_key"] else len(pdf)
-            else:
-                st["n_last"] = len(pdf) - idx[-1]
-            st["last_key"] = _key_at(pdf, len(pdf) - 1, group_cols)
-            st["n_rows"] += len(pdf)
-        if stats:
-            yield pd.DataFrame([{"pid": pid, **st} for pid, st in stats.items()])
-    return fn
-
-
-def _offsets(edges: list) -> dict[int, int]:
-    """Carry for the first group of every partition, from the per-partition summaries."""
-    out: dict[int, int] = {}
-    run_key, run_count = None, 0
-    for e in sorted(edges, key=lambda r: r["pid"]):
-        off = run_count if e["first_key"] == run_key else 0
-        out[e["pid"]] = off
-        if e["first_key"] == e["last_key"]:
-            run_key, run_count = e["last_key"], off + e["n_rows"]
-        else:
-            run_key, run_count = e["last_key"], e["n_last"]
-    return out
-
-
-def _number(group_cols, name, start, offsets_bc):
-    def fn(batches):
-        offsets = offsets_bc.value
-        cur_pid, carry, prev_key = None, 0, None
-        for pid, pdf in _segments(batches):
-            n = len(pdf)
-            starts = _fast_run_starts(pdf, group_cols)
-            if pid != cur_pid:  # a new range partition: continue its first run with the carry
-                cur_pid, carry, continues = pid, offsets.get(pid, 0), True
-            else:
-                continues = _key_at(pdf, 0, group_cols) == prev_key
-            starts[0] = not continues
-            start_pos = np.flatnonzero(np.r_[True, starts[1:]])
-            run_index = np.cumsum(np.r_[True, starts[1:]]) - 1
-            pos = np.arange(n) - start_pos[run_index]
-            base = np.where(run_index == 0, carry if continues else 0, 0)
-            pdf[name] = (pos + base + start).astype("int64")
-            last_start = start_pos[-1]
-            carry = (n - last_start) + (carry if (continues and last_start == 0) else 0)
-            prev_key = _key_at(pdf, n - 1, group_cols)
-            yield pdf.drop(columns=["_pid"])
-    return fn
+_PLACE_BITS = (1 << 33) - 1  # monotonically_increasing_id holds the row's place in its partition in the lower 33 bits
 
 
 def number_within_group(df: DataFrame, group_cols: list[str], order_cols: list[str],
@@ -151,23 +32,28 @@ def number_within_group(df: DataFrame, group_cols: list[str], order_cols: list[s
 
     ``group_cols=[]`` numbers the whole table (a distributed, gap-free sequence).
     ``order_cols`` must make the order total (include a key), as a row number requires.
-    Pass a narrow frame: every column travels through the Python worker once.
+    Pass a narrow frame: every column is checkpointed once.
     """
-    spark = df.sparkSession
-    keys = list(group_cols) + list(order_cols)
+    keys = [*group_cols, *order_cols]
     if not keys:
         raise ValueError("need at least one grouping or ordering column")
-    p = num_partitions or default_parallelism(spark)
-    ordered = materialize(df.repartitionByRange(p, *keys).sortWithinPartitions(*keys)
-                          .withColumn("_pid", F.spark_partition_id()))
-    edges = [r.asDict() for r in
-             ordered.select("_pid", *(group_cols or []))
-             .mapInPandas(_edges(list(group_cols)), _EDGE_SCHEMA).collect()]
-    offsets = _offsets(edges)
-    bc = spark.sparkContext.broadcast(offsets)  # one int per partition
-    out_schema = T.StructType([f for f in ordered.schema.fields if f.name != "_pid"] +
-                              [T.StructField(name, T.LongType(), False)])
-    return ordered.mapInPandas(_number(list(group_cols), name, start, bc), out_schema)
+    ranged = df.repartitionByRange(num_partitions or default_parallelism(df.sparkSession), *keys)
+    if group_cols:
+        within = Window.partitionBy("_pid", *group_cols).orderBy(*(order_cols or group_cols))
+        placed = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_place", F.row_number().over(within) - 1)
+    else:
+        placed = (ranged.sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id())
+                  .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_BITS))))
+    placed = materialize(placed)
+    groups = [F.col(g).alias(f"_group{i}") for i, g in enumerate(group_cols)]
+    names = [f"_group{i}" for i in range(len(group_cols))]
+    earlier = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = (placed.groupBy(F.col("_pid").alias("_part"), *groups).agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_offset", F.sum("_n").over(earlier)).where("_offset > 0").drop("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group_cols, names, strict=True)],
+                  F.col("_pid") == F.col("_part"))
+    number = F.col("_place") + F.coalesce(F.col("_offset"), F.lit(0)) + F.lit(start)
+    return placed.join(F.broadcast(offsets), same, "left").select(*df.columns, number.cast("long").alias(name))
 
 
 def sequential_id(df: DataFrame, order_cols: list[str], name: str = "ID", start: int = 1,

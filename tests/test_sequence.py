@@ -58,3 +58,29 @@ def test_numbering_under_union_and_coalesce(spark):
     assert len(both) == 800
     merged = n.coalesce(1).toPandas()
     assert sorted(map(tuple, merged[["g", "k", "rn"]].values.tolist())) == expected
+
+
+def test_numbering_stays_in_the_jvm(spark):
+    df = spark.range(0, 300).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"))
+    for group in (["g"], []):
+        n = number_within_group(df, group, ["k"], num_partitions=6)
+        plan = n._jdf.queryExecution().toString()
+        assert "MapInPandas" not in plan and "MapInArrow" not in plan and "Python" not in plan
+        assert "BroadcastHashJoin" in plan
+
+
+def test_keys_of_all_types(spark):
+    df = spark.sql("""SELECT g, k FROM VALUES (named_struct('a', 1.5BD, 'b', date'2020-01-01')), (named_struct('a', NULL, 'b', date'2020-01-02')) AS t(g),
+                      (SELECT explode(array(double('nan'), -3.5D, NULL, 1e300D, 7.5D)) AS k)""")
+    for p in (1, 4):
+        out = number_within_group(df, ["g"], ["k"], num_partitions=p).collect()
+        by_group = {}
+        for r in out:
+            by_group.setdefault(str(r.g), {})[r.rn] = str(r.k)
+        assert len(by_group) == 2
+        assert all([v[i] for i in range(5)] == ["None", "-3.5", "7.5", "1e+300", "nan"] for v in by_group.values())
+
+
+def test_empty_table(spark):
+    assert number_within_group(spark.createDataFrame([], "g string, k long"), ["g"], ["k"]).count() == 0
+    assert sequential_id(spark.createDataFrame([], "k long"), ["k"]).count() == 0
