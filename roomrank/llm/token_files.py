@@ -10,7 +10,11 @@ so the whole set is in that order. A retried task writes files under another att
 manifest lists only those of the attempt that Spark took, so lost executors leave no wrong data.
 
 Rows with a null text are empty documents (only the end id); a null doc_id is written as the least
-64-bit integer and read back as null. Repeated ids keep all their rows.
+64-bit integer and read back as null. Repeated ids keep all their rows, in the order of their texts (a null text
+first); they are dealt by both, so a repeated id doesn't land in one task. Very long texts are encoded like
+others, one slice at a time. An empty table gives no files and no rows. Only the two columns named are read,
+so other columns, whatever their names, play no part. Files are opened through pyarrow: local folders and the
+schemes that it knows (file:, hdfs:, s3:, gs:).
 """
 
 from __future__ import annotations
@@ -243,6 +247,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_
     keys = order or [F.col(f"`{doc_id}`")]
     named = docs.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys)], F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     cols = [F.col(f"_k{i}") for i in range(len(keys))]
+    cols = [*cols, *([] if order else [F.col("_text")])]  # rows that repeat an id stand in the order of their texts
     rows = (named.repartitionByRange(*cols).sortWithinPartitions(*cols, "_id").select("_id", "_text")
             .mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST).collect())
     base, out = 0, []

@@ -61,6 +61,16 @@ def test_odd_texts(spark, odd_docs, odd_texts, tok):
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
 
 
+def test_repeated_ids_stand_in_the_order_of_their_texts(spark, tok):
+    rows = [(5, "b b b"), (5, None), (5, "a"), (3, "x y"), (5, "a"), (None, "z"), (5, "")]
+    want = [(i, s, n, c) for i, s, n, c in expected(tok, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")))]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _text string").repartition(1 + seed)
+        got = token_files.token_table(spark, docs, fresh_dir(spark, "t"), tokenizer_path(), END_ID).collect()
+        assert sorted([tuple(r) for r in got], key=lambda r: r[1]) == want
+
+
 def test_empty_table(spark, no_docs):
     assert token_files.token_table(spark, no_docs, fresh_dir(spark, "t"), tokenizer_path(), END_ID).count() == 0
 
