@@ -432,6 +432,7 @@ ranked AS (
 top AS (SELECT * FROM ranked WHERE rk <= 10)
 """
     q["topk10"] = _q(topk + "SELECT user_id, CAST(rk AS BIGINT) AS rank, review_id FROM top")
+    q["topk10_bounded"] = q["topk10"]  # the same lists
     cols = ",\n       ".join(f"coalesce(max(CASE WHEN rk = {i} THEN review_id END), min(first_id)) AS review_{i}"
                               for i in range(1, 11))
     q["top10_wide"] = _q(topk + f""",

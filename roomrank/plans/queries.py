@@ -20,6 +20,7 @@ from roomrank.operators import clean as K
 from roomrank.operators import features as FE
 from roomrank.operators.losses import batch_losses, cosine_loss, epoch_means, running_means
 from roomrank.operators.ranking import mean_reciprocal_rank, target_ranks, topk_per_user, wide_top10
+from roomrank.operators.bounded import bounded_top_k
 from roomrank.operators.sequence import number_within_group
 from roomrank.plans.fixture import fixture
 
@@ -562,3 +563,13 @@ def dropped_users(spark, sf):
     groups = fx.review_keys.select("accommodation_id").distinct().withColumn("_has", F.lit(1))
     return (fx.users.select("split", "accommodation_id").join(groups, "accommodation_id", "left")
             .groupBy("split").agg(F.count(F.lit(1)).alias("n_users"), F.count_if(F.col("_has").isNull()).alias("n_dropped")))
+
+
+# ------------------------------------------------------------------ E3 bounded
+@query
+def topk10_bounded(spark, sf):
+    """``topk10`` by the bounded search: item blocks whose bound misses the 10th best score so far stay unopened."""
+    fx = fixture(spark, sf)
+    users = fx.user_vecs.where(F.col("split") == "test").select("user_id", "accommodation_id", "vec")
+    plan = bounded_top_k(users, fx.review_vecs, grp="accommodation_id", qid="user_id", qvec="vec", iid="review_id", ivec="vec", k=10)
+    return plan.top("user_id", "review_id").select("user_id", F.col("rank").cast("long").alias("rank"), "review_id")
