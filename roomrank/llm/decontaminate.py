@@ -22,8 +22,13 @@ document frequency over all documents, above 0 for every word. The latent space
 No text is shuffled. The benchmark is the query set: it is taken in blocks of `block` items, so what
 is broadcast (vocabulary, basis, items) is bounded whatever its size.
 
-Null and empty texts and items hold and match nothing. Repeated documents and items are judged each.
-Without items or documents the result is empty. Null ids stay null. Extra columns are ignored.
+5. Items without letters (figures, formulas) have no place in a space of words: they are searched by exact text in the
+   same pass. Their words are runs between white space and `. , ; : ! ? ( ) [ ]` and quotes; an item is found where its words stand one after
+   another, items of fewer than `LEAST_MARKS` words only in a document that has no other words.
+
+Null and empty texts and items, and items of such signs only, hold and match nothing. Repeated documents and items are judged
+each. Of ties of a text and item the best place counts, then the latest. Very long texts are taken a slice at a time, very long
+items in pieces. Without items or documents the result is empty. Null ids stay null. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomrank.llm.bytes_text import NO_LETTER, flat, folded, ragged, slices, word_hashes, words
+from roomrank.llm.bytes_text import NO_LETTER, SPACE, STEP, flat, folded, mix, ragged, slices, word_hashes, words
 
 SPAN = 32
 STEP_WORDS = 16
@@ -50,6 +55,9 @@ LCS_SHARE = 0.6
 WEIGHT_SHARE = 0.6
 ANSWER_SHARE = 0.6
 BLOCK = 512
+LEAST_MARKS = 3
+BETWEEN = SPACE.copy()  # what stands between the words of items without letters
+BETWEEN[list(b".,;:!?()[]\"'`")] = True
 
 
 def item_words(text: str | None) -> np.ndarray:
@@ -63,11 +71,37 @@ def answer_of(text: str) -> str:
     return ([s for s in re.split(r"[.!?\n]+", text) if any(c.isalpha() for c in s)] or [text])[-1]
 
 
+def marks(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, hash) of the words between `BETWEEN`, and per text the first word's place (n + 1)."""
+    ws, we, bounds = words(data, starts, BETWEEN)
+    return ws, word_hashes(data, ws, we, lower=False) if len(ws) else np.zeros(0, np.uint64), bounds
+
+
+def run_hash(h: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprint of each run of `size` words, by doubling: a run of 2 n words is made of two of n."""
+    out, done, have = np.zeros(max(0, len(h) - size + 1), np.uint64), 0, h
+    width, k = 1, 0
+    while len(out):
+        if size & width:
+            out = mix(out ^ (have[done:done + len(out)] + STEP[k]))
+            done += width
+        if done == size:
+            break
+        have = mix(have[:-width] + mix(have[width:] ^ STEP[k + 32]))
+        width, k = 2 * width, k + 1
+    return out
+
+
 class Items:
     """A block of benchmark items: their words, the block's vocabulary, and once fitted the weights and basis."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        got = [(i, item_words(t), item_words(answer_of(t))) for i, t in items if t]
+        got = [(i, item_words(t), item_words(answer_of(t)), t) for i, t in items if t]
+        self.plain: dict[int, dict[int, list[int | None]]] = {}  # items without letters by their number of words and fingerprint
+        for i, w, _, t in got:
+            h = marks(*flat(pa.array([t], pa.string())))[1] if not len(w) else w[:0]
+            if len(h):
+                self.plain.setdefault(len(h), {}).setdefault(int(run_hash(h, len(h))[0]), []).append(i)
         got = [x for x in got if len(x[1])]
         self.ids = [x[0] for x in got]
         self.words = [x[1] for x in got]
@@ -321,8 +355,36 @@ def word_cosine(items: Items, k: int, hashes: np.ndarray) -> float:
     return float(a @ b / max(np.sqrt((a @ a) * (b @ b + outside)), 1e-9))
 
 
+def exact_matches(items: Items, data: np.ndarray, starts: np.ndarray) -> list[tuple]:
+    """As `matches`, of the items without letters: the first place of each text and item, counted in words of letters."""
+    if not items.plain:
+        return []
+    at, h, bounds = marks(data, starts)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    letters, _, letter_bounds = words(data, starts, NO_LETTER)
+    out = []
+    for size, held in items.plain.items():
+        runs = run_hash(h, size)
+        inside = text[:len(runs)] == text[size - 1:] if len(runs) else np.zeros(0, bool)
+        if size < LEAST_MARKS:
+            inside = inside & (np.diff(bounds)[text[:len(runs)]] == size)
+        place = np.flatnonzero(inside & np.isin(runs, np.array(list(held), np.uint64)))
+        order = place[np.lexsort((place, runs[place], text[place]))]
+        first = (np.diff(text[order], prepend=-1) != 0) | (np.diff(runs[order], prepend=np.uint64(0)) != 0)
+        first[:1] = True
+        for k in order[first].tolist():
+            word = int(np.searchsorted(letters, at[k]) - letter_bounds[text[k]])
+            out += [(int(text[k]), i, word, 0, 1.0, 1.0, 1.0) for i in held[int(runs[k])]]
+    return out
+
+
 def matches(items: Items, data: np.ndarray, starts: np.ndarray, cosine: float) -> list[tuple]:
     """(text, item, first word, words, cosine, lcs share, answer share) of the verified matches, the best of each text and item."""
+    return (word_matches(items, data, starts, cosine) if len(items.vocab) else []) + exact_matches(items, data, starts)
+
+
+def word_matches(items: Items, data: np.ndarray, starts: np.ndarray, cosine: float) -> list[tuple]:
+    """`matches` of the items with letters."""
     p = Passages(items, data, starts)
     near = {(row, k): sim for row, k, sim in latent_candidates(items, p, cosine)}
     for pair in exact_candidates(items, p):
@@ -414,6 +476,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     for held in blocks(benchmark, item_id, item_text, block):
         items = Items(held)
         if not len(items.vocab):
+            out += [items] if items.plain else []
             continue
         rows = (texts.mapInArrow(_frequencies(sc.broadcast(items)), "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))).collect()
         counts = np.zeros(len(items.vocab) + 1, np.int64)

@@ -93,6 +93,36 @@ def test_item_in_a_third_of_the_documents_and_item_of_common_words(spark):
     assert {r.doc_id for r in dc.clean(docs, only).collect()} == {i for i, _ in rows} - {i for i, k in want if k == 0}
 
 
+def test_items_without_letters(spark):
+    """Held against plain text search with word borders."""
+    rng = random.Random(11)
+    items = [(1, "17 * 3 = 51"), (2, "1 2 4 8 16 32 64 128"), (3, "42"), (4, "..."), (4, " ".join(str(rng.randrange(10 ** 6)) for _ in range(300))), (None, "3 + 4 = 7")]
+    rows = [(0, "it is so: 17 * 3 = 51. and more"), (1, "117 * 3 = 51"), (2, "17 * 3 = 510"), (3, "(1 2 4 8 16 32 64 128) 17 *\n3  = 51"), (4, "42"),
+            (5, "there were 42 of them ..."), (6, "17 * 3"), (7, "= 51 17 * 3"), (8, "x " + items[4][1] + " y"), (9, None), (10, "..."), (11, "3 + 4 = 7 3 + 4 = 7")]
+    want = {(0, 1), (3, 1), (3, 2), (4, 3), (8, 4), (11, None)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for more in ([], [(9, " ".join(words_of(rng, 20)) + ".")]):  # alone, and beside an item of words
+        both = bench.union(spark.createDataFrame(more, "item_id long, text string")) if more else bench
+        for block in (512, 2):
+            out = dc.search(docs, both, block=block).collect()
+            assert {(r.doc_id, r.item_id) for r in out} == want and len(out) == len(want)
+        assert {r.doc_id for r in dc.clean(docs, both).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+    starts = {r.doc_id: r.region_start for r in dc.search(docs, bench).collect() if r.item_id == 1}
+    assert starts == {0: 3, 3: 0}
+
+
+def test_run_hash_is_of_the_run_alone():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 6, 400).astype(np.uint64)
+    for size in (1, 2, 3, 7, 8, 13, 64, 300, 400, 401):
+        got = dc.run_hash(h, size)
+        assert len(got) == max(0, 401 - size)
+        runs = [tuple(h[k:k + size].tolist()) for k in range(len(got))]
+        assert len(set(zip(runs, got.tolist(), strict=True))) == len(set(runs)) == len(set(got.tolist()))
+        assert all(dc.run_hash(h[k:k + size], size)[0] == got[k] for k in range(0, len(got), 37))
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
