@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roomrank.operators.scoring import hot_key_join, hot_keys
 from roomrank.operators.sequence import number_within_group
 from roomrank.session import materialize
 
@@ -35,13 +36,15 @@ def fit_group_means(users: DataFrame, key: str = "accommodation_id", cols=AVG_CO
     return users.groupBy(*by, key).agg(*[F.avg(c).alias(f"average_{c}") for c in cols])
 
 
-def apply_group_means(users: DataFrame, key: str = "accommodation_id", cols=AVG_COLS, by=("split",)) -> DataFrame:
+def apply_group_means(users: DataFrame, key: str = "accommodation_id", cols=AVG_COLS, by=("split",), spread=("user_id",)) -> DataFrame:
     """``average_<c>`` = mean of ``c`` over the rows sharing ``key`` (nulls ignored).
 
-    A grouped aggregate joined back (AQE splits a hot key on the big side), not a window:
-    a window over an unbounded frame buffers a whole accommodation in one task.
+    A grouped aggregate joined back, not a window: a window over an unbounded frame buffers a whole accommodation in one
+    task. The rows of a key that holds more than 1 / 512 of them are dealt to salts by a hash of the ``spread`` columns.
     """
-    return users.join(fit_group_means(users, key, cols, by), [*by, key], "left")
+    keys = [*by, key]
+    fitted = materialize(users.groupBy(*keys).agg(*[F.avg(c).alias(f"average_{c}") for c in cols], F.count(F.lit(1)).alias("_n")))
+    return hot_key_join(users, fitted.drop("_n"), keys, hot_keys(fitted, keys), list(spread), "left")
 
 
 # --------------------------------------------------------------------- D2, D3, B6, D6
@@ -210,7 +213,7 @@ def build_user_features(users: DataFrame, by=("split",), domain_users: DataFrame
     ``domain_users`` (default: the given users, i.e. the union of the splits present).
 
     The users are scanned once for the value counts (frequencies, modes, domains and codes follow from
-    them), twice for means and extremes per accommodation and per split, and once for the rows.
+    them), once for means and extremes per accommodation (per split from those), and once for the rows.
     """
     base, by, extra = _fit_key(users, by)
     coded = [*TARGET_COLS, ONEHOT_COL]
@@ -224,7 +227,8 @@ def build_user_features(users: DataFrame, by=("split",), domain_users: DataFrame
     per_group = base.groupBy(*by, "accommodation_id").agg(
         *[F.avg(c).alias(f"average_{c}") for c in AVG_COLS],
         *[f(c).cast("double").alias(f"{n}_{c}") for c in raw for n, f in (("min", F.min), ("max", F.max))],
-        F.sum("month").alias("_month"), F.count("month").alias("_months"))
+        F.sum("month").alias("_month"), F.count("month").alias("_months"), F.count(F.lit(1)).alias("_n"))
+    per_group = materialize(per_group)
     stats = per_group.groupBy(*by).agg(
         *[f(f"{n}_{c}").alias(f"{n}_{c}") for c in raw for n, f in (("min", F.min), ("max", F.max))],
         *[f(c).alias(f"{n}_{c}") for c in avg for n, f in (("min", F.min), ("max", F.max))],
@@ -232,7 +236,8 @@ def build_user_features(users: DataFrame, by=("split",), domain_users: DataFrame
     lo, hi = F.col("min_month"), F.col("max_month")  # the mean of the scaled month is the scaled mean
     stats = stats.withColumn("average_month", F.when(hi > lo, (F.col("_month") - lo) / (hi - lo)).otherwise(F.col("_month") - lo)).drop("_month")
 
-    u = base.join(per_group.select(*by, "accommodation_id", *avg), [*by, "accommodation_id"], "left")
+    keys = [*by, "accommodation_id"]
+    u = hot_key_join(base, per_group.select(*keys, *avg), keys, hot_keys(per_group, keys), ["user_id"], "left")
     u = _join_frequencies(u, value_shares(counts, by), COUNT_COLS, by, FILL_MODE_COLS, n_counts)
     for c in coded:
         u = join_code(u, c, codes, sizes.get(c, 0))

@@ -35,25 +35,29 @@ SCORE_DECIMALS = 6
 COSINE_EPS = 1e-8
 
 
-def hot_keys(sizes: DataFrame, key: str, n: str = "_n", parts: int = HOT_PARTS) -> DataFrame:
+def _names(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def hot_keys(sizes: DataFrame, key: str | list[str], n: str = "_n", parts: int = HOT_PARTS) -> DataFrame:
     """``(key, _salts)`` of the keys that hold more than 1 / parts of all rows: fewer than ``parts`` keys, whatever the data."""
     total = sizes.agg(F.sum(n).alias("_all"))
     share = F.col(n) * F.lit(parts) / F.col("_all")
-    return sizes.crossJoin(F.broadcast(total)).where(share > 1).select(key, F.ceil(share).cast("long").alias("_salts"))
+    return sizes.crossJoin(F.broadcast(total)).where(share > 1).select(*_names(key), F.ceil(share).cast("long").alias("_salts"))
 
 
-def hot_key_join(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+def hot_key_join(rows: DataFrame, lookup: DataFrame, key: str | list[str], hot: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with one ``lookup`` row per key, without meeting a hot key's rows in one task.
 
     A hot key's rows are dealt to salts by a hash of the ``spread`` columns, and its one lookup row is repeated per salt;
     all other keys have salt 0. What is broadcast is ``hot``, whose size ``hot_keys`` bounds.
     """
-    hot = F.broadcast(hot)
+    hot, key = F.broadcast(hot), _names(key)
     dealt = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0).cast("long")).otherwise(
         F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.col("_salts")))).drop("_salts")
     each = lookup.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1).cast("long")) - 1))).drop("_salts")
-    return dealt.join(each, [key, "_salt"], how).drop("_salt")
+    return dealt.join(each, [*key, "_salt"], how).drop("_salt")
 
 
 def _blocks(df: DataFrame, grp: str, id_cols: list[str], fields: list, block: int, name: str, sizes: DataFrame | None = None,

@@ -98,3 +98,27 @@ def test_drift_anchor(spark):
     from roomrank.plans.queries import drift_summary
     rows = {r["feature"]: r for r in drift_summary(spark, "/root/testdata/sf0.01").collect()}
     assert rows["guest_id"]["unseen_rows"] == 4361
+
+
+def test_rows_of_a_hot_accommodation_spread_without_aqe(spark):
+    """One accommodation holds a third of the users: no task has over twice the mean rows, the means are the plain ones."""
+    from pyspark.sql import functions as F
+
+    from roomrank.operators.features import apply_group_means
+
+    users = spark.range(0, 12_000).select(
+        F.col("id").alias("user_id"), F.lit("train").alias("split"), F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") % 50 == 1, None)
+        .otherwise(F.col("id") % 1999).cast("long").alias("accommodation_id"), (F.col("id") % 7).cast("double").alias("x"))
+    plain = users.groupBy("split", "accommodation_id").agg(F.avg("x").alias("average_x"))
+    want = {r.user_id: r.average_x for r in users.join(plain, ["split", "accommodation_id"], "left").collect()}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = apply_group_means(users, cols=["x"])
+        assert {r.user_id: r.average_x for r in out.collect()} == want
+        tasks = [r["count"] for r in out.where("accommodation_id is not null").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert max(tasks) <= 2 * sum(tasks) / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
