@@ -194,11 +194,13 @@ def _met(pairs: DataFrame, query_blocks: DataFrame, item_blocks: DataFrame) -> D
 
 
 def bounded_top_k(queries: DataFrame, items: DataFrame, *, grp: str, qid: str, qvec: str, iid: str, ivec: str, k: int = 10,
-                  itie: str | None = None, metric: str = "dot", block: int = DEFAULT_BLOCK) -> BoundedTopK:
+                  itie: str | None = None, metric: str = "dot", block: int = DEFAULT_BLOCK, query_sizes: DataFrame | None = None,
+                  item_sizes: DataFrame | None = None) -> BoundedTopK:
     """The block pairs to open for the ``k`` best items of each query's group, under ``dot`` or ``cosine``.
 
     Queries without items, rows with a null group and empty tables give no rows; NaN scores rank last; repeated rows are
-    items (or queries) of their own; extra columns are ignored.
+    items (or queries) of their own; extra columns are ignored. ``query_sizes`` / ``item_sizes``: optional cheap frames with
+    the group column ``grp`` to count the groups on.
     """
     if metric not in ("dot", "cosine"):
         raise ValueError("only dot products and cosines have a bound")
@@ -206,7 +208,8 @@ def bounded_top_k(queries: DataFrame, items: DataFrame, *, grp: str, qid: str, q
     q = queries.select(F.col(grp).alias("grp"), F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("vec"))
     it = items.select(F.col(grp).alias("grp"), F.col(iid).cast("long").alias("iid"),
                       (F.col(itie).cast("long") if itie else F.lit(0).cast("long")).alias("tie"), F.col(ivec).alias("vec"))
-    q_sizes, i_sizes = _sizes(q, it, "grp", block)
+    of_q, of_it = (d if z is None else z.select(F.col(grp).alias("grp")) for d, z in ((q, query_sizes), (it, item_sizes)))
+    q_sizes, i_sizes = _sizes(of_q, of_it, "grp", block)
     query_blocks = _side(q, ["qid"], block, "qb", "q_", q_sizes, False)
     item_blocks = _side(it, ["iid", "tie"], block, "ib", "i_", i_sizes, metric == "dot")
 

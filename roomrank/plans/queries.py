@@ -571,5 +571,7 @@ def topk10_bounded(spark, sf):
     """``topk10`` by the bounded search: item blocks whose bound misses the 10th best score so far stay unopened."""
     fx = fixture(spark, sf)
     users = fx.user_vecs.where(F.col("split") == "test").select("user_id", "accommodation_id", "vec")
-    plan = bounded_top_k(users, fx.review_vecs, grp="accommodation_id", qid="user_id", qvec="vec", iid="review_id", ivec="vec", k=10)
+    z = _sizes(fx)
+    plan = bounded_top_k(users, fx.review_vecs, grp="accommodation_id", qid="user_id", qvec="vec", iid="review_id", ivec="vec", k=10,
+                         query_sizes=z["test_users"], item_sizes=z["reviews"])
     return plan.top("user_id", "review_id").select("user_id", F.col("rank").cast("long").alias("rank"), "review_id")
