@@ -11,8 +11,8 @@ manifest lists only those of the attempt that Spark took, so lost executors leav
 
 Rows with a null text are empty documents (only the end id); a null doc_id is written as the least
 64-bit integer and read back as null. Repeated ids keep all their rows, in the order of their texts (a null text
-first); they are dealt by both, so a repeated id doesn't land in one task. Very long texts are encoded like
-others, one slice at a time. An empty table gives no files and no rows. Only the two columns named are read,
+first); they are dealt by the id and the text's first 32 characters, so a repeated id lands in one task
+only as far as its texts begin alike. Very long texts are encoded like others, one slice at a time. An empty table gives no files and no rows. Only the two columns named are read,
 so other columns, whatever their names, play no part. Files are opened through pyarrow: local folders and the
 schemes that it knows (file:, hdfs:, s3:, gs:).
 """
@@ -35,6 +35,7 @@ NO_ID = -(1 << 63)
 MANIFEST = "part int, stem string, n_docs long, n_tokens long, width int"
 KEPT_PIECES = 1_500_000  # encoded pieces that a worker remembers before it starts over; bounds memory, not results
 GROUP_BYTES = 8 << 20
+DEALT_CHARS = 32  # of a text, to deal rows that repeat an id
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
@@ -247,8 +248,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_
     keys = order or [F.col(f"`{doc_id}`")]
     named = docs.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys)], F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     cols = [F.col(f"_k{i}") for i in range(len(keys))]
-    cols = [*cols, *([] if order else [F.col("_text")])]  # rows that repeat an id stand in the order of their texts
-    rows = (named.repartitionByRange(*cols).sortWithinPartitions(*cols, "_id").select("_id", "_text")
+    # rows that repeat an id stand in the order of their texts; the ranges are sampled on the texts' first characters only
+    dealt, cols = ([*cols, F.substring("_text", 1, DEALT_CHARS)], [*cols, F.col("_text")]) if not order else (cols, [*cols, F.col("_id")])
+    rows = (named.repartitionByRange(*dealt).sortWithinPartitions(*cols).select("_id", "_text")
             .mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST).collect())
     base, out = 0, []
     for r in sorted(rows, key=lambda r: r["part"]):
