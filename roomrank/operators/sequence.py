@@ -37,10 +37,12 @@ def number_within_group(df: DataFrame, group_cols: list[str], order_cols: list[s
     keys = [*group_cols, *order_cols]
     if not keys:
         raise ValueError("need at least one grouping or ordering column")
-    ranged = df.repartitionByRange(num_partitions or default_parallelism(df.sparkSession), *keys)
+    p = num_partitions or default_parallelism(df.sparkSession)
+    ranged = df.repartitionByRange(p, *keys)
     if group_cols:
         within = Window.partitionBy("_pid", *group_cols).orderBy(*(order_cols or group_cols))
-        placed = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_place", F.row_number().over(within) - 1)
+        dealt = ranged.withColumn("_pid", F.spark_partition_id()).repartition(p, "_pid", *group_cols)  # as the window needs them, p tasks as asked for
+        placed = dealt.withColumn("_place", F.row_number().over(within) - 1)
     else:
         placed = (ranged.sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id())
                   .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_BITS))))
