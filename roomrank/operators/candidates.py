@@ -7,11 +7,12 @@ pairs, and scoring goes through the blocked operator in ``scoring``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomrank.operators.clean import mult_hash32
 from roomrank.operators.sequence import number_within_group
+from roomrank.session import materialize
 
 
 def merge_single_key(users: DataFrame, reviews: DataFrame, matches: DataFrame) -> DataFrame:
@@ -60,6 +61,39 @@ def pairs_in_group(merged: DataFrame, key: str = "accommodation_id") -> DataFram
     return n.select(key, (F.col("n") * F.col("n")).alias("pairs"), F.col("n").alias("positives"))
 
 
+WHOLE = 2048  # a group of at most so many rows is kept together for all epochs
+
+
+def epoch_batches(rows: DataFrame, batch_size: int, seeds, key: str = "accommodation_id", order: str = "user_id", whole: int = WHOLE) -> DataFrame:
+    """``assign_batches`` for several epochs, one per seed (None: not shuffled), so that wide columns join and travel once.
+
+    Adds ``batches``, the row's batch in each epoch, and ``epoch, part``: rows that agree in them and in the group are
+    to be collected together. A group of at most ``whole`` rows is collected as one, for all epochs (epoch and part are -1); a larger
+    group's rows are listed per epoch, collected per batch, with -1 in the other epochs' places. Of larger groups there
+    is at most one per ``whole`` rows; their keys are broadcast.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    large = materialize(sizes.where(F.col("_n") > whole).select(key, F.lit(0).cast("long").alias("_large")))
+
+    def batch(seed):
+        shuffled = [] if seed is None else [mult_hash32(F.col(order) + F.lit(seed))]
+        place = F.row_number().over(Window.partitionBy(key).orderBy(*shuffled, order)) - 1
+        return F.floor(place / F.lit(batch_size)).cast("long")
+
+    none = F.lit(-1).cast("long")
+    few = rows.join(F.broadcast(large), key, "left").where(F.col("_large").isNull())
+    of = F.coalesce(F.col("_large"), none)  # not a literal: those are dropped from grouping keys, and collecting and joining would shuffle apart
+    out = few.select(*rows.columns, of.alias("epoch"), of.alias("part"), F.array(*[batch(s) for s in seeds]).alias("batches"))
+    if large.isEmpty():
+        return out
+    many = rows.join(F.broadcast(large), key, "left_semi").select(*rows.columns)
+    for e, seed in enumerate(seeds):
+        listed = F.array(*[F.col("batch_id") if i == e else none for i in range(len(seeds))])
+        out = out.unionByName(assign_batches(many, batch_size, key, order, seed).select(
+            *rows.columns, F.lit(e).cast("long").alias("epoch"), F.col("batch_id").alias("part"), listed.alias("batches")))
+    return out
+
+
 def assign_batches(rows: DataFrame, batch_size: int, key: str = "accommodation_id", order: str = "user_id",
                    shuffle_seed: int | None = None) -> DataFrame:
     """``batch_id = floor(position / batch_size)`` inside each group (E8), shuffled by a seeded hash.

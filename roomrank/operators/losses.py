@@ -74,6 +74,51 @@ def batch_losses(batched: DataFrame, loss: str) -> DataFrame:
     return g.mapInPandas(_loss_job(LOSSES[loss]), _BATCH_SCHEMA)
 
 
+_EPOCH_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("accommodation_id", "epoch", "batch_id", "n", "pairs")]
+                             + [T.StructField("loss", T.DoubleType())])
+
+
+def _epoch_job(fn):
+    def work(frames):
+        for pdf in frames:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                rid, rids = np.asarray(row.u_rid, dtype=np.int64), np.asarray(row.r_rid, dtype=np.int64)
+                u = np.asarray(row.u_flat, dtype=np.float64).reshape(len(rid), -1)
+                r = np.asarray(row.r_flat, dtype=np.float64).reshape(len(rids), -1)
+                order = np.argsort(rids, kind="stable")
+                first, end = np.searchsorted(rids[order], rid), np.searchsorted(rids[order], rid, "right")
+                ids = np.asarray(row.b_flat, dtype=np.int64).reshape(len(rid), -1)
+                for e in range(ids.shape[1]):
+                    for b in np.unique(ids[ids[:, e] >= 0, e]):
+                        mine = np.flatnonzero(ids[:, e] == b)
+                        size = (end - first)[mine]  # 1, unless review rows repeat an id
+                        n = int(size.sum())
+                        if not n:
+                            continue
+                        at = order[np.repeat(first[mine] - np.cumsum(size) + size, size) + np.arange(n)]
+                        rows.append((row.accommodation_id, e, b, n, n * n, fn(u[np.repeat(mine, size)], r[at])))
+            if rows:
+                yield pd.DataFrame(rows, columns=[f.name for f in _EPOCH_SCHEMA.fields])
+    return work
+
+
+def epoch_losses(users: DataFrame, reviews: DataFrame, loss: str) -> DataFrame:
+    """The asked loss of every batch of every epoch: ``(accommodation_id, epoch, batch_id, n, pairs, loss)``.
+
+    ``users(accommodation_id, epoch, part, batches, review_id, uvec)`` has the rows of ``epoch_batches``, each with its user's vector;
+    ``reviews(accommodation_id, epoch, part, review_id, rvec)`` each collected group's reviews, once. A row is joined with
+    its review inside the group, so a review's vector travels once per group, and a user's once for all epochs.
+    """
+    of = ["accommodation_id", "epoch", "part"]
+    u = users.groupBy(*of).agg(F.collect_list(F.struct("review_id", "batches", "uvec")).alias("rows"))
+    u = u.select(*of, F.transform("rows", lambda x: x["review_id"]).alias("u_rid"), F.flatten(F.transform("rows", lambda x: x["batches"])).alias("b_flat"),
+                 F.flatten(F.transform("rows", lambda x: x["uvec"])).alias("u_flat"))
+    r = reviews.groupBy(*of).agg(F.collect_list(F.struct("review_id", "rvec")).alias("rows"))
+    r = r.select(*of, F.transform("rows", lambda x: x["review_id"]).alias("r_rid"), F.flatten(F.transform("rows", lambda x: x["rvec"])).alias("r_flat"))
+    return u.join(r, of).mapInPandas(_epoch_job(LOSSES[loss]), _EPOCH_SCHEMA)
+
+
 def cosine_loss(rows: DataFrame, by: str = "split") -> DataFrame:
     """L4 with all-positive targets: mean of ``1 - cos(u, r)`` per ``by``."""
     return rows.groupBy(by).agg(F.avg(F.lit(1.0) - cosine("uvec", "rvec")).alias("loss"))

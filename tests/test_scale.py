@@ -41,4 +41,28 @@ def test_only_the_split_s_matches_meet_vectors(spark, sf_small, no_broadcast):
     assert not [b for b in plan.split("\n\n") if "Exchange" in b.split("\n")[0] and "user_id" in b and re.search(r"\bvec#", b) and "review_id" not in b]
 
 
+def test_a_user_s_vector_is_shuffled_once_for_all_epochs(spark, sf_small, no_broadcast):
+    wide = [c for c in exchanged(E.queries()["loss_epoch_mean"](spark, sf_small)) if c & {"uvec", "buf"} and "vec_id" not in c]
+    assert len(wide) == 2, wide  # the collected users and the collected reviews, nothing per epoch
+
+
+@pytest.mark.parametrize("whole", [2048, 20])
+def test_epoch_losses_equal_those_of_single_epochs(spark, whole):
+    rng = np.random.default_rng(3)
+    rows = [(a, u, int(rng.integers(0, 4)) + 10 * a) for a, n in ((1, 45), (2, 12), (3, 1)) for u in range(100 * a, 100 * a + n)]
+    rows += rows[-2:]  # rows that come twice
+    keys = spark.createDataFrame(rows, "accommodation_id long, user_id long, review_id long")
+    uv = spark.createDataFrame([(u, rng.normal(size=3).tolist()) for u in sorted({r[1] for r in rows})], "user_id long, uvec array<double>")
+    held = sorted({r[2] for r in rows}) + [10, 21]  # reviews that come twice
+    rv = spark.createDataFrame([(r, rng.normal(size=3).tolist()) for r in held], "review_id long, rvec array<double>")
+    of, seeds = C.epoch_batches(keys, 8, [None, 0, 5], whole=whole), [None, 0, 5]
+    found = L.epoch_losses(of.join(uv, "user_id"), of.select("accommodation_id", "epoch", "part", "review_id").distinct().join(rv, "review_id"), "softmax")
+    got = {(r["accommodation_id"], r["epoch"], r["batch_id"]): (r["n"], r["loss"]) for r in found.collect()}
+    plain = {}
+    for e, seed in enumerate(seeds):
+        b = C.assign_batches(keys, 8, shuffle_seed=seed).join(uv, "user_id").join(rv, "review_id")
+        plain |= {(r["accommodation_id"], e, r["batch_id"]): (r["n"], r["loss"]) for r in L.batch_losses(b, "softmax").collect()}
+    assert got.keys() == plain.keys() and all(got[k][0] == plain[k][0] and abs(got[k][1] - plain[k][1]) < 1e-9 for k in got)
+
+
 TR_SCHEMA = "accommodation_id long, batch_id long, xu array<double>, xr array<double>"
