@@ -65,4 +65,36 @@ def test_epoch_losses_equal_those_of_single_epochs(spark, whole):
     assert got.keys() == plain.keys() and all(got[k][0] == plain[k][0] and abs(got[k][1] - plain[k][1]) < 1e-9 for k in got)
 
 
+def test_compact_mini_batches_hold_each_review_once(spark, sf_small):
+    p = J.prepared(spark, sf_small)
+    users, reviews = p.user_features.select("user_id", F.col("features").alias("xu")), p.review_features.select("review_id", F.col("vec").alias("xr"))
+    rows = p.compact_batches(8, users, reviews).collect()
+    assert all(list(r["rids"]) == sorted(set(r["rid"])) and len(r["xr"]) == len(r["rids"]) * p.dims[1] for r in rows)
+    assert any(len(r["rids"]) < len(r["rid"]) for r in rows)
+    xu, xr = ({r[0]: r[1] for r in df.collect()} for df in (users, reviews))
+    keys = p.train_batches(8).collect()
+    want = {}
+    for k in sorted(keys, key=lambda k: k["pos"]):
+        want.setdefault((k["accommodation_id"], k["batch_id"]), []).append((xu[k["user_id"]], xr[k["review_id"]]))
+    got = {(r["accommodation_id"], r["batch_id"]): r for r in p.mini_batches(8, users, reviews).collect()}
+    assert got.keys() == want.keys()
+    for k, pairs in want.items():
+        assert got[k]["xu"] == [x for u, _ in pairs for x in u] and got[k]["xr"] == [x for _, r in pairs for x in r]
+
+
+def test_pair_batches_are_cut_out_of_the_encoders_batches(spark, sf_small):
+    from roomrank.operators import models as M
+
+    p = J.prepared(spark, sf_small)
+    encoders = {"user": M.init_mlp([p.dims[0], 8, 4], 0), "review": M.init_mlp([p.dims[1], 8, 4], 1)}
+    users, reviews = p.user_features.select("user_id", F.col("features").alias("xu")), p.review_features.select("review_id", F.col("vec").alias("xr"))
+    cut = TR.plain_batches(TR.encoded_batches(p.compact_batches(8, users, reviews), encoders, 8, 4, 3))
+    a = M.encode(users, "user_id", "xu", encoders["user"], "a").withColumnRenamed("a", "xu")
+    b = M.encode(reviews, "review_id", "xr", encoders["review"], "b").withColumnRenamed("b", "xr")
+    plain = p.mini_batches(4, a, b)
+    one, two = ({(r["accommodation_id"], r["batch_id"]): r for r in df.collect()} for df in (cut, plain))
+    assert one.keys() == two.keys()
+    assert all(np.allclose(one[k]["xu"], two[k]["xu"]) and np.allclose(one[k]["xr"], two[k]["xr"]) for k in one)
+
+
 TR_SCHEMA = "accommodation_id long, batch_id long, xu array<double>, xr array<double>"
