@@ -388,7 +388,12 @@ def batch_losses(batches: DataFrame, models: Models, objective: Objective, dims:
 
     def job(frames):
         for pdf in frames:
-            found = [objective(told.value, xu, xr) for xu, xr in _matrices(pdf, *dims)]
-            yield pd.DataFrame({"accommodation_id": pdf["accommodation_id"], "batch_id": pdf["batch_id"], "loss": [a / b for a, b, _ in found]})
-
-    return batches.select("accommodation_id", "batch_id", "xu", "xr").mapInPandas(job, "accommodation_id long, batch_id long, loss double")
+            at, losses = [], []
+            for i, xu, xr in _matrices(pdf, *dims):
+                loss, weight = objective(told.value, xu, xr)[:2]  # no gradient is kept
+                at.append(i)
+                losses.append(loss / weight)
+            if at:
+                yield pdf[["accommodation_id", "batch_id"]].iloc[at].assign(loss=losses)
+
+    return _columns(batches).mapInPandas(job, "accommodation_id long, batch_id long, loss double")

@@ -97,4 +97,22 @@ def test_pair_batches_are_cut_out_of_the_encoders_batches(spark, sf_small):
     assert all(np.allclose(one[k]["xu"], two[k]["xu"]) and np.allclose(one[k]["xr"], two[k]["xr"]) for k in one)
 
 
+def test_batch_losses_keep_no_gradients(spark):
+    class Gradient:
+        alive = 0
+
+        def __init__(self):
+            Gradient.alive += 1
+
+        def __del__(self):
+            Gradient.alive -= 1
+
+    def objective(models, xu, xr):
+        held = Gradient()
+        return float(Gradient.alive), 1.0, {"g": held}
+
+    rows = spark.createDataFrame([(1, b, [1.0, 2.0], [3.0, 4.0]) for b in range(50)], TR_SCHEMA).coalesce(1)
+    assert max(r["loss"] for r in TR.batch_losses(rows, {}, objective, (1, 1)).collect()) <= 2
+
+
 TR_SCHEMA = "accommodation_id long, batch_id long, xu array<double>, xr array<double>"
