@@ -409,10 +409,10 @@ def text_review_features(p, split: str, encode=lambda texts: hashed_vectors(text
     """G8 of a split's reviews from their texts: prompt -> encoder (hashed tokens) -> layer norm -> truncate -> L2, then the two
     numbers, scaled within the split's review table."""
     fx = p.fx
-    held = fx.users.where(F.col("split") == split).select("accommodation_id").distinct()
-    keys = fx.review_keys.join(held, "accommodation_id", "left_semi")
+    users = fx.users.where(F.col("split") == split)
+    keys = fx.of_accommodations(fx.review_keys, users)
     scaled = FE.apply_minmax(keys.select("review_id", "accommodation_id", *FE.REVIEW_SCALE_COLS), FE.REVIEW_SCALE_COLS, by=())
-    texts = fx.reviews_filled.join(held, "accommodation_id", "left_semi")
+    texts = fx.of_accommodations(fx.reviews_filled, users)
     v = encode(texts).join(scaled, "review_id")
     emb = V.l2_normalize(V.truncate(V.layer_norm("vec"), TRUNCATE_DIM))
     return v.select("review_id", "accommodation_id", V.append(emb, *FE.REVIEW_SCALE_COLS).alias("vec"))
@@ -422,7 +422,7 @@ def _text_sides(p, split: str, **encoder) -> tuple[DataFrame, DataFrame]:
     """(users, reviews) of a split, encoded with formula weights: what is ranked comes from the texts and the bookings."""
     layers = M.formula_mlp([TRUNCATE_DIM + len(FE.REVIEW_SCALE_COLS), *HIDDEN, EMB_DIM], 1)
     reviews = M.encode(text_review_features(p, split, **encoder), "review_id", "vec", layers, "b", ("accommodation_id",))
-    users = p.fx.users.where(F.col("split") == split).select("user_id", "accommodation_id").join(_formula_users(p), "user_id")
+    users = p.fx.users.where(F.col("split") == split).select("user_id", "accommodation_id").join(_formula_users(p, split), "user_id")
     return (users.select("user_id", "accommodation_id", F.col("a").alias("vec")),
             p._written(reviews.select("review_id", "accommodation_id", F.col("b").alias("vec")), f"text-reviews-{split}"))
 

@@ -116,3 +116,18 @@ def test_batch_losses_keep_no_gradients(spark):
 
 
 TR_SCHEMA = "accommodation_id long, batch_id long, xu array<double>, xr array<double>"
+
+
+@pytest.mark.parametrize("name", ["top10_text", "mrr_text", "mrr_text_fitted", "csv_splits"])
+def test_texts_stay_where_they_are_read(spark, sf_small, no_broadcast, name):
+    p = J.prepared(spark, sf_small)
+    users = fixture(spark, sf_small).users.where(F.col("split") == "val")
+    df = p.fx.of_accommodations(p.fx.reviews, users) if name == "csv_splits" else J.text_review_features(p, "val")
+    assert not [c for c in exchanged(df) if c & {"text", "title", "rest", "review_title", "review_positive"}]
+
+
+def test_only_the_split_s_users_are_encoded(spark, sf_small):
+    p = J.prepared(spark, sf_small)
+    users, _ = J._text_sides(p, "val")
+    scans = [b for b in _plan(users).split("\n\n") if "Scan parquet" in b and "user_features" in b]
+    assert scans and all("EqualTo(split,val)" in b for b in scans)
