@@ -118,6 +118,11 @@ def test_batch_losses_keep_no_gradients(spark):
 TR_SCHEMA = "accommodation_id long, batch_id long, xu array<double>, xr array<double>"
 
 
+def test_texts_are_cut_once(spark, sf_small):
+    plan = reviews_view(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"substring_index\(|split\(|split_part\(", plan)) == 1
+
+
 @pytest.mark.parametrize("name", ["top10_text", "mrr_text", "mrr_text_fitted", "csv_splits"])
 def test_texts_stay_where_they_are_read(spark, sf_small, no_broadcast, name):
     p = J.prepared(spark, sf_small)
